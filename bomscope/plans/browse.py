@@ -299,7 +299,7 @@ def system_platforms(cat) -> DataFrame:
             .select("system_id", "platform_id", "label", F.coalesce("_core", F.lit(0)).alias("has_core")))
 
 
-def system_machines(cat, limit: int = 40) -> DataFrame:
+def system_machines(cat, limit: int = 60) -> DataFrame:
     df = cat["v_machine"].filter("system_id IS NOT NULL").select("system_id", "machine_id", "name")
     return _first_n(df, "system_id", ["name", "machine_id"], limit)
 

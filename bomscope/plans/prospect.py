@@ -72,7 +72,7 @@ def socket_rollup(cat, policy: Policy = DEFAULT) -> DataFrame:
 
     total = sum((F.lit(w) * (satisfied(b) + F.col(f"{b}_4")) for b, w in weights.items()), F.lit(0.0))
     earned = sum((F.lit(w * c) * F.col(f"{b}_{r}") for b, w in weights.items() for r, c in credits.items()), F.lit(0.0))
-    return df.select("system_id", total.alias("chip_weight"), earned.alias("satisfied_weight"),
+    return df.select("system_id", total.alias("chip_weight"), round6(earned).alias("satisfied_weight"),
                      *[col for b in weights for col in (satisfied(b).alias(f"{b}_satisfied"), F.col(f"{b}_4").alias(f"{b}_missing"))],
                      "cpu_chips", "cpu_satisfied", "sound_chips", "sound_satisfied")
 
