@@ -118,7 +118,7 @@ def literal_table(names: DataFrame, rec: Recognition) -> DataFrame:
     ok = (F.length(form) >= rec.min_literal_length) & form.rlike("[A-Za-z]")
     if rec.ignored_parts:
         ok = ok & ~form.isin(*rec.ignored_parts)
-    pieces = F.regexp_extract_all(F.lower(F.translate(form, "µμ", "uu")), F.lit("([a-z0-9]+)"), F.lit(1))
+    pieces = F.regexp_extract_all(F.lower(F.translate(F.col("name"), "µμ", "uu")), F.lit("([a-z0-9]+)"), F.lit(1))
     return names.filter(ok).select(form.alias("name")).distinct().withColumn("p", pieces).select(
         "name", F.array_join("p", "").alias("joined"), F.size("p").alias("pieces"), F.length("name").alias("size"),
         _cuts(F.col("p")).alias("cuts")).filter("joined <> ''")
@@ -168,6 +168,10 @@ def _literal_hits(lines: DataFrame, literals: DataFrame, key: str) -> DataFrame:
         key, "line", F.lit(0).alias("rule_no"), F.lit("catalog").alias("rule"), "at", F.col("h.designation").alias("designation"))
 
 
+def _tagged(no: int, rule: str):
+    return lambda d, i: F.struct(F.lit(no).alias("rule_no"), F.lit(rule).alias("rule"), i.alias("at"), d.alias("designation"))
+
+
 def _grammar_hits(lines: DataFrame, rec: Recognition, key: str) -> DataFrame | None:
     if not rec.grammars:
         return None
@@ -176,8 +180,9 @@ def _grammar_hits(lines: DataFrame, rec: Recognition, key: str) -> DataFrame | N
     for no, g in enumerate(rec.grammars, 1):
         pattern = f"(?i)((?<![A-Za-z0-9])(?:{g.pattern})(?![A-Za-z0-9]))"
         hits = F.regexp_extract_all("content", F.lit(pattern), F.lit(1))
-        found.append(F.transform(F.when(context, hits).otherwise(F.array().cast("array<string>")) if g.requires_context else hits,
-                                 lambda d, i, no=no, g=g: F.struct(F.lit(no).alias("rule_no"), F.lit(g.id).alias("rule"), i.alias("at"), d.alias("designation"))))
+        if g.requires_context:
+            hits = F.when(context, hits).otherwise(F.array().cast("array<string>"))
+        found.append(F.transform(hits, _tagged(no, g.id)))
     return lines.select(key, "line", F.explode(F.concat(*found)).alias("h")).select(key, "line", "h.*")
 
 

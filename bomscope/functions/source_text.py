@@ -44,7 +44,7 @@ def extract_comments(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     c = c.withColumn("run", F.sum((~F.col("joined")).cast("int")).over(w))
     # An empty comment opens nothing: a run starts at its first comment with text.
     in_run = W.partitionBy(key, "run").orderBy("pos")
-    c = c.filter(F.max((F.col("body") != "").cast("int")).over(in_run.rowsBetween(W.unboundedPreceding, 0)) == 1)
+    c = c.withColumn("begun", F.max((F.col("body") != "").cast("int")).over(in_run.rowsBetween(W.unboundedPreceding, 0))).filter("begun = 1")
     gap = F.col("start") - F.lag("end").over(in_run)
     pad = F.when(gap.isNull(), "").when(gap > 0, F.repeat(F.lit("\n"), gap.cast("int"))).otherwise(" ")
     c = c.withColumn("part", F.concat(pad, "body"))

@@ -203,7 +203,8 @@ def run_gates(cat, gates: Mapping = POST_CORRECTION, show: int = 20) -> list[Fai
     failures = []
     for code, gate in gates.items():
         rows = gate(cat)
-        shown = rows.limit(show + 1).toJSON().take(show + 1)
+        # One job: per-partition limits, then at most show + 1 rows in one list.
+        shown = rows.limit(show + 1).agg(F.collect_list(F.to_json(F.struct(*rows.columns)))).first()[0]
         if shown:
             total = len(shown) if len(shown) <= show else rows.count()
             failures.append(Failure(code, total, shown[:show]))

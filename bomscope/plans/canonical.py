@@ -108,7 +108,7 @@ def quality_report_items(cat) -> DataFrame:
 def quality_report(cat) -> DataFrame:
     """One row, one `report` string: a JSON object with bytewise-ascending keys."""
     rows = quality_report_items(cat).groupBy("section").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("m"))
-    whole = rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "m")))).alias("s"))
+    whole = rows.agg(F.map_from_entries(F.collect_list(F.struct("section", "m"))).alias("s"))
     s = F.col("s")
     counted = lambda key: F.transform_values(s[key], lambda k, v: v.cast("long"))
     inst = s["instances"]

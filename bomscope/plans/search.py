@@ -66,7 +66,7 @@ def global_search(cat, terms: DataFrame, per_kind: int = 5, total: int = 20) ->
     # Both limits are the feature; the per-kind one is applied map-side as a group limit.
     capped = best.withColumn("_n", F.row_number().over(in_kind)).filter(F.col("_n") <= per_kind).withColumn("_kind", weight)
     return (capped.withColumn("position", F.row_number().over(in_all)).filter(F.col("position") <= total)
-            .select("needle", "position", "kind", "id", "label", "detail", "matched_on", "rank"))
+            .select("needle", F.col("position").cast("long").alias("position"), "kind", "id", "label", "detail", "matched_on", "rank"))
 
 
 def resolve_alias(ids: DataFrame, key: str, names: DataFrame, terms: DataFrame) -> DataFrame:

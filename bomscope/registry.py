@@ -44,9 +44,8 @@ def _bundle_folder(cat) -> str:
     path = _scratch(cat)
     names = cat["chip_name"].groupBy("chip_id").agg(F.array_sort(F.collect_list(F.struct("name", "chip_id", "kind"))).alias("chip_name"))
     chip = cat["chip"].select("chip_id", F.array(F.struct(*TABLES["chip"].names)).alias("chip"))
-    curated = cat["system_chip"].drop("quantity").withColumn("n", F.struct("system_id", "role_id", "chip_id", "clock_hz", "note"))
-    chip.join(names, "chip_id", "left").select(F.to_json(F.struct("chip", "chip_name")).alias("value")).unionByName(
-        curated.select(F.to_json(F.struct(F.array("n").alias("system_chip"))).alias("value"))).write.text(path + "/rows.json")
+    curated = cat["system_chip"].select(F.array(F.struct("system_id", "role_id", "chip_id", "clock_hz", "note")).alias("system_chip"))
+    chip.join(names, "chip_id", "left").select("chip", "chip_name").unionByName(curated, allowMissingColumns=True).write.json(path)
     return path
 
 
@@ -61,8 +60,9 @@ def src1(cat):
 def src1_rejects(cat):
     """Bundles with an unknown table, an unknown column, a null and a nested cell for every system."""
     path = _scratch(cat)
-    doc = F.concat(F.lit('{"system":[{"system_id":"'), "system_id", F.lit('","name":null,"colour":1,"notes":{"a":1}}],"weather":[],"chip":3}'))
-    cat["system"].select(doc.alias("value")).write.text(path + "/rows.json")
+    row = F.struct("system_id", F.lit(None).cast("string").alias("name"), F.lit(1).alias("colour"), F.struct(F.lit(1).alias("a")).alias("notes"))
+    doc = cat["system"].select(F.array(row).alias("system"), F.array().cast("array<int>").alias("weather"), F.lit(3).alias("chip"))
+    doc.write.option("ignoreNullFields", False).json(path)
     return bundles.rejected_cells(cat.spark, path, lines=True).groupBy("table", "column", "problem").agg(F.count("*").alias("cells"))
 
 

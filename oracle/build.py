@@ -22,4 +22,4 @@ def build(sql: str, extra: dict[str, str] | None = None) -> str:
     main = need(sql)
     if not done:
         return main
-    return "WITH " + ",\n".join(f'"{n}" AS MATERIALIZED ({b})' for n, b in done.items()) + "\n" + main
+    return "WITH " + ",\n".join(f'"{n}" AS MATERIALIZED ({b})' for n, b in done.items()) + f"\nSELECT * FROM ({main})"

@@ -22,6 +22,19 @@ SQL["src4_load_lookup_defaults"] = "SELECT system_id, role_id, chip_id, CAST(1 A
 SQL["src6_document_lines"] = """
 SELECT doc_id, CAST(len(l) AS BIGINT) AS lines, CAST(list_max([length(x) FOR x IN l]) AS BIGINT) AS longest
 FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"""
+EXTRA["good_fix"] = """
+SELECT * FROM {machine_chip_correction} WHERE chip_id IN (SELECT chip_id FROM {chip})
+  AND (machine_id, mame_tag) IN (SELECT (machine_id, mame_tag) FROM {machine_chip_correction} GROUP BY machine_id, mame_tag HAVING count(*) = 1)
+  AND ((machine_id, mame_tag, chip_id) IN (SELECT (machine_id, mame_tag, chip_id) FROM {machine_chip})) = (op <> 'add')"""
+_PUBLISHED = {"chip_name": "(SELECT * FROM {chip_name} WHERE name NOT IN (SELECT chip_id FROM {chip}))",
+              "dataset_meta": "(SELECT key FROM {dataset_meta} UNION ALL SELECT 'schema_version')", "machine_chip_correction": "{good_fix}",
+              "machine_chip": "(SELECT machine_id, mame_tag, chip_id FROM {machine_chip} EXCEPT SELECT machine_id, mame_tag, chip_id FROM {good_fix} WHERE op = 'remove'"
+                              " UNION ALL SELECT machine_id, mame_tag, chip_id FROM {good_fix} WHERE op = 'add')"}
+TABLE_NAMES = """manufacturer manufacturer_alias license chip_function chip_family chip_role system_kind hdl_language fpga_platform implementation_kind accuracy_level chip chip_name
+chip_datasheet mame_device chip_equivalence system system_name system_chip system_driver machine machine_chip machine_unmapped_device project implementation implementation_chip
+implementation_system implementation_path implementation_platform implementation_machine implementation_dependency machine_correction machine_system machine_chip_correction
+dataset_meta threshold""".split()
+SQL["snk1_publish_catalog"] = "\nUNION ALL\n".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {_PUBLISHED.get(t, '{' + t + '}')}" for t in TABLE_NAMES)
 SQL["snk2_write_quality_report"] = """
 SELECT 'chip' AS name, count(*) AS value FROM {chip} UNION ALL SELECT 'implementation', count(*) FROM {implementation}
 UNION ALL SELECT 'machine', count(*) FROM {machine} UNION ALL SELECT 'project', count(*) FROM {project} UNION ALL SELECT 'system', count(*) FROM {system}
@@ -241,10 +254,6 @@ UNION ALL SELECT 'RETIRED_ID_COLLISION', count(*) FROM ({SQL['gat2_retired_id_co
 UNION ALL SELECT 'STALE_EXTRACT', count(DISTINCT mame_device) FROM {{machine_unmapped_device}} SEMI JOIN {{mame_device}} USING (mame_device)
 UNION ALL SELECT 'DATASET_META_INCOMPLETE', 4 - count(*) FROM {{dataset_meta}} WHERE key IN ('build_date', 'dataset_version', 'mame_version', 'schema_version')
 UNION ALL SELECT 'FOREIGN_KEY', count(*) FROM {{dangling}} UNION ALL SELECT 'UNIQUE', count(*) FROM {{duplicate}} UNION ALL SELECT 'CHECK', count(*) FROM {{broken}}"""
-TABLE_NAMES = """manufacturer manufacturer_alias license chip_function chip_family chip_role system_kind hdl_language fpga_platform implementation_kind accuracy_level chip chip_name
-chip_datasheet mame_device chip_equivalence system system_name system_chip system_driver machine machine_chip machine_unmapped_device project implementation implementation_chip
-implementation_system implementation_path implementation_platform implementation_machine implementation_dependency machine_correction machine_system machine_chip_correction
-dataset_meta threshold""".split()
 SQL["gat12_rebuild_fingerprint"] = "\nUNION ALL\n".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {{{t}}}" for t in TABLE_NAMES)
 SQL["rep1_quality_report"] = """
 SELECT 'counts' AS section, 'chip' AS name, CAST(count(*) AS VARCHAR) AS value FROM {chip} UNION ALL SELECT 'counts', 'implementation', CAST(count(*) AS VARCHAR) FROM {implementation}
