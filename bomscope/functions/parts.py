@@ -137,23 +137,30 @@ def _literal_hits(lines: DataFrame, literals: DataFrame, key: str) -> DataFrame:
     names by equality of the joined text, so the catalogue may be large; there is no
     alternation of thousands of names.
     """
-    widest = literals.agg(F.coalesce(F.max("pieces"), F.lit(1)).alias("k")).scalar()
+    widest = literals.agg(F.max("pieces")).first()[0] or 1  # one number; sets how many columns a run has
     words = F.regexp_extract_all("content", F.lit(f"({_WORD})"), F.lit(1))
     gaps = F.regexp_extract_all("content", F.lit(r"([^A-Za-z0-9µμ]+)"), F.lit(1))
-    df = (lines.withColumn("_w", words).filter(F.size("_w") > 0).withColumn("_g", gaps)
-          # gap i (1-based) follows word i once a leading gap is dropped
-          .withColumn("_g", F.when(F.col("content").rlike("^[^A-Za-z0-9µμ]"), F.slice("_g", 2, 1 << 30)).otherwise(F.col("_g")))
-          .withColumn("_k", widest))
-    starts = df.select(key, "line", "_w", "_g", "_k", F.explode(F.sequence(F.lit(1), F.size("_w"))).alias("_s"))
-    runs = starts.select(key, "line", "_w", "_g", "_s", F.explode(F.sequence(
-        F.lit(1), F.least(F.col("_k"), F.size("_w") - F.col("_s") + 1))).alias("_n"))
-    run = F.slice("_w", F.col("_s"), F.col("_n"))
-    gap = F.slice("_g", F.col("_s"), F.col("_n") - 1)
-    close = (F.col("_n") == 1) | ~F.exists(gap, lambda g: F.length(g) > 1)
-    runs = runs.filter(close).withColumn("_run", F.transform(run, lambda w: F.lower(F.translate(w, "µμ", "uu"))))
-    runs = runs.select(
-        key, "line", "_s", "_n", F.array_join("_run", "").alias("joined"), F.when(F.col("_n") > 1, _cuts(F.col("_run"))).alias("_own"),
-        F.concat_ws("", F.zip_with(run, F.concat(gap, F.array(F.lit(""))), lambda w, g: F.concat(w, g))).alias("designation"))
+    df = (lines.select(key, "line", "content", words.alias("_w"), gaps.alias("_g")).filter(F.size("_w") > 0)
+          # gap i follows word i once a leading gap is dropped
+          .withColumn("_g", F.when(F.col("content").rlike("^[^A-Za-z0-9µμ]"), F.slice("_g", 2, 1 << 30)).otherwise(F.col("_g"))))
+    # Word, the words after it and the gaps between, side by side: one pass over a line, and a
+    # long line's arrays are not repeated per word.
+    shifted = {f"w{i}": F.slice("_w", i + 1, 1 << 30) for i in range(widest)}
+    shifted |= {f"g{i}": F.slice("_g", i + 1, 1 << 30) for i in range(widest - 1)}
+    df = df.select(key, "line", *[c.alias(n) for n, c in shifted.items()])
+    starts = df.select(key, "line", F.posexplode(F.arrays_zip(*shifted)).alias("p", "z")).select(key, "line", (F.col("p") + 1).alias("_s"), "z.*").filter("w0 IS NOT NULL")
+
+    def run(n):
+        ws, gs = [f"w{i}" for i in range(n)], [f"g{i}" for i in range(n - 1)]
+        text = F.concat(*[c for pair in zip(ws, [*gs, None]) for c in pair if c])
+        ends = [F.length(F.concat(*ws[:i])) for i in range(1, n)]
+        close = F.col(ws[-1]).isNotNull()
+        for g in gs:
+            close = close & (F.length(g) == 1)
+        return F.when(close, F.struct(F.lit(n).alias("_n"), F.lower(F.translate(F.concat(*ws), "µμ", "uu")).alias("joined"),
+                                      (F.array(*ends) if ends else F.lit(None).cast("array<int>")).alias("_own"), text.alias("designation")))
+
+    runs = starts.select(key, "line", "_s", F.explode(F.array(*[run(n) for n in range(1, widest + 1)])).alias("r")).filter("r IS NOT NULL").select(key, "line", "_s", "r.*")
     found = (runs.join(literals, "joined")
              .filter(F.col("_own").isNull() | (F.size(F.array_except("_own", "cuts")) == 0))
              .groupBy(key, "line").agg(F.array_sort(F.collect_set(F.struct(

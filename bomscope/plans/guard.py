@@ -51,10 +51,11 @@ def _masked(text: Column, ext: Column) -> Column:
 def _offsets(text: Column, domain: Column) -> Column:
     """0-based offsets of the domain in a lower-cased text, with a boundary on each side."""
     pattern = F.concat(F.lit(r"(?<![a-z0-9-])\Q"), domain, F.lit(r"\E(?![a-z0-9-])"))
-    pieces = F.split(text, pattern)
-    upto = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda n: F.aggregate(
-        F.slice(pieces, F.lit(1), n), F.lit(0), lambda a, p: a + F.length(p)) + (n - 1) * F.length(domain))
-    return F.when(F.size(pieces) > 1, upto).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    walked = F.aggregate(F.split(text, pattern), F.struct(F.lit(0).alias("at"), none.alias("out")), lambda a, p: F.struct(
+        (a["at"] + F.length(p) + F.length(domain)).alias("at"), F.array_append(a["out"], a["at"] + F.length(p)).alias("out")), lambda a: a["out"])
+    # What follows the last piece is the end of the text, not a match.
+    return F.slice(walked, F.lit(1), F.greatest(F.size(walked) - 1, F.lit(0)))
 
 
 def _address(line: Column, at: Column, size: Column, bare: Column) -> Column:
@@ -88,12 +89,25 @@ def domain_guard(docs: DataFrame, policy: GuardPolicy, path: str = "path", text:
     docs = docs.withColumn("is_rows", F.col("is_json") & roots).withColumn(
         "cited", F.when(F.col("is_rows") & F.try_parse_json("text").isNotNull(), values).otherwise(F.array().cast("array<string>")))
 
-    # -- as written ---------------------------------------------------------------------
+    # Joined fragments: quotes, pluses, backslashes and space removed, lines run together. A match
+    # belongs to the last line that starts at or before it.
+    docs = docs.withColumn("sq", F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, _JOINERS, ""))).withColumn(
+        "all", F.array_join("sq", ""))
+
+    def line_of(at):
+        return F.aggregate("sq", F.struct(F.lit(0).alias("n"), F.lit(0).alias("from"), F.lit(0).alias("line")), lambda a, s: F.struct(
+            (a["n"] + 1).alias("n"), (a["from"] + F.length(s)).alias("from"),
+            F.when(a["from"] <= at, a["n"] + 1).otherwise(a["line"]).alias("line")), lambda a: a["line"])
+
+    docs = docs.withColumn("joined", F.flatten(F.transform("found", lambda d: F.transform(
+        _offsets(F.lower("all"), d), lambda at: F.struct(d.alias("domain"), line_of(at).alias("line"), _address(
+            F.col("all"), at, F.length(d), ~F.col("is_json")).alias("address"))))))
+
     masked = F.when(F.col("is_prose"), F.col("text")).otherwise(_masked(F.col("text"), F.col("ext")))
+    kept = ["path", "is_prose", "is_json", "is_rows", "cited", "found", "joined"]
     lines = docs.withColumn("ls", F.split("text", "\n")).withColumn("ms", F.split(masked, "\n")).select(
-        "path", "is_prose", "is_json", "is_rows", "cited", "found", F.size("ls").alias("n_lines"),
-        F.posexplode(F.arrays_zip("ls", "ms")).alias("p", "z")).select(
-        "path", "is_prose", "is_json", "is_rows", "cited", "found", "n_lines", (F.col("p") + 1).alias("line"), F.col("z.ls").alias("content"), F.col("z.ms").alias("mask"))
+        *kept, F.size("ls").alias("n_lines"), F.posexplode(F.arrays_zip("ls", "ms")).alias("p", "z")).select(
+        *kept, "n_lines", (F.col("p") + 1).alias("line"), F.col("z.ls").alias("content"), F.col("z.ms").alias("mask"))
     w = W.partitionBy("path").orderBy("line")
     verb = F.lit(False)
     for v in policy.fetch_verbs:
@@ -104,28 +118,21 @@ def domain_guard(docs: DataFrame, policy: GuardPolicy, path: str = "path", text:
     lines = (lines.withColumn("verb", F.max(verb.cast("int")).over(w.rowsBetween(-policy.context_lines, policy.context_lines)) == 1)
              .withColumn("fenced", (opened % 2 == 1) & ~fence & ((opened < total) | (total % 2 == 0) | (F.col("line") < F.col("n_lines"))))
              .withColumn("citable", F.exists("cited", lambda v: F.contains(F.col("content"), v))))
-    seen = (lines.withColumn("domain", F.explode("found")).withColumn("at", F.explode(_offsets(F.lower("content"), F.col("domain"))))
-            .withColumn("address", _address(F.col("content"), F.col("at"), F.length("domain"), ~F.col("is_json")))
-            .withColumn("comment", F.substring("mask", F.col("at") + 1, F.lit(1)) == "\u0001").withColumn("split", F.lit(False)))
-
-    # -- joined fragments: quotes, pluses, backslashes and space removed, lines run together -----
-    squeezed = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, _JOINERS, ""))
-    joined = docs.withColumn("sq", squeezed).withColumn("all", F.array_join("sq", "")).withColumn("domain", F.explode("found")).withColumn(
-        "at", F.explode(_offsets(F.lower("all"), F.col("domain"))))
-    # Running line starts in one pass; the line is the last that starts at or before the match.
-    number = F.aggregate("sq", F.struct(F.lit(0).alias("n"), F.lit(0).alias("from"), F.lit(0).alias("line")), lambda a, s: F.struct(
-        (a["n"] + 1).alias("n"), (a["from"] + F.length(s)).alias("from"),
-        F.when(a["from"] <= F.col("at"), a["n"] + 1).otherwise(a["line"]).alias("line")), lambda a: a["line"])
-    joined = joined.select("path", "is_json", "domain", number.alias("line"),
-                           _address(F.col("all"), F.col("at"), F.length("domain"), ~F.col("is_json")).alias("address")).join(
-        seen.select("path", "domain", "line").distinct(), ["path", "domain", "line"], "left_anti")
-    facts = ["path", "line", "content", "is_prose", "is_rows", "verb", "fenced", "citable"]
-    joined = joined.drop("is_json").join(lines.select(*facts), ["path", "line"]).withColumn("comment", F.lit(False)).withColumn("split", F.lit(True))
-
-    both = seen.select(*facts, "domain", "address", "comment", "split").unionByName(joined.select(*facts, "domain", "address", "comment", "split"))
+
+    # As written first; a joined match counts only on a line where the domain is not written out.
+    def occurrences(d):
+        written = F.transform(_offsets(F.lower("content"), d), lambda at: F.struct(
+            d.alias("domain"), _address(F.col("content"), at, F.length(d), ~F.col("is_json")).alias("address"),
+            (F.substring(F.col("mask"), at + 1, F.lit(1)) == "\u0001").alias("comment"), F.lit(False).alias("split")))
+        pieced = F.transform(F.filter("joined", lambda j: (j["domain"] == d) & (j["line"] == F.col("line"))), lambda j: F.struct(
+            d.alias("domain"), j["address"].alias("address"), F.lit(False).alias("comment"), F.lit(True).alias("split")))
+        return F.when(F.size(written) > 0, written).otherwise(pieced)
+
+    seen = lines.withColumn("o", F.explode(F.flatten(F.transform("found", occurrences)))).select(
+        "path", "line", "content", "is_prose", "is_rows", "verb", "fenced", "citable", "o.*")
     near = F.col("verb") & ~F.col("comment")
     fetch = (F.when(F.col("is_rows"), ~F.col("citable") | F.col("split")).when(F.col("is_prose"), F.col("fenced") & near)
              .otherwise(F.col("address") | near))
     mild = F.when(F.col("is_rows"), "citation").otherwise("prose")
-    return (both.groupBy("path", "line", "domain").agg(F.max(fetch.cast("int")).alias("f"), F.max(mild).alias("m"), F.max("content").alias("content"))
+    return (seen.groupBy("path", "line", "domain").agg(F.max(fetch.cast("int")).alias("f"), F.max(mild).alias("m"), F.max("content").alias("content"))
             .select("path", "line", "domain", F.when(F.col("f") == 1, "fetch").otherwise(F.col("m")).alias("disposition"), evidence(F.col("content")).alias("evidence")))

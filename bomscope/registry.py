@@ -500,9 +500,9 @@ GUARD = guard.GuardPolicy(domains=("example.com", "example.org"), fetch_verbs=("
 
 @query("rec22_domain_guard")
 def rec22(cat):
-    docs = cat["documents"].select(F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("path"), "text").unionByName(
-        cat["pages"].select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("path"), F.concat(F.lit("<!-- source: "), "url", F.lit(" -->\n"), "html").alias("text")))
-    return guard.domain_guard(docs, GUARD).select("path", "line", "domain", "disposition")
+    docs = cat["documents"].select(F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("path"), "text")
+    pages = cat["pages"].select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("path"), F.concat(F.lit("<!-- source: "), "url", F.lit(" -->\n"), "html").alias("text"))
+    return guard.domain_guard(docs, GUARD).unionByName(guard.domain_guard(pages, GUARD)).select("path", "line", "domain", "disposition")
 
 
 # -- search, browse, details, dashboard --------------------------------------------------------

@@ -285,7 +285,7 @@ WITH n AS (SELECT *, {_BARE.format('designation')} AS normalized, {_NORM.format(
 SELECT p_partkey, designation, normalized, coalesce(a.chip_id, b.chip_id) AS chip_id, coalesce('chip:' || coalesce(a.chip_id, b.chip_id), 'part:' || normalized) AS key
 FROM n LEFT JOIN {{chip_key}} a ON a.key = normalized LEFT JOIN {{chip_key}} b ON b.key = plain WHERE length(normalized) >= 2"""
 EXTRA["doc_line"] = """
-SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents"""
+SELECT doc_id, unnest(string_split(text, chr(10))) AS content, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line FROM documents"""
 EXTRA["literal"] = """
 SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS name FROM benchmark"""
 _B0, _B1 = "(?:^|[^A-Za-z0-9])", "(?:$|[^A-Za-z0-9])"
@@ -376,6 +376,21 @@ SQL["rec21_null_override_falls_through"] = """
 SELECT machine_id, coalesce(s.system_id, d.system_id) AS system_id FROM {machine} LEFT JOIN {machine_system} s USING (machine_id) LEFT JOIN {system_driver} d USING (mame_sourcefile)
 WHERE coalesce(s.system_id, d.system_id) IS NOT NULL"""
 
+EXTRA["guard_line"] = """
+SELECT 'd' || doc_id || '.txt' AS path, content, line, false AS web, false AS first_ FROM {doc_line}
+UNION ALL SELECT 'p' || page_id || '.html', '<!-- source: ' || url || ' -->', 1, true, true FROM pages
+UNION ALL SELECT 'p' || page_id || '.html', unnest(string_split(html, chr(10))), CAST(1 + generate_subscripts(string_split(html, chr(10)), 1) AS INTEGER), true, false FROM pages"""
+# An address: a scheme runs in, a path follows, or the domain is a whole quoted literal. The page's
+# first line is a comment; elsewhere a fetch verb within three lines counts.
+SQL["rec22_domain_guard"] = r"""
+WITH hit AS (SELECT l.*, d FROM {guard_line} l, unnest(['example.com', 'example.org']) AS u(d)
+             WHERE regexp_matches(lower(content), '(^|[^a-z0-9-])' || replace(d, '.', '\.') || '($|[^a-z0-9-])')),
+     verb AS (SELECT path, line FROM {guard_line} WHERE contains(lower(content), 'fetch(') OR contains(lower(content), 'curl') OR contains(lower(content), 'src='))
+SELECT path, line, d AS domain, CASE WHEN regexp_matches(lower(content), '//[a-z0-9.-]{0,22}' || replace(d, '.', '\.') || '($|[^a-z0-9-])')
+  OR regexp_matches(lower(content), '(^|[^a-z0-9-])' || replace(d, '.', '\.') || '/[^\s"''`]')
+  OR (NOT first_ AND EXISTS (SELECT 1 FROM verb v WHERE v.path = hit.path AND v.line BETWEEN hit.line - 3 AND hit.line + 3)) THEN 'fetch' ELSE 'prose' END AS disposition
+FROM hit"""
+
 # -- search, browse, details, dashboard ----------------------------------------------------------------
 EXTRA["term"] = """
 SELECT DISTINCT lower(trim(t)) AS needle FROM (SELECT string_split(p_name, ' ')[1] AS t FROM part UNION ALL SELECT c_mktsegment FROM customer
