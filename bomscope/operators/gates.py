@@ -132,31 +132,38 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def foreign_key_check(cat, tables=None) -> DataFrame:
-    """Dangling references: (table, column, value, rows). Children are counted per value first,
-    so a value shared by a third of the rows reaches the join once per task."""
-    parts = []
+    """Dangling references: (table, column, value, rows).
+
+    All children and all referenced keys go into one relation, tallied per (reference, value)
+    map-side, so every key of the catalogue is checked with two shuffles; a value shared by a
+    third of the rows reaches the shuffle once per task.
+    """
+    parts, parents = [], {}
+    none = F.lit(None).cast("string")
     for name in tables or TABLES:
         for c in TABLES[name].columns:
             if c.ref:
-                child = cat[name].filter(F.col(c.name).isNotNull()).groupBy(F.col(c.name).alias("value")).agg(F.count("*").alias("rows"))
-                parent = cat[c.ref].select(F.col(c.ref_col).alias("value"))
-                parts.append(child.join(parent, "value", "left_anti").select(
-                    F.lit(name).alias("table"), F.lit(c.name).alias("column"), "value", "rows"))
-    return _union(parts)
+                to = f"{c.ref}.{c.ref_col}"
+                parents[to] = cat[c.ref].select(F.lit(to).alias("to"), F.col(c.ref_col).alias("value"), none.alias("table"), none.alias("column"))
+                parts.append(cat[name].filter(F.col(c.name).isNotNull()).select(
+                    F.lit(to).alias("to"), F.col(c.name).alias("value"), F.lit(name).alias("table"), F.lit(c.name).alias("column")))
+    tally = _union([*parts, *parents.values()]).groupBy("to", "value", "table", "column").agg(F.count("*").alias("rows"))
+    child = F.when(F.col("table").isNotNull(), F.struct("table", "column", "rows"))
+    # At most one entry per referring column of the data model.
+    per_value = tally.groupBy("to", "value").agg(F.max(F.col("table").isNull()).alias("present"), F.collect_list(child).alias("c"))
+    return per_value.filter(~F.col("present")).select("value", F.explode("c").alias("x")).select("x.table", "x.column", "value", "x.rows")
 
 
 def unique_check(cat, tables=None) -> DataFrame:
-    """Groups that break a primary key or a (partial) unique rule: (table, rule, key, rows)."""
+    """Groups that break a primary key or a (partial) unique rule: (table, rule, key, rows); one shuffle for all."""
     parts = []
     for name in tables or TABLES:
         spec = TABLES[name]
         for rule, exprs, where in (("primary key", spec.key, None), *spec.unique):
             rows = cat[name].filter(where) if where else cat[name]
-            keys = [F.expr(e).alias(f"k{i}") for i, e in enumerate(exprs)]
-            dup = rows.groupBy(*keys).agg(F.count("*").alias("rows")).filter("rows > 1")
-            parts.append(dup.select(F.lit(name).alias("table"), F.lit(rule).alias("rule"),
-                                    F.concat_ws("|", *[f"k{i}" for i in range(len(keys))]).alias("key"), "rows"))
-    return _union(parts)
+            parts.append(rows.select(F.lit(name).alias("table"), F.lit(rule).alias("rule"), F.array(*[F.expr(e).cast("string") for e in exprs]).alias("k")))
+    return (_union(parts).groupBy("table", "rule", "k").agg(F.count("*").alias("rows")).filter("rows > 1")
+            .select("table", "rule", F.array_join("k", "|").alias("key"), "rows"))
 
 
 def check_constraint(cat, tables=None) -> DataFrame:
@@ -220,9 +227,9 @@ def gate_counts(cat, gates: Mapping = POST_CORRECTION) -> DataFrame:
 def rebuild_fingerprint(cat, tables=None) -> DataFrame:
     """Order-insensitive content hash per table: (table, rows, digest). Two builds of the same
     inputs must agree. Row hashes are summed as exact decimals, so nothing overflows."""
-    parts = []
-    for name in tables or TABLES:
-        h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in TABLES[name].names])
-        parts.append(cat[name].agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("digest"))
-                     .select(F.lit(name).alias("table"), "rows", F.coalesce("digest", F.lit("0")).alias("digest")))
-    return _union(parts)
+    names = list(tables or TABLES)
+    hashed = _union([cat[n].select(F.lit(n).alias("table"), F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in TABLES[n].names])
+                                   .cast("decimal(38,0)").alias("h")) for n in names])
+    listed = cat.spark.createDataFrame([(n,) for n in names], "table string")
+    sums = hashed.groupBy("table").agg(F.count("*").alias("rows"), F.sum("h").cast("string").alias("digest"))
+    return listed.join(sums, "table", "left").select("table", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), F.coalesce("digest", F.lit("0")).alias("digest"))

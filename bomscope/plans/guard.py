@@ -37,12 +37,16 @@ _STYLES = (
 _JOINERS = "['\"`+\\\\\\s]"
 
 
+def _blanked(comment: str):
+    return lambda s: F.when(s.rlike(rf"\A(?:{comment})\z"), F.regexp_replace(s, r"[^\n]", "\u0001")).otherwise(s)
+
+
 def _masked(text: Column, ext: Column) -> Column:
     """The text with every comment character (but newlines) replaced by \\u0001: same length, same lines."""
     out = None
     for pattern, opener, extensions in _STYLES:
         seg = segments(text, pattern, opener, (_DQ, _SQ, _BT))
-        blank = F.array_join(F.transform(seg, lambda s, p=pattern: F.when(s.rlike(rf"\A(?:{p})\z"), F.regexp_replace(s, r"[^\n]", "\u0001")).otherwise(s)), "")
+        blank = F.array_join(F.transform(seg, _blanked(pattern)), "")
         case = ext.isin(*extensions)
         out = F.when(case, blank) if out is None else out.when(case, blank)
     return out.otherwise(text)

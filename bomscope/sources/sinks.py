@@ -24,7 +24,7 @@ def _hadoop(spark, path):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def publish_catalog(cat: Catalog, path: str, tables=None, extra_gates: Mapping | None = None) -> Catalog:
+def publish_catalog(cat: Catalog, path: str, tables=None, gates: Mapping = POST_CORRECTION) -> Catalog:
     """Corrections, gates, then one rename: nothing is visible at `path` until every gate passes.
 
     Tables are written to a staging folder beside the target and the gates read the written
@@ -39,7 +39,7 @@ def publish_catalog(cat: Catalog, path: str, tables=None, extra_gates: Mapping |
     for name in tables or TABLES:
         load_lookup_defaults(fixed[name], name).write.mode("overwrite").parquet(f"{staging}/{name}")
     staged = Catalog.from_parquet(cat.spark, staging)
-    failures = run_gates(staged, {**POST_CORRECTION, **(extra_gates or {})})
+    failures = run_gates(staged, gates)
     if failures:
         raise GateFailure(failures)
     fs, target = _hadoop(cat.spark, path)
