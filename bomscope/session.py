@@ -15,6 +15,8 @@ def build_session(cpus: int | str = 8, app: str = "bomscope") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Collecting aggregates keep hashing for this many groups before they sort.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "50000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")

@@ -1,0 +1 @@
+"""No unbounded inputs exist in the data model; nothing is streamed."""

@@ -470,12 +470,13 @@ def test_guard(spark, path, text, want):
 
 # -- search ------------------------------------------------------------------------------------------
 
-def test_search_ranks_and_limits(spark):
+@pytest.mark.parametrize("few", [0, 256])
+def test_search_ranks_and_limits(spark, few):
     chips = [{"chip_id": f"c{i}", "display_name": f"Z80 type {i}", "function_id": "cpu"} for i in range(9)] + [{"chip_id": "z80", "display_name": "Zilog", "function_id": "cpu"}]
     cat = Catalog.from_rows(spark, {"chip": chips, "chip_name": [{"chip_id": "c3", "name": "z80", "kind": "alias"}],
                                     "system": [{"system_id": "sys", "name": "My Z80 box", "kind_id": "k"}]})
     terms = spark.createDataFrame([(" Z80 ",), ("x",), ("%",), ("80 b",)], "t string")
-    rows = search.global_search(cat, terms).orderBy("needle", "position").collect()
+    rows = search.global_search(cat, terms, few=few).orderBy("needle", "position").collect()
     got = [(r.id, r["rank"]) for r in rows if r.needle == "z80"]
     assert got[0] == ("z80", 0) and got[1] == ("c3", 1) and len(got) == 6 and got[-1] == ("sys", 4)
     assert [(r.id, r["rank"]) for r in rows if r.needle == "80 b"] == [("sys", 4)]
