@@ -89,17 +89,19 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     leaf hashes travel to the document before it.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    # Both joins by id below start from these same rows, so they are dealt by id once.
+    known = base.filter("doc_id IS NOT NULL")
     lengths = base.select("doc_id", F.length("text").alias("n")).dropna().groupBy("doc_id").agg(F.max("n").alias("room"))
     order = with_next(base, "doc_id").join(lengths, "doc_id").select(
         F.col("doc_id").alias("before"), F.col("next_doc_id").alias("doc_id"), F.floor(F.col("room") / 2).cast("int").alias("room")
     )
-    after = base.join(order, "doc_id").select(
+    after = known.join(order, "doc_id").select(
         F.col("before").alias("doc_id"),
         F.struct(F.expr("left(text, room)").alias("head"), leaf_set(F.col("text")).alias("leaves")).alias("after"),
     )
     # min: one of them where rows share an id.
     after = after.groupBy("doc_id").agg(F.min("after").alias("after"))
-    both = base.join(after, "doc_id", "left").select(
+    both = known.join(after, "doc_id", "left").unionByName(base.filter("doc_id IS NULL"), allowMissingColumns=True).select(
         "doc_id", "text", F.length("text").cast("long").alias("n_chars"),
         F.coalesce(F.col("after.head"), F.lit("")).alias("head"),
         F.coalesce(F.col("after.leaves"), F.array().cast("array<bigint>")).alias("next_leaves"),
