@@ -101,8 +101,10 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     # min: one of them where rows share an id.
     after = after.groupBy("doc_id").agg(F.min("after").alias("after"))
-    both = known.join(after, "doc_id", "left").unionByName(base.filter("doc_id IS NULL"), allowMissingColumns=True).select(
-        "doc_id", "text", F.length("text").cast("long").alias("n_chars"),
+    both = known.join(after, "doc_id", "left").select(F.col("doc_id").alias("id"), "text", "after")
+    # The new name lets Spark see that both joins start from equal rows.
+    both = both.unionByName(base.filter("doc_id IS NULL").withColumnRenamed("doc_id", "id"), allowMissingColumns=True).select(
+        F.col("id").alias("doc_id"), "text", F.length("text").cast("long").alias("n_chars"),
         F.coalesce(F.col("after.head"), F.lit("")).alias("head"),
         F.coalesce(F.col("after.leaves"), F.array().cast("array<bigint>")).alias("next_leaves"),
     )
