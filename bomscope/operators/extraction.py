@@ -266,34 +266,20 @@ def violation_counts(violations: DataFrame) -> DataFrame:
     return violations.groupBy("table").agg(F.count("*").alias("violations"))
 
 
-def detailed_violations(violations: DataFrame, limit_per_table: int = 1000) -> DataFrame:
-    """The detail listing is a report of at most n rows per table; counts stay exact."""
-    order = W.partitionBy("table").orderBy("machine_id", "detail")
-    return (violations.withColumn("n", F.row_number().over(order))
-            .filter(F.col("n") <= limit_per_table).drop("n"))
-
-
-def classify_violations(violations: DataFrame, known: DataFrame, limit_per_table: int = 1000) -> DataFrame:
+def classify_violations(violations: DataFrame, known: DataFrame) -> DataFrame:
     """(status, table, machine_id, detail, reason): known, unexpected, or known entries that did not occur.
 
-    `known` has (key = 'table/machine_id', reason).  Rows beyond the per-table detail limit are
-    reported as one unexpected entry per table carrying how many they are, so a limit can only
-    make a run fail harder.
+    `known` has (key = 'table/machine_id', reason).  All violations are listed; whoever prints them limits them.
     """
-    detail = detailed_violations(violations, limit_per_table).withColumn(
-        "key", F.concat_ws("/", "table", "machine_id"))
+    detail = violations.withColumn("key", F.concat_ws("/", "table", "machine_id"))
     listed = known.select("key", "reason")
     found = detail.join(listed, "key", "left").select(
         F.when(F.col("reason").isNotNull(), "known").otherwise("unexpected").alias("status"),
         "table", "machine_id", "detail", "reason")
-    beyond = violation_counts(violations).filter(F.col("violations") > limit_per_table).select(
-        F.lit("unexpected").alias("status"), "table", F.lit("?").alias("machine_id"),
-        F.concat((F.col("violations") - limit_per_table).cast("string"), F.lit(" beyond the detail limit")).alias("detail"),
-        F.lit(None).cast("string").alias("reason"))
     unused = listed.join(detail, "key", "left_anti").select(
         F.lit("unused_known").alias("status"), F.split_part("key", F.lit("/"), F.lit(1)).alias("table"),
         F.split_part("key", F.lit("/"), F.lit(2)).alias("machine_id"), F.lit(None).cast("string").alias("detail"), "reason")
-    return found.unionByName(beyond).unionByName(unused)
+    return found.unionByName(unused)
 
 
 # -- EXT13 --------------------------------------------------------------------------

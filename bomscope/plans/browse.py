@@ -197,13 +197,15 @@ def chip_implementations(cat) -> DataFrame:
         "provider_chip_id").distinct()
 
 
-def _first_n(df: DataFrame, per: str, order: list[str], n: int) -> DataFrame:
-    """A sample of n rows per id is the feature; the limit is applied before the shuffle."""
+def _first_n(df: DataFrame, per: str, order: list[str], n: int | None) -> DataFrame:
+    """All rows, or the first n per id for a caller that asks for them; the limit is applied before the shuffle."""
+    if n is None:
+        return df
     w = W.partitionBy(per).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
-def chip_machines(cat, limit: int = 40) -> DataFrame:
+def chip_machines(cat, limit: int | None = None) -> DataFrame:
     df = cat["v_machine_bom"].join(cat["v_machine"].select("machine_id", "name", "year", "system_id"), "machine_id").select(
         "chip_id", "machine_id", "name", "year", "system_id", "role", "via", "clock_hz", "quantity")
     return _first_n(df, "chip_id", ["name", "machine_id", "role"], limit)
@@ -299,7 +301,7 @@ def system_platforms(cat) -> DataFrame:
             .select("system_id", "platform_id", "label", F.coalesce("_core", F.lit(0)).alias("has_core")))
 
 
-def system_machines(cat, limit: int = 60) -> DataFrame:
+def system_machines(cat, limit: int | None = None) -> DataFrame:
     df = cat["v_machine"].filter("system_id IS NOT NULL").select("system_id", "machine_id", "name")
     return _first_n(df, "system_id", ["name", "machine_id"], limit)
 
@@ -313,7 +315,7 @@ def system_cores(cat) -> DataFrame:
         "system_id", "implementation_id", "name", "repo_url", "license_id")
 
 
-def implementation_links(cat, machine_limit: int = 40) -> DataFrame:
+def implementation_links(cat, machine_limit: int | None = None) -> DataFrame:
     """What an implementation touches: (implementation_id, relation, id, name, note)."""
     def rel(name, df, key, target, label, note=None):
         return df.select(F.col(key).alias("implementation_id"), F.lit(name).alias("relation"), F.col(target).alias("id"),

@@ -35,15 +35,6 @@ def _grams(text: Column, size: int) -> Column:
     return F.when(last >= 1, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
-FEW_TERMS = 256
-
-
-def _hits_of_few(names: DataFrame, needles: DataFrame) -> DataFrame:
-    asked = needles.agg(F.collect_list("needle").alias("v")).scalar()
-    found = names.withColumn("_asked", asked)
-    return found.select(*names.columns, F.explode(F.filter("_asked", lambda n: F.contains(F.col("text"), n))).alias("needle"))
-
-
 def _hits_by_gram(names: DataFrame, needles: DataFrame) -> DataFrame:
     wanted = needles.select("needle", F.explode(F.when(F.length("needle") >= 3, _grams(F.col("needle"), 3))
                                                 .otherwise(F.array("needle"))).alias("gram"))
@@ -55,18 +46,16 @@ def _hits_by_gram(names: DataFrame, needles: DataFrame) -> DataFrame:
     return indexed.join(key, "gram").filter(F.contains("text", "needle"))
 
 
-def global_search(cat, terms: DataFrame, per_kind: int = 5, total: int = 20, few: int = FEW_TERMS) -> DataFrame:
+def global_search(cat, terms: DataFrame, per_kind: int = 5, total: int = 20) -> DataFrame:
     """Best hits per term: exact, exact alias, prefix, alias prefix, substring, alias substring.
 
-    A substring test between every term and every text would be a cross join.  A handful of
-    terms (counted first, at most `few`) travels to the texts as one array.  More terms use an
-    index: texts by their letter triples (pairs for two-letter terms), met with each term's
+    A substring test between every term and every text would be a cross join.  Terms use an
+    index instead: texts by their letter triples (pairs for two-letter terms), met with each term's
     rarest one by equality; candidates are then tested exactly.
     """
     needles = (terms.select(F.lower(F.trim(F.col(terms.columns[0]))).alias("needle")).distinct()
                .filter(F.length("needle") >= MIN_TERM))
-    is_few = needles.limit(few + 1).count() <= few
-    hits = (_hits_of_few if is_few else _hits_by_gram)(search_names(cat), needles)
+    hits = _hits_by_gram(search_names(cat), needles)
     step = F.when(F.col("text") == F.col("needle"), 0).when(F.startswith("text", "needle"), 2).otherwise(4)
     rank = step + F.when(F.col("matched_on").isNotNull(), 1).otherwise(0)
     best = (hits.groupBy("needle", "kind", "id", "label", "detail")

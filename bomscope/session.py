@@ -35,6 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     path = getattr(spark, "_bomscope_dir", None)
     if path is None:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="bomscope-")
         spark._bomscope_dir = path
     return path

@@ -249,12 +249,15 @@ UNION ALL SELECT 'implementation', implementation_id, 'original silicon carries
 UNION ALL SELECT 'chip_equivalence', from_chip_id || '|' || to_chip_id, 'equivalent is ordered' FROM {chip_equivalence} WHERE kind = 'equivalent' AND from_chip_id >= to_chip_id"""
 SQL["gat7_check_constraint"] = "SELECT * FROM {broken}"
 SQL["gat11_run_gates"] = f"""
+SELECT code, rows, rows AS reported FROM (
 SELECT 'STALE_CORRECTION' AS code, count(*) AS rows FROM ({SQL['gat1_stale_correction']})
 UNION ALL SELECT 'RETIRED_ID_COLLISION', count(*) FROM ({SQL['gat2_retired_id_collision']})
 UNION ALL SELECT 'STALE_EXTRACT', count(DISTINCT mame_device) FROM {{machine_unmapped_device}} SEMI JOIN {{mame_device}} USING (mame_device)
 UNION ALL SELECT 'DATASET_META_INCOMPLETE', 4 - count(*) FROM {{dataset_meta}} WHERE key IN ('build_date', 'dataset_version', 'mame_version', 'schema_version')
-UNION ALL SELECT 'FOREIGN_KEY', count(*) FROM {{dangling}} UNION ALL SELECT 'UNIQUE', count(*) FROM {{duplicate}} UNION ALL SELECT 'CHECK', count(*) FROM {{broken}}"""
-SQL["gat12_rebuild_fingerprint"] = "\nUNION ALL\n".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {{{t}}}" for t in TABLE_NAMES)
+UNION ALL SELECT 'FOREIGN_KEY', count(*) FROM {{dangling}} UNION ALL SELECT 'UNIQUE', count(*) FROM {{duplicate}} UNION ALL SELECT 'CHECK', count(*) FROM {{broken}}
+UNION ALL SELECT 'DEPENDENCY_CYCLE', count(*) FROM ({SQL['gat4_dependency_acyclic']})
+UNION ALL SELECT 'PROVIDES_CYCLE', count(*) FROM ({_CYCLE.replace("{name}", "chip_id").replace("{edges}", "SELECT from_chip_id, to_chip_id FROM {chip_equivalence} WHERE kind = 'provides'")}))"""
+SQL["gat12_rebuild_fingerprint"] = "\nUNION ALL\n".join(f"SELECT '{t}' AS \"table\", count(*) AS rows, true AS same FROM {{{t}}}" for t in TABLE_NAMES)
 SQL["rep1_quality_report"] = """
 SELECT 'counts' AS section, 'chip' AS name, CAST(count(*) AS VARCHAR) AS value FROM {chip} UNION ALL SELECT 'counts', 'implementation', CAST(count(*) AS VARCHAR) FROM {implementation}
 UNION ALL SELECT 'counts', 'machine', CAST(count(*) AS VARCHAR) FROM {machine} UNION ALL SELECT 'counts', 'project', CAST(count(*) AS VARCHAR) FROM {project}
@@ -338,7 +341,7 @@ WITH raw AS (
   SELECT system_id, 'mame-source' AS witness, upper(chip_id) AS designation, 'https://example.org/src/' || role_id AS source_url, '// ' || chip_id AS evidence FROM {{system_chip}}
   UNION ALL SELECT system_id, 'wikipedia', 'D' || coalesce(CAST(year_introduced AS VARCHAR), '38'), 'https://example.org/wiki', name FROM {{system}}
   UNION ALL SELECT DISTINCT system_id, 'wikidata', upper(mame_device), 'https://example.org/item', 'statement' FROM {{v_machine_system}} JOIN {{machine_unmapped_device}} USING (machine_id)
-            WHERE system_id IS NOT NULL AND length(mame_device) = 3),
+            WHERE system_id IS NOT NULL),
   n AS (SELECT *, {_BARE.format('designation')} AS normalized, {_NORM.format('designation')} AS plain FROM raw)
 SELECT system_id, witness, coalesce('chip:' || coalesce(a.chip_id, b.chip_id), 'part:' || normalized) AS key, designation, coalesce(a.chip_id, b.chip_id) AS chip_id, source_url, evidence
 FROM n LEFT JOIN {{chip_key}} a ON a.key = normalized LEFT JOIN {{chip_key}} b ON b.key = plain WHERE length(normalized) >= 2
@@ -475,8 +478,7 @@ SELECT DISTINCT s.socket_chip_id AS chip_id, i.implementation_id, i.name, i.kind
   l.author, i.verified_against_hardware, i.last_reviewed, s.via, s.provider_chip_id
 FROM {v_chip_satisfies} s JOIN {implementation_chip} c ON c.chip_id = s.provider_chip_id JOIN {implementation} i USING (implementation_id) JOIN {impl_list} l USING (implementation_id)"""
 SQL["det1_chip_machines"] = """
-SELECT b.chip_id, b.machine_id, m.name, m.year, m.system_id, b.role, b.via, b.clock_hz, b.quantity FROM {v_machine_bom} b JOIN {v_machine} m USING (machine_id)
-QUALIFY row_number() OVER (PARTITION BY b.chip_id ORDER BY m.name, b.machine_id, b.role) <= 40"""
+SELECT b.chip_id, b.machine_id, m.name, m.year, m.system_id, b.role, b.via, b.clock_hz, b.quantity FROM {v_machine_bom} b JOIN {v_machine} m USING (machine_id)"""
 SQL["det1_chip_equivalences"] = """
 SELECT k.chip_id, e.from_chip_id, e.to_chip_id, e.kind, e.note, f.display_name AS from_name, t.display_name AS to_name
 FROM {chip_equivalence} e JOIN {chip} f ON f.chip_id = e.from_chip_id JOIN {chip} t ON t.chip_id = e.to_chip_id JOIN {chip} k ON k.chip_id IN (e.from_chip_id, e.to_chip_id)"""
@@ -511,14 +513,13 @@ SQL["det3_system_platforms"] = """
 SELECT s.system_id, p.platform_id, p.label, CAST(EXISTS (SELECT 1 FROM {v_system_core} f WHERE f.kind_id = 'fpga_hdl' AND f.system_id = s.system_id AND f.platform_id = p.platform_id) AS INTEGER) AS has_core
 FROM {system} s, {fpga_platform} p"""
 SQL["det3_system_machines"] = """
-SELECT system_id, machine_id, name FROM {v_machine} WHERE system_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY system_id ORDER BY name, machine_id) <= 60"""
+SELECT system_id, machine_id, name FROM {v_machine} WHERE system_id IS NOT NULL"""
 SQL["det3_system_drivers"] = "SELECT system_id, mame_sourcefile FROM {system_driver}"
 SQL["det3_system_cores"] = "SELECT system_id, implementation_id, name, repo_url, license_id FROM {implementation_system} JOIN {implementation} USING (implementation_id)"
 SQL["det4_implementation_links"] = """
 SELECT x.implementation_id, 'chip' AS relation, c.chip_id AS id, c.display_name AS name, CAST(NULL AS VARCHAR) AS note FROM {implementation_chip} x JOIN {chip} c USING (chip_id)
 UNION ALL SELECT x.implementation_id, 'system', s.system_id, s.name, NULL FROM {implementation_system} x JOIN {system} s USING (system_id)
-UNION ALL SELECT * FROM (SELECT x.implementation_id, 'machine', m.machine_id, m.name, NULL FROM {implementation_machine} x JOIN {v_machine} m USING (machine_id)
-                         QUALIFY row_number() OVER (PARTITION BY x.implementation_id ORDER BY m.name, m.machine_id) <= 40)
+UNION ALL SELECT * FROM (SELECT x.implementation_id, 'machine', m.machine_id, m.name, NULL FROM {implementation_machine} x JOIN {v_machine} m USING (machine_id))
 UNION ALL SELECT d.consumer_id, 'provider', d.provider_id, i.name, d.note FROM {implementation_dependency} d JOIN {implementation} i ON i.implementation_id = d.provider_id
 UNION ALL SELECT d.provider_id, 'consumer', d.consumer_id, i.name, NULL FROM {implementation_dependency} d JOIN {implementation} i ON i.implementation_id = d.consumer_id"""
 SQL["dsh1_headline"] = """

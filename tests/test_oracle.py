@@ -13,11 +13,8 @@ def con():
     return connect(SF)
 
 
-# The publishing and all-gates runs take a minute each; tests/compare.py covers them.
-SLOW = {"snk1_publish_catalog", "gat11_run_gates"}
 
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches(name, bound, con):
     diff, _ = compare(QUERIES[name](bound), con, ORACLE[name])
     assert diff is None, diff
