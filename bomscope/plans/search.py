@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+import bomscope.plans.views  # noqa: F401  registers the views read below
+
 MIN_TERM = 2  # fixed value: shorter terms are not searched
 KIND_ORDER = {"chip": 4, "system": 3, "implementation": 2, "machine": 1}  # fixed values
 
