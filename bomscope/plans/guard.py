@@ -34,6 +34,8 @@ _STYLES = (
     (r"#[^\n]*", "#", (".sh", ".bash", ".yml", ".yaml", ".py", ".toml")),
     (r"<!--[\s\S]*?(?:-->|\z)", "<", (".html", ".xml", ".svg")),
 )
+#: A host name has at most 253 characters (DNS); two more for the slashes before it.
+HOST_LENGTH = 255
 _JOINERS = "['\"`+\\\\\\s]"
 
 
@@ -63,16 +65,17 @@ def _offsets(text: Column, domain: Column) -> Column:
 
 
 def _address(line: Column, at: Column, size: Column, bare: Column) -> Column:
-    """An address rather than a word: a scheme runs in, a path follows, or it fills a quoted literal."""
-    near = F.substring(line, F.greatest(at - 23, F.lit(1)), F.least(at, F.lit(24)))
-    rest = F.substring(line, at + size + 1, F.lit(1 << 30))
-    run = r"[A-Za-z0-9.:/?#=&%~_+-]*"
-    start = at - F.length(F.regexp_extract(near, f"({run})\\z", 1))
-    end = at + size + F.length(F.regexp_extract(rest, f"\\A({run})", 1))
-    head = F.substring(line, F.lit(1), start + 1)
-    quote = F.when(F.contains(head, F.lit('"')), '"').otherwise("'")
-    quoted = (start > 0) & (F.substring(line, start, F.lit(1)) == quote) & (F.substring(line, end + 1, F.lit(1)) == quote)
-    return near.rlike(r"(?:https?:)?//[A-Za-z0-9.-]*\z") | rest.rlike(r"\A/[^\s\"'`]") | (bare & quoted)
+    """An address rather than a word: its host follows two slashes, a path follows it, or its token fills a quoted literal.
+
+    The token is read outwards from the domain, to the left on the reversed text, so both reads start at its edge.
+    """
+    left = F.reverse(F.substring(line, F.greatest(at - HOST_LENGTH + 1, F.lit(1)), F.least(at, F.lit(HOST_LENGTH))))
+    right = F.substring(line, at + size + 1, F.lit(HOST_LENGTH))
+    hosted = F.startswith(F.regexp_replace(left, r"^[\w&&[^_].-]+", ""), F.lit("//"))
+    second = F.substring(right, 2, 1)
+    pathed = F.startswith(right, F.lit("/")) & second.rlike(r"\S") & ~second.isin('"', "'", "`")
+    outside = [F.substring(F.regexp_replace(side, r"^[\w.:/?#=&%~+-]+", ""), 1, 1) for side in (left, right)]
+    return hosted | pathed | (bare & outside[0].isin('"', "'") & (outside[0] == outside[1]))
 
 
 def domain_guard(docs: DataFrame, policy: GuardPolicy, path: str = "path", text: str = "text") -> DataFrame:

@@ -88,13 +88,12 @@ def src2(cat):
 
 @query("src3_read_raw_extract")
 def src3(cat):
-    """Kept machines written as an extract document per source folder and read back."""
+    """Kept machines written as extract documents, one per line, and read back."""
     path = _scratch(cat)
     row = F.struct("machine_id", "name", "clone_count")
     doc = F.struct(F.lit("0.288").alias("mame_version"), F.array(row).alias("machines"))
     cat["machine"].select(F.to_json(doc).alias("value")).write.text(path)
-    doc = cat.spark.read.schema("mame_version string, machines array<struct<machine_id:string,name:string,clone_count:bigint>>").json(path)
-    return doc.select("mame_version", F.explode("machines").alias("r")).select("mame_version", "r.*")
+    return bundles.read_raw_extract(cat.spark, path, "machines", "struct<machine_id:string,name:string,clone_count:bigint>", lines=True)[1]
 
 
 @query("src4_load_lookup_defaults")

