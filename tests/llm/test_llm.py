@@ -274,6 +274,31 @@ def test_join_equals_all_pairs(spark, k, num, monkeypatch):
     assert got == want and len(set(want.values())) < len(want) - 20
 
 
+def test_components_equal_union_find(spark):
+    """Random links, a hub, loops, repeated and reversed links; no links at all."""
+    from bomscope.llm.components import components
+
+    rng = random.Random(1)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(300)]
+    links = [(rng.choice(ids), rng.choice(ids)) for _ in range(260)] + [(ids[0], i) for i in ids[:80]]
+    links += [(b, a) for a, b in links[:50]]
+    root = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    want = {v: top(v) for a, b in links if a != b for v in (a, b)}
+    assert len(got) == len(want) and {r.v: r.label for r in got} == want
+    assert not components(spark.createDataFrame([], "a long, b long")).collect()
+
+
 def test_trees_lose_no_link():
     rng = np.random.default_rng(2)
     limit = jaccard.Limit(80, 100)
