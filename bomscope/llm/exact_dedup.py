@@ -71,14 +71,15 @@ def verdicts(
 
 def survivors(docs: DataFrame, **options) -> DataFrame:
     """Rows of `docs` that stay, with all their columns: one row for each distinct text."""
-    id_col = options.get("id_col", "doc_id")
-    kept = verdicts(docs, **options).filter("kept").groupBy(F.col("doc_id").alias("_kept_id")).agg(
-        F.count(F.lit(1)).alias("_kept_rows"), F.max("group_size").alias("_kept_of")
-    )
-    # Rows that repeat an id among those kept are rare: only they are compared once more.
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "inner")
-    single = rows.filter("_kept_rows = 1").select(docs["*"])
-    text_col = options.get("text_col", "text")
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     norm = options.get("normalise", ascii_lower)
-    repeated = rows.filter("_kept_rows > 1").withColumn("_norm", norm(text_or_empty(text_col)))
-    return single.unionByName(repeated.dropDuplicates([id_col, "_norm"]).select(*docs.columns))
+    # An id says nothing about its text where ids are null or repeat: verdicts are found again by id and text.
+    kept = verdicts(docs, **options).filter("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text")).agg(
+        F.count(F.lit(1)).alias("_kept_rows")
+    )
+    own = docs.withColumn("_own_text", F.sha2(norm(text_or_empty(text_col)).cast("binary"), 256))
+    rows = own.join(kept, own[id_col].eqNullSafe(kept["_kept_id"]) & (own["_own_text"] == kept["_kept_text"]), "inner")
+    single = rows.filter("_kept_rows = 1").select(*docs.columns)
+    # Rows that repeat an id and its text are rare: only they are told apart.
+    repeated = rows.filter("_kept_rows > 1").dropDuplicates(["_kept_id", "_own_text"])
+    return single.unionByName(repeated.select(*docs.columns))

@@ -393,6 +393,22 @@ def test_pipeline_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_dedup_stages_keep_one_row_of_each_text(spark):
+    """Null and repeated ids: unrelated texts stay, copies go, also under an id that stays with another text."""
+    rng = random.Random(8)
+    body = lambda: [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+    a, b, c, d, e, f = (" ".join(body()) for _ in range(6))
+    near = lambda t: t + " more"
+    rows = [(None, a), (None, b), (None, b), (None, c), (5, d), (5, e), (5, d), (7, f), (8, f), (8, near(d)), (None, near(c)), (9, near(e)), (None, "!"), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(3)
+    exact = [(r.doc_id, r.text) for r in corpus_pipeline.distinct_texts(spark, docs, SF).collect()]
+    want = {t: min((i for i, u in rows if u == t and i is not None), default=None) for _, t in rows}
+    assert len(exact) == len(want) and {t: i for i, t in exact} == want
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.distinct_shingles(spark, docs, SF).collect()]
+    assert len(kept) == 8 and {(i, t) for i, t in kept if t not in (c, near(c))} == {(None, a), (None, b), (5, d), (5, e), (7, f), (None, "!"), (4, "")}
+    assert {r.doc_id for r in jaccard.linked(docs, 5).filter("component_id = 5").collect()} == {5, 8, 9}
+
+
 def test_sql_checks(spark):
     from compare import compare, connect
 
