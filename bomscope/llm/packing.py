@@ -9,6 +9,9 @@ lengths are powers of two, which need no padding.
 No rows are shuffled: each task packs what it reads, in bounded memory.  Sequence ids carry the task's
 number, so a task that runs again gives the same ids.
 
+tiktoken's pattern engine runs out of stack on white space of hundreds of thousands of characters in a row, so such
+runs are cut out before it and merged as the one piece that the pattern makes of them; the ids are the same.
+
 Defined cases: a null text counts as empty; an empty text is its end mark alone.  Each row is a document
 of its own, also where ids repeat or are null.  Extra columns are not looked at.
 """
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +36,14 @@ WINDOW = 1_000_000
 #: Sequence ids that one task may use.
 PER_TASK = 1 << 36
 
+#: White space of the pattern engine: Python's without the separators U+001C to U+001F.
+BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Runs of so many are cut out.
+LONG_BLANK = 10_000
+LONG_RUN = re.compile(f"[{BLANK}]{{{LONG_BLANK},}}")
+#: What the cuts rest on: a run is one piece, less its last character if something follows.
+CUT_RULE = r"|\s+(?!\S)|\s+"
+
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -103,6 +115,30 @@ def byte_bpe(ranks_path: str, pattern: str, special: str, special_id: int):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={special: special_id})
 
 
+def encode_ordinary(model, text: str) -> list[int]:
+    """Ids of a text without special tokens."""
+    if len(text) < LONG_BLANK:
+        return model.encode_ordinary(text)
+    ids, at = [], 0
+    for run in LONG_RUN.finditer(text):
+        if not model._pat_str.endswith(CUT_RULE):
+            raise ValueError(f"white space of {len(run[0])} characters in a row, and no rule to cut it by for this pattern")
+        stop = run.end() - (run.end() < len(text))
+        ids += model.encode_ordinary(text[at : run.start()])
+        ids += model._core_bpe.encode_single_piece(text[run.start() : stop].encode())
+        at = stop
+    return ids + model.encode_ordinary(text[at:])
+
+
+def encode(model, text: str, special: str, special_id: int) -> list[int]:
+    parts = text.split(special)
+    ids = encode_ordinary(model, parts[0])
+    for part in parts[1:]:
+        ids.append(special_id)
+        ids += encode_ordinary(model, part)
+    return ids
+
+
 def pack(
     docs: DataFrame, ranks_path: str, pattern: str, special: str = "<|endoftext|>", special_id: int = 50256,
     end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
@@ -152,7 +188,7 @@ def pack(
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                ids = model.encode(text, allowed_special="all") if special in text else model.encode_ordinary(text)
+                ids = encode(model, text, special, special_id)
                 ids.append(end_id)
                 held.append((doc_id, 0, np.array(ids, "<u4"), len(ids)))
                 tokens += len(ids)

@@ -227,6 +227,20 @@ def test_packing_round_trip(spark, documents):
     assert packing.pack(odd.limit(0), *args).count() == 0
 
 
+def test_packing_of_very_long_white_space(spark):
+    """Runs that the pattern engine has no stack for: the library's ids, in the middle, at the end and beside special tokens."""
+    model = packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "<|endoftext|>", 50256)
+    theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng, n = random.Random(3), packing.LONG_BLANK
+    for fill in (" ", "\n", "\u3000", "\t \n", "\x1c "):
+        run = (fill * n)[: n + rng.randrange(9)]
+        for text in (run, f"a{run}b", f"a {run}'s {run}", f"!{run}7{run[:-1]}\n.", f"x{run}<|endoftext|>{run}y", f"{run}\x1cz", f"{run}\né"):
+            assert packing.encode(model, text, "<|endoftext|>", 50256) == theirs.encode(text, add_special_tokens=False).ids, (fill, text.strip())
+    rows = [(1, "a" + " " * 1_500_000 + "b"), (2, " \n" * 750_000), (3, "short")]
+    args = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    check_packing(packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), *args).collect(), dict(rows))
+
+
 def test_layout_takes_the_cheapest_sequence_with_room():
     plan = packing.layout([1000, 900, 1148, 1048], 2048)
     assert sorted((d, q) for d, _, _, q, _ in plan) == [(0, 1), (1, 0), (2, 0), (3, 1)]
