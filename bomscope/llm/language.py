@@ -252,6 +252,21 @@ def fitted(labelled: DataFrame, **columns: str):
     return labelled.sparkSession.sparkContext.broadcast(fit(training_sample(labelled, **columns)))
 
 
+def least_score(held_out: DataFrame, model, text_col: str = "text", lang_col: str = "lang") -> float:
+    """Score below which a text is in none of the model's languages.
+
+    It lies midway between an even share, 1 / labels, and what all but a hundredth of the rightly recognised
+    held-out texts reach, so it bites alike for any number of labels.  With one label, or without
+    recognised held-out texts, scores tell nothing and it is 0.
+    """
+    labels = len(model.value.labels)
+    if labels < 2:
+        return 0.0
+    rows = held_out.select(F.col(lang_col).cast("string").alias("lang"), predicted(F.col(text_col).cast("string"), model).alias("p"))
+    reached = rows.filter("p.lang = lang").agg(F.percentile_approx("p.score", 0.01, 10_000)).first()[0]
+    return 0.0 if reached is None else (1 / labels + reached) / 2
+
+
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), predicted(F.col(text_col).cast("string"), model).alias("p"))

@@ -407,6 +407,22 @@ def test_pipeline_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_language_stage_rejects_what_no_label_fits(spark, documents):
+    """Other languages and letters at random go, clean texts stay.  With two labels the scores tell Polish from them no more."""
+    rng = random.Random(3)
+    strange = [
+        "Это предложение написано на другом языке и не должно оставаться в наборе данных. " * 4,
+        "Tämä lause on kirjoitettu toisella kielellä eikä sen pitäisi jäädä aineistoon lainkaan tänään. " * 4,
+        "To zdanie jest napisane w innym języku i nie powinno pozostać w zbiorze danych. " * 4,
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(200)), "12 34 !?",
+    ]
+    more = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(strange)], DOCS)
+    for langs, passing in ((["en", "fr", "de", "es"], set()), (["en", "fr"], {10**9 + 2})):
+        clean = documents.filter(F.col("lang").isin(langs)).select(*corpus_pipeline.COLUMNS)
+        kept = {r.doc_id for r in corpus_pipeline.identified(spark, clean.unionByName(more), SF).select("doc_id").collect()}
+        assert {i for i in kept if i >= 10**9} <= passing and len(kept - passing) >= 0.99 * clean.count()
+
+
 def test_dedup_stages_keep_one_row_of_each_text(spark):
     """Null and repeated ids: unrelated texts stay, copies go, also under an id that stays with another text."""
     rng = random.Random(8)
