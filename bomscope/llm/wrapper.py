@@ -3,8 +3,9 @@
 All pages of a host are aligned with one of them by simple tree matching.  A text node of that page whose
 text comes back at the same place in most of the others belongs to the host's template; slots whose text
 varies are content.  Slots that are menus, forms, notices, adverts, comments and the like are known by
-element, role and class name, also where their text varies.  Where a page marks its article, the text is
-taken from there.
+element, role and class name, also where their text varies.  Where a page marks its article, the content slots
+inside it are the text: template nodes are dropped there too.  A mark that holds no content slot says nothing
+if other slots of the page vary; if none does, the page repeats the article of most others and keeps it.
 
 One page per host travels to the host's other pages; of each page only counts per node come back.  Hosts of
 any size are therefore dealt like any other rows.
@@ -262,13 +263,21 @@ HEADINGS = frozenset(("h1", "h2"))
 
 
 def main_text(tree: Node, template: set[Node]) -> str:
-    """Text of the article, or of all slots that are not template where none is marked."""
-    marked = _has(tree, CONTENT)
+    """Text of the slots that are not template: those of the article, or all where none is marked."""
+    if not _has(tree, CONTENT):
+        return _slots_text(tree, template, False)
+    found = _slots_text(tree, template, True)
+    if template and not found:
+        found = _slots_text(tree, template, False) or _slots_text(tree, set(), True)
+    return found
+
+
+def _slots_text(tree: Node, template: set[Node], marked: bool) -> str:
     out: list[str] = []
 
     def walk(node: Node, inside: bool) -> None:
         if node.tag == "#":
-            if inside and (marked or node not in template):
+            if inside and node not in template:
                 out.append(node.text)
             return
         if node.tag == "#space":

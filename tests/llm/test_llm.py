@@ -77,6 +77,19 @@ def test_wrapper_learns_constant_nodes_and_drops_roles(spark):
     assert wrapper.extract(pages.limit(0)).count() == 0
 
 
+def test_wrapper_drops_template_inside_marked_articles(spark):
+    """Lines that a host repeats go, a repeated teaser is no article, and copies of an article keep it."""
+    rows = [(i, f"http://h.org/{i}", page(f"<article><h1>Story {i}</h1><p>Unique {i}</p><p>Share this <b>now</b></p></article>")) for i in range(8)]
+    rows += [(10 + i, f"http://t.org/{i}", page("<article><p>Our weekly letter</p></article>", extra=f"<div><p>Body {i}</p></div>")) for i in range(8)]
+    rows += [(20 + i, f"http://c.org/{i}", page("<article><p>One and the same</p></article>", menu=f"M{i}")) for i in range(8)]
+    rows += [(30 + i, f"http://few.org/{i}", page(f"<article><p>Unique {i}</p><p>Share</p></article>")) for i in range(3)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [f"Story {i} Unique {i}" for i in range(8)]
+    assert [got[10 + i] for i in range(8)] == [f"Body {i}" for i in range(8)]
+    assert {got[20 + i] for i in range(8)} == {"One and the same"}
+    assert [got[30 + i] for i in range(3)] == [f"Unique {i} Share" for i in range(3)]  # too few pages for a template
+
+
 def test_tree_matching_equals_plain_recursion():
     random.seed(4)
 
