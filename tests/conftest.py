@@ -5,8 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,5 +20,6 @@ def spark():
 @pytest.fixture(scope="session")
 def bound(spark):
     from bomscope.binding import bind_catalog
+    from settings import SF
 
     return bind_catalog(spark, SF)

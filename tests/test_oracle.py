@@ -4,8 +4,8 @@ import pytest
 
 from bomscope.registry import QUERIES
 from compare import compare, connect
-from conftest import SF
 from oracle.queries import ORACLE
+from settings import SF
 
 
 @pytest.fixture(scope="session")
