@@ -53,3 +53,29 @@ def with_next(ids: DataFrame, key: str) -> DataFrame:
     heads = heads.select("_part", F.coalesce(F.lead("_head").over(every), F.first("_head").over(whole)).alias("_after"))
     inside = parts.select("_part", key, F.lead(key).over(Window.partitionBy("_part").orderBy(key)).alias("_lead"))
     return inside.join(heads, "_part").select(key, F.coalesce("_lead", "_after").alias(f"next_{key}"))
+
+
+#: A key is hot if it meets at least one of so many rows; there are never more hot keys than this.
+HOT_SHARE = 1000
+
+
+def attached(rows: DataFrame, facts: DataFrame, key: str, met: str) -> DataFrame:
+    """Inner join on `key`, where nulls meet nulls, that no hot key piles into one task.
+
+    `facts` has one row for each key; its column `met` says how many rows the key meets.  Hot keys, HOT_SHARE at
+    most whatever the size of the data, are broadcast; all others are dealt by key.
+    """
+    facts = facts.withColumnRenamed(key, "_key")
+    total = facts.agg(F.sum(met)).first()[0] or 0
+    hot = facts.filter(F.col(met) * HOT_SHARE >= total)
+    own = rows[key].eqNullSafe(F.col("_key"))
+    by_hot = rows.join(F.broadcast(hot), own)
+    rest = rows.join(F.broadcast(hot.select("_key")), own, "left_anti")
+    return by_hot.unionByName(rest.join(facts.filter(F.col(met) * HOT_SHARE < total), own)).drop("_key", met)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of `workspace` whose rows have been written on elsewhere."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

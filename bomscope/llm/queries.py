@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomscope.llm import bpe, exact_dedup, fingerprints, jaccard, language, packing, preferences, quality, warc, wrapper
+from bomscope.llm import (
+    alignment, bpe, codes, exact_dedup, fingerprints, jaccard, language, packing, preferences, quality, rules, warc, wrapper,
+)
 from bomscope.llm.common import table
 
 
@@ -86,11 +88,27 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns({"chosen_loss": shown("chosen_loss"), "rejected_loss": shown("rejected_loss")})
 
 
+def op11_adaptive_bound_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.filter_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_wrapper_induction, op2_merkle_fingerprints, op3_warc_index, op4_segment_tree_bpe, op5_language_crf,
         op6_cost_balanced_packing, op7_pairwise_quality, op8_signature_tree_join, op9_exact_dedup, op10_preference_format,
+        op11_adaptive_bound_codes, op12_decision_list, op13_tokenizer_alignment,
     )
 }
 
@@ -107,7 +125,32 @@ def _near(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
 
 
+def _assigned(name: str, book: str) -> str:
+    """SQL: every part with its nearest entry of a codebook."""
+    return f"""
+{name} AS MATERIALIZED (SELECT vec_id, i, any_value(x) AS x, min(z).d AS d, min(z).e AS e FROM (
+  SELECT vec_id, i, p.x, {{'d': list_sum(list_transform(list_zip(p.x, b.x), lambda w: (w[1] - w[2]) * (w[1] - w[2]))), 'e': e}} AS z
+  FROM p JOIN {book} b USING (i)) GROUP BY vec_id, i)"""
+
+
+def _moved(name: str, book: str, assigned: str) -> str:
+    """SQL: the codebook with every used entry at the floored mean of its parts."""
+    return f"""
+{name} AS MATERIALIZED (SELECT i, e, coalesce(m.x, b.x) AS x FROM {book} b LEFT JOIN (SELECT i, e, list(v ORDER BY k) AS x FROM (
+  SELECT i, e, k, CAST(floor(sum(x[k])::DOUBLE / count(*)) AS BIGINT) AS v FROM {assigned}, range(1, len(x) + 1) r(k) GROUP BY i, e, k)
+  GROUP BY i, e) m USING (i, e))"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_adaptive_bound_codes": f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, i, v[i * (len(v) // 16) + 1 : (i + 1) * (len(v) // 16)] AS x FROM v, range(16) r(i)),
+n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v ORDER BY vec_id LIMIT 64),
+b0 AS MATERIALIZED (SELECT i, e, x FROM p JOIN n USING (vec_id)),{_assigned('a0', 'b0')},{_moved('b1', 'b0', 'a0')},{_assigned('a1', 'b1')},{_moved('b2', 'b1', 'a1')},{_assigned('a2', 'b2')},
+h AS (SELECT sha256(string_agg(t, ',' ORDER BY i, e)) AS h FROM (SELECT i, e, list_aggregate(x, 'string_agg', ',') AS t FROM b2)),
+c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY i) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM c JOIN v USING (vec_id), h""",
     "op2_merkle_fingerprints": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 o AS (SELECT doc_id, text, length(text) AS n_chars,
