@@ -5,12 +5,15 @@ its beginnings and ends, its character n-grams), hashed into a table of fixed si
 transitions join neighbouring words.  Forward-backward gives each word's label probabilities; their
 mean over a text is the text's.
 
-Training reads at most TRAIN_TEXTS texts of each label, and of each at most TRAIN_CHARS characters.
+Training reads at most TRAIN_TEXTS texts of each label, and of each the whole text or, if it is longer, TRAIN_RUNS
+runs of RUN_CHARS characters that lie evenly over it from its beginning to its end.
 Runs of words from texts of different labels are strung together, so that the transitions see changes of
-language inside a sequence.  Prediction reads whole texts.
+language inside a sequence.  Prediction reads whole texts, in slices of bounded size.
 
-Defined cases: a null text or one without a letter is `und` with score 0.  A run of more than 32 letters
-counts as several words.  Without any labelled text every text is `und`.  Extra columns are not looked at.
+Defined cases: a null text or one without a letter is `und` with score 0; a word with any letter counts, so `m²` does.
+A run of more than 32 letters counts as several words.  Ids may repeat or be null: each row is predicted by
+its own text, and rows that repeat an id are drawn or left together.  Without any labelled text every text is `und`.
+Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,19 +28,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bomscope.llm.common import bounded_batches
+
 UNKNOWN = "und"
-TRAIN_TEXTS, TRAIN_CHARS = 400, 1500
+TRAIN_TEXTS, TRAIN_RUNS, RUN_CHARS = 400, 12, 128
 BUCKETS = 1 << 16
 WORD = re.compile(r"[^\W\d_]{1,32}")
 #: Characters that are worked on at once.
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 PREDICTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 def words_of(text: str | None) -> list[str]:
     found = WORD.findall(text.lower()) if text else []
     # Number signs such as a superscript two pass the pattern but are no letters.
-    return found if any(map(str.isalpha, found)) else []
+    return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def features(words: np.ndarray) -> np.ndarray:
@@ -203,6 +208,16 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return langs, scores
 
 
+def evenly(text: Column, runs: int, chars: int) -> Column:
+    """The text, or if it is longer than the runs: so many runs from all over it, less the words that they cut."""
+    size = F.length(text)
+    last = F.lit(max(runs - 1, 1))
+    run = lambda k: F.substring(text, (F.floor((size - chars) * k / last) + 1).cast("int"), F.lit(chars))
+    whole = lambda k: F.regexp_replace(run(k), "^\\S*\\s+|\\s+\\S*$", "")
+    drawn = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), whole), " ")
+    return F.when(size <= runs * chars, text).otherwise(drawn)
+
+
 def training_sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """At most TRAIN_TEXTS texts of each label, drawn by the hash of their id."""
     rows = labelled.select(
@@ -216,7 +231,7 @@ def training_sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
         share = min(1.0, 2.0 * TRAIN_TEXTS / counts[lang])
         edge = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
         drawn = rows.filter((F.col("lang") == lang) & (F.col("draw") <= min(edge, 2**63 - 1)))
-        drawn = drawn.select("draw", F.substring("text", 1, TRAIN_CHARS).alias("text")).orderBy("draw", "text").limit(TRAIN_TEXTS)
+        drawn = drawn.select("draw", evenly(F.col("text"), TRAIN_RUNS, RUN_CHARS).alias("text")).orderBy("draw", "text").limit(TRAIN_TEXTS)
         out += [(lang, r["text"]) for r in drawn.collect()]
     return out
 
@@ -249,6 +264,7 @@ def predicted(text: Column, broadcast_model) -> Column:
 
 def fitted(labelled: DataFrame, **columns: str):
     """A broadcast model: BUCKETS rows of one weight per label, whatever the size of the data."""
+    bounded_batches(labelled.sparkSession)
     return labelled.sparkSession.sparkContext.broadcast(fit(training_sample(labelled, **columns)))
 
 

@@ -2,15 +2,17 @@
 
 A document's strength is a weighted sum of features of its whole text.  The weights are learned from pairs
 of a preferred and a rejected document, by logistic loss on the difference of their features.  The
-decision is a quantile of the strengths: the share of rejected documents among the labelled ones.
+decision is a quantile of the strengths of all labelled documents: the share of rejected ones among them.
 Strengths are then mapped to 0..1 so that this quantile lies at the wanted threshold.
 
-Training reads at most TRAIN_TEXTS labelled documents of each label and makes PAIRS pairs of them.  Scores
-are those of all rows, from whole texts.
+The weights are learned from at most TRAIN_TEXTS labelled documents of each label, in PAIRS pairs.  The cut is
+taken from all labelled documents, and scores are those of all rows, from whole texts.
 
 Defined cases: a null text counts as empty, and an empty text has a score like any other.  Labels other
-than 0 and 1, null labels and labels of unknown documents are not looked at.  If only one label occurs,
-every score is 1 or 0 as that label says; without labels every score is 0.5.
+than 0 and 1, null labels and labels of unknown documents are not looked at.  Ids may repeat: the weights are learned
+from the smallest text of an id, an id labelled both ways counts as both, and each row is scored by its own
+text.  Of equal strengths none is told apart.  If only one label occurs, every score is 1 or 0 as that label says;
+without labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ import functools
 import math
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bomscope.llm.common import bounded_batches, staged
+
 TRAIN_TEXTS, PAIRS = 3000, 40_000
 THRESHOLD = 0.3
 #: Marks counted one by one.
@@ -87,12 +91,6 @@ class Ranking:
     def strengths(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(x), self.constant)
-        shift = math.log(THRESHOLD / (1 - THRESHOLD))
-        return 1 / (1 + np.exp(-np.clip(self.slope * (self.strengths(x) - self.cut) + shift, -30, 30)))
-
 
 def fit(x: np.ndarray, label: np.ndarray, share: float, seed: int = 11) -> Ranking:
     """`share`: of label 0 among all labelled documents."""
@@ -137,39 +135,89 @@ def _feature_array(text: Column) -> Column:
     return run(text)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
-    """A broadcast model of a few numbers per feature.
+def strength(text: Column, model: Ranking) -> Column:
+    broadcast_model = SparkSession.active().sparkContext.broadcast(model)
 
-    The ids that are drawn are bounded by 2 * TRAIN_TEXTS, so their texts are found by a broadcast of them.
-    """
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1) AND id IS NOT NULL")
-    rows = rows.withColumn("draw", F.xxhash64("id", F.lit("sample")))
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            found = [broadcast_model.value.strengths(features(t)[None])[0] for t in series]
+            yield pd.Series(found, dtype=float)
+
+    return run(text)
+
+
+def _labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    return labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1) AND id IS NOT NULL").distinct()
+
+
+def weighed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranking:
+    """Weights learned from a bounded sample: at most 2 * TRAIN_TEXTS ids, and one text of each."""
+    bounded_batches(docs.sparkSession)
+    rows = _labels(labels, id_col, label_col).withColumn("draw", F.xxhash64("id", F.lit("sample")))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = None
     for label in sorted(counts):
         part = rows.filter(F.col("label") == label).orderBy("draw", "id").limit(TRAIN_TEXTS)
         drawn = part if drawn is None else drawn.unionByName(part)
     if drawn is None:
-        return docs.sparkSession.sparkContext.broadcast(fit(np.empty((0, len(features("")))), np.empty(0), 0.5))
+        return fit(np.empty((0, len(features("")))), np.empty(0), 0.5)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(F.broadcast(drawn), "id").select("id", "label", _feature_array(F.col("text")).alias("x"))
-    got = sorted((r["id"], r["label"], r["x"]) for r in found.collect())
+    found = texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    got = sorted((r["id"], r["label"], r["x"]) for r in found.select("id", "label", _feature_array(F.col("text")).alias("x")).collect())
     x = np.array([r[2] for r in got], float).reshape(len(got), len(features("")))
     share = counts.get(0, 0) / max(1, sum(counts.values()))
-    return docs.sparkSession.sparkContext.broadcast(fit(x, np.array([r[1] for r in got]), share))
+    return fit(x, np.array([r[1] for r in got]), share)
 
 
-def score(text: Column, broadcast_model) -> Column:
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = broadcast_model.value
-        for series in batches:
-            yield pd.Series(model.scores(np.array([features(t) for t in series])) if len(series) else [], dtype=float)
+def cut_at_share(model: Ranking, strengths: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Ranking:
+    """The model with its cut at the quantile of all labelled rows' strengths; `strengths` has doc_id, strength."""
+    if model.constant is not None:
+        return model
+    both = strengths.join(_labels(labels, id_col, label_col), F.col("doc_id") == F.col("id"))
+    share = both.agg(F.avg((F.col("label") == 0).cast("double"))).first()[0]
+    if share is None:
+        return model
+    cut = both.agg(F.percentile_approx("strength", share, 10_000)).first()[0]
+    return replace(model, cut=float(cut))
+
+
+def strengths(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and strength of every row, written once."""
+    return staged(docs.select(F.col(id_col).alias("doc_id"), strength(F.col(text_col).cast("string"), model).alias("strength")), "strengths")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranking:
+    """A model of a few numbers per feature."""
+    model = weighed(docs, labels, id_col, text_col, label_col)
+    if model.constant is not None:
+        return model
+    return cut_at_share(model, strengths(docs, model, id_col, text_col), labels, id_col, label_col)
 
-    return run(text)
 
+def scored(strength_col: Column, model: Ranking) -> Column:
+    """Score from strength."""
+    if model.constant is not None:
+        return F.lit(model.constant)
+    shift = math.log(THRESHOLD / (1 - THRESHOLD))
+    x = F.lit(model.slope) * (strength_col - F.lit(model.cut)) + F.lit(shift)
+    return 1 / (1 + F.exp(-F.least(F.greatest(x, F.lit(-30.0)), F.lit(30.0))))
 
-def classify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def score(text: Column, model: Ranking) -> Column:
+    return scored(strength(text, model), model)
+
+
+def classify(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), score(F.col(text_col).cast("string"), model).alias("score"))
     return rows.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def learn_and_classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """As `classify` with `fitted`, but every text is weighed once."""
+    model = weighed(docs, labels, id_col, text_col, label_col)
+    rows = strengths(docs, model, id_col, text_col)
+    model = cut_at_share(model, rows, labels, id_col, label_col)
+    rows = rows.select("doc_id", scored(F.col("strength"), model).alias("score"))
+    return rows.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

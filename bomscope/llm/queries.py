@@ -68,8 +68,7 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.fitted(docs, labels.filter(remainder("doc_id", 5) != 0))
-    return quality.classify(docs, model).select(
+    return quality.learn_and_classify(docs, labels.filter(remainder("doc_id", 5) != 0)).select(
         "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted"
     )
 

@@ -175,7 +175,7 @@ def test_bpe_equals_the_library(spark):
 def test_language_held_out(documents):
     rows = documents.select("doc_id", "lang", "text").collect()
     kept = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
-    model = language.fit([(r.lang, r.text[: language.TRAIN_CHARS]) for r in kept])
+    model = language.fit([(r.lang, r.text) for r in kept])
     test = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
     langs, _ = language.predict(model, [r.text for r in test])
     assert np.mean([a == r.lang for a, r in zip(langs, test)]) > 0.95
@@ -206,6 +206,28 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language.identify(docs, language.fitted(docs.limit(0))).collect()} == {"und"}
 
 
+def test_any_letter_makes_a_word():
+    assert language.words_of("m² x³ 12² ½a ½ _ !") == ["m²", "x³", "½a"]
+    model = language.fit([("en", "the miles and square miles"), ("de", "die Meilen und Quadratmeilen")])
+    langs, scores = language.predict(model, ["m² km²", "² ³", None])
+    assert langs[0] != "und" and scores[0] > 0 and langs[1:] == ["und", "und"] and not scores[1:].any()
+
+
+def test_training_runs_lie_over_the_whole_text(spark):
+    short, long = "one two " * 10, " ".join(f"w{k}" for k in range(20_000))
+    rows = spark.createDataFrame([(0, short), (1, long), (2, "x" * 9000), (3, "")], "k int, text string")
+    got = {r.k: r.t for r in rows.select("k", language.evenly(F.col("text"), 12, 128).alias("t")).collect()}
+    places = [int(w[1:]) for w in got[1].split()]
+    assert got[0] == short and got[3] == "" and places[0] < 50 and places[-1] > 19_950 and places == sorted(places)
+    assert set(got[1].split()) <= set(long.split()) and np.diff(places).max() < 2500 and len(got[2]) <= 12 * 129
+
+
+def test_language_of_repeated_ids_and_ties(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en")] * 50 + [(1, "der Hund und die Katze", "de")] * 50 + [(None, "und die", "de")], "doc_id long, text string, lang string")
+    got = language.identify(docs, language.fitted(docs)).collect()
+    assert sorted((r.lang_pred for r in got)) == ["de"] * 51 + ["en"] * 50
+
+
 # -- op6
 
 def check_packing(rows, texts):
@@ -273,6 +295,28 @@ def test_quality_held_out(spark):
     assert {r.score for r in quality.classify(docs.limit(3), quality.fitted(docs, labels.filter("quality = 1"))).collect()} == {1.0}
 
 
+def test_quality_takes_one_text_of_an_id_and_the_cut_of_all_labelled_rows(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(quality, "TRAIN_TEXTS", 30)
+    seen = []
+    real = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, label, share: seen.append(len(x)) or real(x, label, share))
+    many = docs.unionByName(spark.range(3000).select(F.lit(0).alias("doc_id"), F.concat(F.lit("again "), "id").alias("text"), *[F.lit(None).alias(c) for c in ("lang", "source", "n_chars")]))
+    model = quality.fitted(many, labels)
+    assert seen[0] <= 60
+    # Brute force: the quantile of the strengths of every labelled row.
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [(r.text, known[r.doc_id]) for r in many.collect() if r.doc_id in known]
+    found = np.sort([model.strengths(quality.features(t)[None])[0] for t, _ in rows])
+    share = np.mean([q == 0 for _, q in rows])
+    assert abs(np.searchsorted(found, model.cut) - share * len(found)) <= 2
+    plain = 1 / (1 + np.exp(-(model.slope * (found - model.cut) + np.log(quality.THRESHOLD / (1 - quality.THRESHOLD)))))
+    got = [r.score for r in quality.classify(many, model).join(labels, "doc_id").collect()]
+    assert np.allclose(np.sort(got), plain) and abs(np.mean(np.array(got) < quality.THRESHOLD) - share) < 0.02
+    once = {(r.doc_id, round(r.score, 9)) for r in quality.learn_and_classify(docs, labels).collect()}
+    assert once == {(r.doc_id, round(r.score, 9)) for r in quality.classify(docs, quality.fitted(docs, labels)).collect()}
+
+
 # -- op8
 
 @pytest.mark.parametrize("k,num", [(3, 90), (5, 80)])
