@@ -47,8 +47,9 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
-def _numbers(size: int, mark: str) -> np.ndarray:
-    return np.array([f"{mark}{k}" for k in range(size)], object)
+def _numbers(size: int, first: str) -> np.ndarray:
+    """Every id as it is written behind a comma, then every id as the first of its kind in a group."""
+    return np.array([f"{mark}{k}" for mark in (",", first) for k in range(size)], object)
 
 
 @dataclass
@@ -63,8 +64,7 @@ class Pair:
     def __post_init__(self):
         self.lengths_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.lengths_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        self.first_a, self.more_a = _numbers(len(self.bytes_a), ";"), _numbers(len(self.bytes_a), ",")
-        self.first_b, self.more_b = _numbers(len(self.bytes_b), "|"), _numbers(len(self.bytes_b), ",")
+        self.written_a, self.written_b = _numbers(len(self.bytes_a), ";"), _numbers(len(self.bytes_b), "|")
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         found = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
@@ -87,6 +87,8 @@ def tokenizers(path_a: str, path_b: str) -> Pair:
         # An entry outside the alphabet is a special token, which no plain text gives.
         bytes_a[k] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else b""
     b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+    if len(bytes_a) * b.get_piece_size() > np.iinfo(np.int32).max:
+        raise ValueError("id pairs are numbered in 32 bits")
     bytes_b = [
         bytes([int(b.id_to_piece(k)[1:-1], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("▁", " ").encode()
         for k in range(b.get_piece_size())
@@ -96,20 +98,23 @@ def tokenizers(path_a: str, path_b: str) -> Pair:
 
 def aligned(pair: Pair, a: list[int], b: list[int]) -> tuple[int, str, np.ndarray, np.ndarray]:
     """Groups and their written form; the A and B ids of every link, for ids that spell the same bytes."""
-    ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+    ids_a, ids_b = np.array(a, np.int32), np.array(b, np.int32)
     ends_a, ends_b = np.cumsum(pair.lengths_a[ids_a]), np.cumsum(pair.lengths_b[ids_b])
+    marks = np.zeros(ends_a[-1] + 1, np.uint8)
+    marks[ends_a] = 1
+    marks[ends_b] += 2
     # Between two neighbouring ends lies one overlap of one A and one B token.
-    ends = np.union1d(ends_a, ends_b)
-    links_a, links_b = ids_a[np.searchsorted(ends_a, ends)], ids_b[np.searchsorted(ends_b, ends)]
-    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
-    # A group's A ids stand before its B ids.
+    marks = marks[np.flatnonzero(marks)]
+    is_a, is_b, both = marks != 2, marks != 1, marks == 3
+    done_a, done_b, groups = np.cumsum(is_a), np.cumsum(is_b), np.cumsum(both)
+    links_a, links_b = ids_a[done_a - is_a], ids_b[done_b - is_b]
+    # A group's A ids stand before its B ids: before an A id are the B ids of earlier groups, before a B id the A ids of its own too.
+    group_a, group_b = (groups - both)[is_a], (groups - both)[is_b]
     out = np.empty(len(a) + len(b), object)
-    first = np.diff(group_a, prepend=-1) > 0
-    out[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = np.where(first, pair.first_a[ids_a], pair.more_a[ids_a])
-    first = np.diff(group_b, prepend=-1) > 0
-    out[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = np.where(first, pair.first_b[ids_b], pair.more_b[ids_b])
-    return len(common), "".join(out.tolist())[1:], links_a, links_b
+    first_a, first_b = np.diff(group_a, prepend=-1) > 0, np.diff(group_b, prepend=-1) > 0
+    out[np.arange(len(a)) + np.concatenate([[0], done_b[both]])[group_a]] = pair.written_a[ids_a + first_a * len(pair.bytes_a)]
+    out[np.arange(len(b)) + done_a[both][group_b]] = pair.written_b[ids_b + first_b * len(pair.bytes_b)]
+    return int(groups[-1]), "".join(out.tolist())[1:], links_a, links_b
 
 
 def align_texts(distinct: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -121,11 +126,11 @@ def align_texts(distinct: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         def one(text: str, a: list[int], b: list[int]):
             spelled = b" " + text.encode()
-            if not text or b"".join([pair.bytes_a[k] for k in a]) != spelled or b"".join([pair.bytes_b[k] for k in b]) != spelled:
+            if not text or b"".join(map(pair.bytes_a.__getitem__, a)) != spelled or b"".join(map(pair.bytes_b.__getitem__, b)) != spelled:
                 return 0, 0, 0, 0, "", np.empty(0, np.int32), np.empty(0, np.int32)
             groups, written, links_a, links_b = aligned(pair, a, b)
-            codes, times = np.unique(links_a * size_b + links_b, return_counts=True)
-            return len(a), len(b), groups, len(links_a), hashlib.sha256(written.encode()).hexdigest(), codes.astype(np.int32), times.astype(np.int32)
+            codes, times = np.unique(links_a * np.int32(size_b) + links_b, return_counts=True)
+            return len(a), len(b), groups, len(links_a), hashlib.sha256(written.encode()).hexdigest(), codes, times.astype(np.int32)
 
         for batch in batches:
             at = 0
