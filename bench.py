@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from bomscope.binding import bind_catalog  # noqa: E402
 from bomscope.catalog import TABLES, Catalog  # noqa: E402
 from bomscope.operators import extraction  # noqa: E402
+from bomscope.plans import search  # noqa: E402
 from bomscope.registry import QUERIES  # noqa: E402
 from bomscope.session import build_session  # noqa: E402
 
@@ -47,7 +48,7 @@ def main() -> None:
 
     start = time.time()
     bound = bind_catalog(spark, sf_dir)
-    for name in (*TABLES, "decided", "kept", "kept_devices"):
+    for name in (*TABLES, "decided", "kept", "kept_devices", *search.INDEXES):
         bound[name]
     seconds["load_catalog"] = round(time.time() - start, 3)
 

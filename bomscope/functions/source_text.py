@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bomscope.functions.parts import collapse_space, lines_of
+from bomscope.operators.closure import follow
 
 _DQ = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+(?:"|\\?\z)'
 _SQ = r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+(?:'|\\?\z)"
@@ -161,13 +162,21 @@ def spec_section_items(docs: DataFrame, headings: tuple[str, ...], key: str = "d
             .select(key, "line", strip_markup(F.col("content")).alias("item")))
 
 
-def resolve_title(titles: DataFrame, aliases: DataFrame, hops: int = 4) -> DataFrame:
-    """(title, resolved): follow at most `hops` alias steps (from, to)."""
-    step = aliases.groupBy(F.col("from").alias("resolved")).agg(F.max("to").alias("_to"))
-    out = titles.select("title", F.col("title").alias("resolved"))
+def resolve_title(titles: DataFrame, aliases: DataFrame, hops: int | None = None) -> DataFrame:
+    """(title, resolved, cyclic): what a title's alias steps (from, to) end at, by doubling the steps.
+
+    A title whose aliases run into a circle is cyclic and resolves to nothing.  A caller may ask for so many hops at most.
+    """
+    step = aliases.filter("from <> to").groupBy(F.col("from").alias("n")).agg(F.max("to").alias("to"))
+    if hops is None:
+        ends = follow(step).select(F.col("n").alias("title"), F.col("last").alias("_to"), F.col("ring").alias("_ring"))
+        ring = F.coalesce("_ring", F.lit(False))
+        return titles.select("title").join(ends, "title", "left").select(
+            "title", F.when(~ring, F.coalesce("_to", "title")).alias("resolved"), ring.alias("cyclic"))
+    out = titles.select("title", F.col("title").alias("n"))
     for _ in range(hops):
-        out = out.join(step, "resolved", "left").select("title", F.coalesce("_to", "resolved").alias("resolved"))
-    return out
+        out = out.join(step, "n", "left").select("title", F.coalesce("to", "n").alias("n"))
+    return out.select("title", F.col("n").alias("resolved"), F.lit(False).alias("cyclic"))
 
 
 # -- hardware description and statements ----------------------------------------------

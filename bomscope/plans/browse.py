@@ -53,9 +53,31 @@ def chip_browser(cat) -> DataFrame:
                     "manufacturer_name", "year_introduced", _n("fpga_implementations"), _n("machine_count"), _n("system_count"), "best_via"))
 
 
+def _own_chips(cat) -> DataFrame:
+    """Distinct (machine_id, chip_id) of the machines' own rows, with `curated`: the machine's family lists the chip too."""
+    own = cat["machine_chip"].select("machine_id", "chip_id").distinct()
+    curated = cat["system_chip"].select("system_id", "chip_id").distinct().withColumn("curated", F.lit(True))
+    return (own.join(cat["v_machine_system"], "machine_id", "left").join(curated, ["system_id", "chip_id"], "left")
+            .select("machine_id", "chip_id", F.coalesce("curated", F.lit(False)).alias("curated")))
+
+
 def _bom_machines(cat) -> DataFrame:
-    """Machines per chip over the effective BOM: distinct (chip, machine) pairs, counted."""
-    return cat["v_machine_bom"].groupBy("chip_id").agg(F.count_distinct("machine_id").alias("machine_count"))
+    """Machines per chip over the effective BOM, without expanding it: a family's machines count for each of its chips,
+    and a machine's own row counts unless its family has the chip."""
+    members = cat["v_machine_system"].filter("system_id IS NOT NULL").groupBy("system_id").agg(F.count("*").alias("n"))
+    family = cat["system_chip"].select("system_id", "chip_id").distinct().join(members, "system_id").select("chip_id", "n")
+    own = _own_chips(cat).filter("NOT curated").groupBy("chip_id").agg(F.count("*").alias("n"))
+    return family.unionByName(own).groupBy("chip_id").agg(F.sum("n").alias("machine_count"))
+
+
+def _machine_chips(cat) -> DataFrame:
+    """(machine_id, chips_total, chips_satisfied) over the effective BOM: a family's totals plus the machine's own other chips."""
+    covered = _fpga_evidence(cat).select("chip_id", F.lit(1).alias("_hit"))
+    totals = F.count("*").alias("n"), F.count("_hit").alias("hits")
+    family = cat["system_chip"].select("system_id", "chip_id").distinct().join(covered, "chip_id", "left").groupBy("system_id").agg(*totals)
+    of_family = cat["v_machine_system"].join(family, "system_id").select("machine_id", "n", "hits")
+    own = _own_chips(cat).filter("NOT curated").join(covered, "chip_id", "left").groupBy("machine_id").agg(*totals)
+    return of_family.unionByName(own).groupBy("machine_id").agg(F.sum("n").alias("chips_total"), F.sum("hits").alias("chips_satisfied"))
 
 
 def chip_filter_sort(chips: DataFrame, *, function=None, manufacturer=None, status=None, text=None, sort="machines", descending=True) -> DataFrame:
@@ -71,9 +93,7 @@ def chip_filter_sort(chips: DataFrame, *, function=None, manufacturer=None, stat
 # -- machines -----------------------------------------------------------------------
 
 def machine_browser(cat) -> DataFrame:
-    covered = _fpga_evidence(cat).select("chip_id", F.lit(1).alias("_hit"))
-    pairs = cat["v_machine_bom"].select("machine_id", "chip_id").distinct().join(covered, "chip_id", "left")
-    chips = pairs.groupBy("machine_id").agg(F.count("*").alias("chips_total"), F.count("_hit").alias("chips_satisfied"))
+    chips = _machine_chips(cat)
     unmapped = cat["machine_unmapped_device"].groupBy("machine_id").agg(F.count_distinct("mame_device").alias("unmapped_devices"))
     by_family = cat["v_machine_system"].join(cat["implementation_system"].select("system_id").distinct(), "system_id", "left_semi").select("machine_id")
     cored = cat["implementation_machine"].select("machine_id").unionByName(by_family).distinct().withColumn("_core", F.lit(1))

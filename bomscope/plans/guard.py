@@ -34,8 +34,12 @@ _STYLES = (
     (r"#[^\n]*", "#", (".sh", ".bash", ".yml", ".yaml", ".py", ".toml")),
     (r"<!--[\s\S]*?(?:-->|\z)", "<", (".html", ".xml", ".svg")),
 )
-#: A host name has at most 253 characters (DNS); two more for the slashes before it.
+# What a host name is written with (letters, digits and hyphens between dots) and how long it gets, with
+# the two slashes before it; and the marks that an address has beside letters and digits.
+HOST = "A-Za-z0-9.-"
 HOST_LENGTH = 255
+ADDRESS = "A-Za-z0-9_.:/?#=&%~+-"
+QUOTES = ('"', "'")
 _JOINERS = "['\"`+\\\\\\s]"
 
 
@@ -65,17 +69,17 @@ def _offsets(text: Column, domain: Column) -> Column:
 
 
 def _address(line: Column, at: Column, size: Column, bare: Column) -> Column:
-    """An address rather than a word: its host follows two slashes, a path follows it, or its token fills a quoted literal.
+    """An address rather than a word: slashes start its host, a path follows it, or its token fills a quoted literal.
 
-    The token is read outwards from the domain, to the left on the reversed text, so both reads start at its edge.
+    The token around the domain is the run of address marks that holds it.
     """
-    left = F.reverse(F.substring(line, F.greatest(at - HOST_LENGTH + 1, F.lit(1)), F.least(at, F.lit(HOST_LENGTH))))
-    right = F.substring(line, at + size + 1, F.lit(HOST_LENGTH))
-    hosted = F.startswith(F.regexp_replace(left, r"^[\w&&[^_].-]+", ""), F.lit("//"))
-    second = F.substring(right, 2, 1)
-    pathed = F.startswith(right, F.lit("/")) & second.rlike(r"\S") & ~second.isin('"', "'", "`")
-    outside = [F.substring(F.regexp_replace(side, r"^[\w.:/?#=&%~+-]+", ""), 1, 1) for side in (left, right)]
-    return hosted | pathed | (bare & outside[0].isin('"', "'") & (outside[0] == outside[1]))
+    before = F.substring(line, F.greatest(at - HOST_LENGTH + 1, F.lit(1)), F.least(at, F.lit(HOST_LENGTH)))
+    after = F.substring(line, at + size + 1, F.lit(HOST_LENGTH))
+    head, tail = F.regexp_extract(before, f"([{ADDRESS}]*)$", 1), F.regexp_extract(after, f"^([{ADDRESS}]*)", 1)
+    hosted = head.rlike(f"//[{HOST}]*$")
+    pathed = after.rlike("^/[^\\s\"'`]")
+    opening, closing = F.right(F.left(before, F.length(before) - F.length(head)), F.lit(1)), F.substring(after, F.length(tail) + 1, F.lit(1))
+    return hosted | pathed | (bare & opening.isin(*QUOTES) & (opening == closing))
 
 
 def domain_guard(docs: DataFrame, policy: GuardPolicy, path: str = "path", text: str = "text") -> DataFrame:

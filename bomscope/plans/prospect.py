@@ -15,6 +15,7 @@ from bomscope.catalog import view
 from bomscope.functions.columns import any_text, round6
 from bomscope.operators.ranking import number_rows
 from bomscope.plans.views import FPGA
+from bomscope.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class Policy:
 
 
 DEFAULT = Policy()
-HOT_CHIPS = 8  # chips kept as bits in `system_mates`; bounds the bit patterns at 2**8
+LIGHT = 64  # a chip on more cored families is heavy: its families are never paired through it one by one
 
 
 def socket_detail(cat, policy: Policy = DEFAULT) -> DataFrame:
@@ -81,61 +82,77 @@ def _cored(cat) -> DataFrame:
     return cat["v_system_core"].filter(F.col("kind_id") == FPGA).select("system_id").distinct()
 
 
-def _split_hot(cat, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(cold sockets, one bit mask per family of the `hot` most used chips)."""
+def _boards(cat) -> tuple[DataFrame, DataFrame]:
+    """(system_id, chips) of all families and (mate_system_id, mate_chips) of cored ones.
+
+    `chips` are (n, chip_id), n the cored families that carry the chip, rarest first: one order for all families.  A list
+    is bounded by the distinct chips of one board.
+    """
     sockets = cat["v_system_chip_effective"].select("system_id", "chip_id")
-    top = (sockets.groupBy("chip_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "chip_id").limit(hot)
-           .agg(F.array_sort(F.collect_list("chip_id")).alias("v")))
-    at = F.array_position(top.scalar(), F.col("chip_id"))  # 1-based, 0 when not hot
-    marked = sockets.withColumn("_bit", F.coalesce(at, F.lit(0)).cast("int"))
-    masks = marked.groupBy("system_id").agg(
-        F.bit_or(F.when(F.col("_bit") > 0, F.expr("shiftleft(1L, _bit - 1)")).otherwise(F.lit(0).cast("long"))).alias("mask"))
-    return marked.filter("_bit = 0").drop("_bit"), masks
+    cored = sockets.join(_cored(cat), "system_id", "left_semi")
+    carried = cored.groupBy("chip_id").agg(F.count("*").alias("n"))
+    # A chip that no cored family carries pairs nobody.
+    ranked = sockets.join(carried, "chip_id").groupBy("system_id").agg(F.array_sort(F.collect_list(F.struct("n", "chip_id"))).alias("chips"))
+    boards = checkpointed(ranked)
+    mates = boards.join(_cored(cat), "system_id", "left_semi").select(F.col("system_id").alias("mate_system_id"), F.col("chips").alias("mate_chips"))
+    return boards, mates
+
+
+def _paired(left: DataFrame, chips: str, right: DataFrame, mate_chips: str, prefix: Column) -> DataFrame:
+    """Pairs that share a chip of the left one's first `prefix`, each once: at the first chip that they share; with `shared`."""
+    keys = left.select("*", F.explode(F.slice(chips, F.lit(1), prefix)).alias("_chip"))
+    other = right.select("*", F.explode(mate_chips).alias("_chip"))
+    both = F.array_intersect(chips, mate_chips)
+    return (keys.join(other, "_chip").withColumn("_both", both).filter(F.get("_both", F.lit(0)) == F.col("_chip"))
+            .withColumn("shared", F.size("_both").cast("long")).drop("_both", "_chip"))
 
 
 def system_mates(cat, policy: Policy = DEFAULT) -> DataFrame:
     """Every (family, cored family) pair sharing enough chips: (system_id, mate_system_id, shared_chips).
 
-    This is the relation itself; `best_mate` finds the one the ranking needs without listing pairs.
+    This is the relation itself; `best_mate` finds the one the ranking needs without listing pairs.  Two families that
+    share k chips share one outside the k - 1 most common ones of either, so pairs with fewer are
+    mostly never formed.
     """
-    left = cat["v_system_chip_effective"].select("system_id", "chip_id")
-    right = left.join(_cored(cat), "system_id", "left_semi").withColumnRenamed("system_id", "mate_system_id")
-    return (left.join(right, "chip_id").groupBy("system_id", "mate_system_id").agg(F.count("*").alias("shared_chips"))
-            .filter(F.col("shared_chips") >= policy.mate_min_shared))
-
-
-def best_mate(cat, policy: Policy = DEFAULT, hot: int = HOT_CHIPS) -> DataFrame:
+    boards, mates = _boards(cat)
+    least = policy.mate_min_shared
+    reach = lambda c: F.greatest(F.size(c) - (least - 1), F.lit(0))
+    mates = mates.withColumn("_keys", F.slice("mate_chips", F.lit(1), reach("mate_chips")))
+    keys = boards.select("system_id", "chips", F.explode(F.slice("chips", F.lit(1), reach("chips"))).alias("_chip"))
+    pairs = keys.join(mates.select("mate_system_id", "mate_chips", F.explode("_keys").alias("_chip")), "_chip")
+    both = F.array_intersect("chips", "mate_chips")
+    return (pairs.withColumn("_both", both).filter((F.size("_both") >= least) & (F.get("_both", F.lit(0)) == F.col("_chip")))
+            .select("system_id", "mate_system_id", F.size("_both").cast("long").alias("shared_chips")))
+
+
+def best_mate(cat, policy: Policy = DEFAULT, light: int = LIGHT) -> DataFrame:
     """Per family the cored family with the largest overlap, lowest id on a tie. Exact.
 
-    A chip most boards carry would pair every family with every cored family.  The most
-    used chips are therefore bits of a mask, and only the rest is joined:
-
-    * pairs sharing a cold chip come from the join; their hot overlap is added by
-      `bit_count(mask & mask)`;
-    * pairs sharing hot chips only depend on the two masks, so distinct masks (at most
-      2**hot on either side) are compared, each standing for its lowest family id.
-
-    A pair seen by both routes has its full count in the first, which wins the maximum.
+    Families that share a light chip are paired through the first one they share: `light` partners a socket at most,
+    whose whole overlap is then counted.  Partners by heavy chips alone cannot share more than the family has heavy
+    chips, so most families are settled.  For the others only distinct lists of heavy chips are compared, each
+    standing for its lowest family: first with the lists that hold all of it, found by its rarest chip, and what finds
+    none with those that share enough to win, found by as many of its rarest chips as that needs.  A pair seen by
+    both routes has its full count in the first, which wins.
     """
-    cold, masks = _split_hot(cat, hot)
-    cored = _cored(cat)
-    mate_masks = masks.join(cored, "system_id", "left_semi").select(
-        F.col("system_id").alias("mate_system_id"), F.col("mask").alias("mate_mask"))
-    mate_cold = cold.join(cored, "system_id", "left_semi").withColumnRenamed("system_id", "mate_system_id")
-    overlap = F.bit_count(F.col("mask").bitwiseAND(F.col("mate_mask"))).cast("long")
-    by_cold = (cold.join(mate_cold, "chip_id").groupBy("system_id", "mate_system_id").agg(F.count("*").alias("n"))
-               .join(masks, "system_id").join(mate_masks, "mate_system_id")
-               .select("system_id", "mate_system_id", (F.col("n") + overlap).alias("shared_chips")))
-    # Distinct cored masks travel as one bounded array (at most 2**hot entries).
-    patterns = mate_masks.groupBy("mate_mask").agg(F.min("mate_system_id").alias("mate_system_id")).agg(
-        F.collect_list(F.struct("mate_mask", "mate_system_id")).alias("v"))
-    by_pattern = masks.select("mask").distinct().withColumn("_m", F.explode(patterns.scalar())).select(
-        "mask", F.col("_m.mate_system_id").alias("mate_system_id"), F.col("_m.mate_mask").alias("mate_mask"))
-    order = F.struct((-F.col("shared_chips")).alias("less"), "mate_system_id")
-    best_pattern = by_pattern.withColumn("shared_chips", overlap).groupBy("mask").agg(F.min(order).alias("b"))
-    by_hot = masks.join(best_pattern, "mask").select("system_id", "b")
-    best = (by_cold.select("system_id", order.alias("b")).unionByName(by_hot)
-            .groupBy("system_id").agg(F.min("b").alias("b")))
+    boards, mates = _boards(cat)
+    least = F.lit(policy.mate_min_shared)
+    order = F.struct((-F.col("shared")).alias("less"), "mate_system_id")
+    by_light = _paired(boards, "chips", mates, "mate_chips", F.size(F.filter("chips", lambda c: c["n"] <= light)))
+    by_light = checkpointed(by_light.groupBy("system_id").agg(F.min(order).alias("b")))
+
+    heavy = lambda c: F.filter(c, lambda x: x["n"] > light)
+    rest = boards.join(by_light, "system_id", "left").select("system_id", heavy("chips").alias("heavy"), F.greatest(least, F.coalesce(-F.col("b.less"), least)).alias("least"))
+    rest = checkpointed(rest.filter(F.size("heavy") >= F.col("least")))
+    lists = rest.groupBy("heavy").agg(F.min("least").alias("least"))
+    standing = checkpointed(mates.select(heavy("mate_chips").alias("mate_heavy"), "mate_system_id").groupBy("mate_heavy").agg(F.min("mate_system_id").alias("mate_system_id")))
+    whole = _paired(lists, "heavy", standing, "mate_heavy", F.lit(1)).filter(F.col("shared") == F.size("heavy"))
+    whole = checkpointed(whole.groupBy("heavy").agg(F.min(order).alias("b")))
+    part = lists.join(whole, "heavy", "left_anti")
+    part = _paired(part, "heavy", standing, "mate_heavy", F.size("heavy") - F.col("least").cast("int") + 1).filter(F.col("shared") >= F.col("least"))
+    by_heavy = rest.join(whole.unionByName(part.groupBy("heavy").agg(F.min(order).alias("b"))), "heavy").select("system_id", "b")
+
+    best = by_light.unionByName(by_heavy).groupBy("system_id").agg(F.min("b").alias("b"))
     return (best.select("system_id", F.col("b.mate_system_id").alias("mate_system_id"), (-F.col("b.less")).alias("shared_chips"))
             .filter(F.col("shared_chips") >= policy.mate_min_shared))
 

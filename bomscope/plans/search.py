@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 import bomscope.plans.views  # noqa: F401  registers the views read below
+from bomscope.session import checkpointed
 
 MIN_TERM = 2  # fixed value: shorter terms are not searched
 KIND_ORDER = {"chip": 4, "system": 3, "implementation": 2, "machine": 1}  # fixed values
@@ -37,27 +38,50 @@ def _grams(text: Column, size: int) -> Column:
     return F.when(last >= 1, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
-def _hits_by_gram(names: DataFrame, needles: DataFrame) -> DataFrame:
+def name_table(cat) -> DataFrame:
+    """Every searchable text under a number of its own."""
+    return search_names(cat).withColumn("entry", F.monotonically_increasing_id())
+
+
+def gram_table(cat) -> DataFrame:
+    """The inverted index (gram, entry): letter pairs and triples of every text, in the order of the grams."""
+    text = F.col("text")
+    grams = stored(cat, "search_name").select(F.explode(F.concat(_grams(text, 2), _grams(text, 3))).alias("gram"), "entry")
+    return grams.repartitionByRange("gram").sortWithinPartitions("gram", "entry")
+
+
+INDEXES = {"search_name": name_table, "search_gram": gram_table}
+
+
+def stored(cat, name: str) -> DataFrame:
+    """A part of the index: as the catalogue keeps it, else made and stored once."""
+    try:
+        return cat[name]
+    except KeyError:
+        cat._memo[name] = checkpointed(INDEXES[name](cat))
+        return cat._memo[name]
+
+
+def _hits_by_gram(cat, needles: DataFrame) -> DataFrame:
     wanted = needles.select("needle", F.explode(F.when(F.length("needle") >= 3, _grams(F.col("needle"), 3))
                                                 .otherwise(F.array("needle"))).alias("gram"))
-    indexed = names.select("*", F.explode(F.concat(_grams(F.col("text"), 2), _grams(F.col("text"), 3))).alias("gram"))
-    indexed = indexed.join(wanted.select("gram").distinct(), "gram", "left_semi")
-    frequency = indexed.groupBy("gram").agg(F.count("*").alias("n"))
+    postings = stored(cat, "search_gram").join(wanted.select("gram").distinct(), "gram", "left_semi")
+    frequency = postings.groupBy("gram").agg(F.count("*").alias("n"))
     key = (wanted.join(frequency, "gram", "left").groupBy("needle")
            .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).select("needle", F.col("k.gram").alias("gram")))
-    return indexed.join(key, "gram").filter(F.contains("text", "needle"))
+    return postings.join(key, "gram").join(stored(cat, "search_name"), "entry").filter(F.contains("text", "needle"))
 
 
 def global_search(cat, terms: DataFrame, per_kind: int = 5, total: int = 20) -> DataFrame:
     """Best hits per term: exact, exact alias, prefix, alias prefix, substring, alias substring.
 
-    A substring test between every term and every text would be a cross join.  Terms use an
+    A substring test between every term and every text would be a cross join.  Terms use the stored
     index instead: texts by their letter triples (pairs for two-letter terms), met with each term's
-    rarest one by equality; candidates are then tested exactly.
+    rarest one by equality; candidates are then fetched by number and tested exactly.
     """
     needles = (terms.select(F.lower(F.trim(F.col(terms.columns[0]))).alias("needle")).distinct()
                .filter(F.length("needle") >= MIN_TERM))
-    hits = _hits_by_gram(search_names(cat), needles)
+    hits = _hits_by_gram(cat, needles)
     step = F.when(F.col("text") == F.col("needle"), 0).when(F.startswith("text", "needle"), 2).otherwise(4)
     rank = step + F.when(F.col("matched_on").isNotNull(), 1).otherwise(0)
     best = (hits.groupBy("needle", "kind", "id", "label", "detail")

@@ -445,11 +445,11 @@ QUERIES["rec12_spec_section_items"] = lambda cat: source_text.spec_section_items
 
 @query("rec13_resolve_title")
 def rec13(cat):
-    """Titles s<n> redirect to s<n/2>: alias chains longer than the hop limit."""
+    """Titles s<n> redirect to s<n/2>: alias chains as long as the logarithm of n."""
     num = F.substring("consumer_id", 2, 20)
     alias = cat["implementation_dependency"].select(F.concat(F.lit("s"), num).alias("from"), F.concat(F.lit("s"), F.substring("provider_id", 2, 20)).alias("to"))
     titles = cat["implementation"].select(F.concat(F.lit("s"), F.substring("implementation_id", 2, 20)).alias("title"))
-    return source_text.resolve_title(titles, alias)
+    return source_text.resolve_title(titles, alias).select("title", "resolved")
 
 
 @query("rec14_module_instances")
@@ -511,6 +511,13 @@ QUERIES["rec19_classify_findings"] = lambda cat: _reconciled(cat)[1]
 QUERIES["rec20_reconcile_summary"] = lambda cat: reconcile.reconcile_summary(*_reconciled(cat))
 QUERIES["rec21_machine_systems_for_recon"] = lambda cat: reconcile.machine_systems_for_recon(cat)
 QUERIES["rec21_null_override_falls_through"] = lambda cat: reconcile.machine_systems_for_recon(cat, True)
+#: Notes with a fence, code with sub-domains, row files and settings, for every page.
+GUARDED = (
+    ("n%d.md", "Notes on example.com, page {}\n```\ncurl https://www.example.com/{}\n```\nsee https://docs.example.org there"),
+    ("t%d.ts", "const a = 'https://www.example.com/{}'\n// plain my-site.example.org\n\n\n\n\nconst b = 'my.example.org'\nconst c = 'the example.org site {}'\ngo to https://my-site.example.com now"),
+    ("data/j%d.json", '{\n"source_url": "https://www.example.com/{}",\n"machine_id": "api.example.org"\n}'),
+    ("config/c%d.json", '{"host": "api.example.org",\n"page": {},\n"base": "https://api.example.com"}'),
+)
 GUARD = guard.GuardPolicy(domains=("example.com", "example.org"), fetch_verbs=("fetch(", "curl", "src="))
 
 
@@ -518,7 +525,11 @@ GUARD = guard.GuardPolicy(domains=("example.com", "example.org"), fetch_verbs=("
 def rec22(cat):
     docs = cat["documents"].select(F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("path"), "text")
     pages = cat["pages"].select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("path"), F.concat(F.lit("<!-- source: "), "url", F.lit(" -->\n"), "html").alias("text"))
-    return guard.domain_guard(docs, GUARD).unionByName(guard.domain_guard(pages, GUARD)).select("path", "line", "domain", "disposition")
+    made = cat["pages"].select(F.explode(F.array(*[F.struct(
+        F.format_string(path, "page_id").alias("path"), F.replace(F.lit(text), F.lit("{}"), F.col("page_id").cast("string")).alias("text"))
+        for path, text in GUARDED])).alias("d")).select("d.*")
+    found = [guard.domain_guard(d, GUARD) for d in (docs, pages, made)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("path", "line", "domain", "disposition")
 
 
 # -- search, browse, details, dashboard --------------------------------------------------------

@@ -316,10 +316,10 @@ SELECT system_id AS doc_id, unnest([2, 3]) AS line, unnest(['name', 'CPU']) AS n
 SQL["rec12_spec_section_items"] = """
 SELECT system_id AS doc_id, unnest([9, 10]) AS line, unnest(['* ' || kind_id || ' ', '; sound: ' || name]) AS item FROM {system}"""
 SQL["rec13_resolve_title"] = """
-WITH t AS (SELECT CAST(substr(implementation_id, 2) AS BIGINT) AS n FROM {implementation}),
-     a AS (SELECT n, CASE WHEN n >= 2 THEN n // 2 ELSE n END AS m FROM t),
-     h AS (SELECT n, unnest([CASE WHEN n >= 32 THEN n // 16 WHEN n >= 16 THEN n // 16 WHEN n >= 8 THEN n // 8 WHEN n >= 4 THEN n // 4 WHEN n >= 2 THEN n // 2 ELSE n END]) AS m FROM t)
-SELECT 's' || n AS title, 's' || m AS resolved FROM h"""
+WITH RECURSIVE t AS (SELECT CAST(substr(implementation_id, 2) AS BIGINT) AS n FROM {implementation}),
+     e AS (SELECT 's' || substr(consumer_id, 2) AS a, max('s' || substr(provider_id, 2)) AS b FROM {implementation_dependency} GROUP BY 1),
+     w AS (SELECT n, 's' || n AS p FROM t UNION SELECT w.n, e.b FROM w JOIN e ON w.p = e.a)
+SELECT 's' || n AS title, p AS resolved FROM w WHERE p NOT IN (SELECT a FROM e)"""
 SQL["rec14_module_instances"] = """
 SELECT consumer_id || '.v' AS path, 3 AS line, 'core_' || provider_id AS module, 'core_' || provider_id || ' #(.W(8)) u_core(' AS evidence FROM {implementation_dependency}
 UNION ALL SELECT consumer_id || '.yaml', 1, 'core_' || provider_id, 'core_' || provider_id || ':' FROM {implementation_dependency}
@@ -392,7 +392,14 @@ WITH hit AS (SELECT l.*, d FROM {guard_line} l, unnest(['example.com', 'example.
 SELECT path, line, d AS domain, CASE WHEN regexp_matches(lower(content), '//[a-z0-9.-]*' || replace(d, '.', '\.') || '($|[^a-z0-9-])')
   OR regexp_matches(lower(content), '(^|[^a-z0-9-])' || replace(d, '.', '\.') || '/[^\s"''`]')
   OR (NOT first_ AND EXISTS (SELECT 1 FROM verb v WHERE v.path = hit.path AND v.line BETWEEN hit.line - 3 AND hit.line + 3)) THEN 'fetch' ELSE 'prose' END AS disposition
-FROM hit"""
+FROM hit
+UNION ALL
+SELECT replace(path, '#', page_id::VARCHAR), line, domain, disposition FROM pages, (VALUES
+  ('n#.md', 1, 'example.com', 'prose'), ('n#.md', 3, 'example.com', 'fetch'), ('n#.md', 5, 'example.org', 'prose'),
+  ('t#.ts', 1, 'example.com', 'fetch'), ('t#.ts', 2, 'example.org', 'prose'), ('t#.ts', 7, 'example.org', 'fetch'),
+  ('t#.ts', 8, 'example.org', 'prose'), ('t#.ts', 9, 'example.com', 'fetch'), ('data/j#.json', 2, 'example.com', 'citation'),
+  ('data/j#.json', 3, 'example.org', 'fetch'), ('config/c#.json', 1, 'example.org', 'prose'), ('config/c#.json', 3, 'example.com', 'fetch')
+) v(path, line, domain, disposition)"""
 
 # -- search, browse, details, dashboard ----------------------------------------------------------------
 EXTRA["term"] = """

@@ -86,13 +86,13 @@ def test_flat_policy_lifts_unmapped_board(g2):
     assert got[1] == (2, "fx-unmapped-low", 1.265)
 
 
-@pytest.mark.parametrize("hot", [0, 1, 2, 8])
-def test_best_mate_equals_all_pairs(g2, hot):
+@pytest.mark.parametrize("light", [0, 1, 2, 64])
+def test_best_mate_equals_all_pairs(g2, light):
     want = {}
     for r in prospect.system_mates(g2).collect():
         key = (-r.shared_chips, r.mate_system_id)
         want[r.system_id] = min(want.get(r.system_id, key), key)
-    got = {r.system_id: (-r.shared_chips, r.mate_system_id) for r in prospect.best_mate(g2, hot=hot).collect()}
+    got = {r.system_id: (-r.shared_chips, r.mate_system_id) for r in prospect.best_mate(g2, light=light).collect()}
     assert got == want
 
 

@@ -12,7 +12,7 @@ from bomscope.functions import parts, source_text
 from bomscope.functions.columns import with_axis
 from bomscope.operators import closure, extraction, gates, validation
 from bomscope.operators.ranking import number_rows
-from bomscope.plans import guard, reconcile, search
+from bomscope.plans import guard, prospect, reconcile, search
 from bomscope.sources import bundles, listing, sinks
 from fixtures import canonical as canonical_rows
 
@@ -147,6 +147,91 @@ def test_cycle_nodes_random(spark):
     assert got == brute_cycle(edges)
 
 
+def test_cycle_nodes_of_long_chains(spark, monkeypatch):
+    """A chain and a ring of 10 000 nodes each, a ring with a bridge, and a chain into a ring: rounds as the logarithm."""
+    rounds = []
+    real = closure.written
+    monkeypatch.setattr(closure, "written", lambda df: rounds.append(1) or real(df))
+    chain = [(f"a{k}", f"a{k + 1}") for k in range(10_000)]
+    assert closure.cycle_nodes(spark.createDataFrame(chain, "a string, b string"), "a", "b").count() == 0
+    assert len(rounds) <= 40  # two directions of 14 doublings, and what is around them
+    ring = [(f"r{k}", f"r{(k + 1) % 3000}") for k in range(3000)] + [("r7", "r1500")]  # two ways round
+    more = [(f"c{k}", f"c{k + 1}") for k in range(500)] + [("c500", "r3"), ("o", "o")] + [(f"p{k}", f"p{(k + 1) % 900}") for k in range(900)]
+    got = {r.node for r in closure.cycle_nodes(spark.createDataFrame(ring + more, "a string, b string"), "a", "b").collect()}
+    assert got == {f"r{k}" for k in range(3000)} | {f"p{k}" for k in range(900)} | {"o"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycle_nodes_random_sparse(spark, seed):
+    rng = random.Random(seed)
+    edges = sorted({(f"n{rng.randint(0, 40)}", f"n{rng.randint(0, 40)}") for _ in range(44)})
+    got = [r.node for r in closure.cycle_nodes(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()]
+    assert set(got) == brute_cycle(edges) and len(got) == len(set(got))
+
+
+def test_titles_to_the_end_and_around(spark):
+    steps = [(f"t{k}", f"t{k + 1}") for k in range(300)] + [("x", "y"), ("y", "z"), ("z", "y"), ("self", "self")]
+    aliases = spark.createDataFrame(steps, "from string, to string")
+    titles = spark.createDataFrame([("t0",), ("t299",), ("t300",), ("x",), ("y",), ("self",), ("other",), (None,)], "title string")
+    got = {r.title: (r.resolved, r.cyclic) for r in source_text.resolve_title(titles, aliases).collect()}
+    assert got == {"t0": ("t300", False), "t299": ("t300", False), "t300": ("t300", False), "x": (None, True), "y": (None, True),
+                   "self": ("self", False), "other": ("other", False), None: (None, False)}
+    assert source_text.resolve_title(titles, aliases, hops=4).filter("title = 't0'").first().resolved == "t4"
+
+
+def _boards(spark, sockets, cored):
+    systems = sorted({s for s, _ in sockets})
+    return Catalog.from_rows(spark, {
+        "chip_function": [{"function_id": "cpu", "label": "c", "prospector_band": "hard"}],
+        "chip": [{"chip_id": c, "display_name": c, "function_id": "cpu"} for c in sorted({c for _, c in sockets})],
+        "system": [{"system_id": s, "name": s, "kind_id": "k"} for s in systems],
+        "system_chip": [{"system_id": s, "chip_id": c, "role_id": "r", "quantity": 1} for s, c in sockets],
+        "implementation": [{"implementation_id": "i", "name": "i", "kind_id": "fpga_hdl"}],
+        "implementation_platform": [{"implementation_id": "i", "platform_id": "p"}],
+        "implementation_system": [{"implementation_id": "i", "system_id": s} for s in cored]})
+
+
+@pytest.mark.parametrize("light", [0, 3, 64])
+def test_best_mate_with_chips_on_all_boards(spark, light):
+    rng = random.Random(light)
+    common, rare = [f"u{k:02}" for k in range(20)], [f"v{k:02}" for k in range(30)]
+    boards = {f"s{k:03}": set(common) | set(rng.sample(rare, rng.randint(0, 4))) for k in range(60)}
+    boards |= {f"h{k:03}": set(rng.sample(common, rng.randint(1, 20))) for k in range(30)}
+    cored = sorted(boards)[::3]
+    cat = _boards(spark, [(s, c) for s, chips in boards.items() for c in chips], cored)
+    pairs = {(s, t): len(boards[s] & boards[t]) for s in boards for t in cored if len(boards[s] & boards[t]) >= 2}
+    best = {}
+    for (s, t), n in pairs.items():
+        best[s] = min(best.get(s, (-n, t)), (-n, t))
+    got = {r.system_id: (-r.shared_chips, r.mate_system_id) for r in prospect.best_mate(cat, light=light).collect()}
+    assert got == best
+    if light == 64:
+        assert {(r.system_id, r.mate_system_id): r.shared_chips for r in prospect.system_mates(cat).collect()} == pairs
+
+
+def test_bom_counts_never_expand_the_bom(spark):
+    from bomscope.plans import browse
+
+    rng = random.Random(9)
+    families = {f"f{k}": sorted({f"c{rng.randint(0, 12)}" for _ in range(4)}) for k in range(5)}
+    machines = {f"m{k}": (rng.choice([*families, None]), sorted({f"c{rng.randint(0, 15)}" for _ in range(rng.randint(0, 5))})) for k in range(60)}
+    cat = Catalog.from_rows(spark, {
+        "chip": [{"chip_id": f"c{k}", "display_name": "x", "function_id": "cpu"} for k in range(16)],
+        "machine": [{"machine_id": m, "name": m, "mame_sourcefile": "x.cpp"} for m in machines],
+        "machine_system": [{"machine_id": m, "system_id": f, "reason": "r"} for m, (f, _) in machines.items() if f],
+        "system_chip": [{"system_id": f, "chip_id": c, "role_id": f"r{j}", "quantity": 1} for f, chips in families.items() for c in chips for j in range(2)],
+        "machine_chip": [{"machine_id": m, "mame_tag": f"t{j}", "chip_id": c, "quantity": 1} for m, (_, chips) in machines.items() for j, c in enumerate(chips + chips[:1])],
+        "implementation": [{"implementation_id": "i", "name": "i", "kind_id": "fpga_hdl"}],
+        "implementation_chip": [{"implementation_id": "i", "chip_id": f"c{k}"} for k in range(0, 16, 3)]})
+    whole = {m: set(chips) | set(families.get(f, [])) for m, (f, chips) in machines.items()}
+    per_chip = {c: sum(c in chips for chips in whole.values()) for c in {c for chips in whole.values() for c in chips}}
+    assert {r.chip_id: r.machine_count for r in browse.chip_machine_count(cat).collect()} == per_chip
+    hit = {f"c{k}" for k in range(0, 16, 3)}
+    assert {r.machine_id: (r.chips_total, r.chips_satisfied) for r in browse.machine_browser(cat).collect()} == {m: (len(c), len(c & hit)) for m, c in whole.items()}
+    for df in (browse.chip_machine_count(cat), browse.machine_browser(cat)):
+        assert "mame_tag" not in df._jdf.queryExecution().optimizedPlan().toString().replace("Relation", "").split("Project")[0]
+
+
 def test_reach_depths(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "x string, y string")
     got = sorted(tuple(r) for r in closure.reach_with_depth(e, "x", "y", spark.createDataFrame([("a",)], "s string")).collect())
@@ -470,6 +555,11 @@ GUARDED = guard.GuardPolicy(domains=("bad.com",), fetch_verbs=("fetch(", "curl "
     ("r.md", "```\ncurl bad.com\n```\nbad.com", {2: "fetch", 4: "prose"}),
     ("data/a.json", '{\n"source_url": "https://bad.com/1",\n"machine_id": "bad.com"\n}', {2: "citation", 3: "fetch"}),
     ("config/a.json", '{"host": "bad.com"}', {1: "prose"}),
+    ("a.ts", "go to https://www.bad.com now\n\n\n\n\nsee my-site.bad.com now", {1: "fetch", 6: "prose"}),
+    ("a.ts", "const h = 'api.my-site.bad.com';\nconst g = `bad.com`;", {1: "fetch", 2: "prose"}),
+    ("r.md", "see https://www.bad.com", {1: "prose"}),
+    ("config/a.json", '{"host": "https://api.bad.com"}', {1: "fetch"}),
+    ("a.ts", "x = 'https://user.bad.community/bad.com/a'", {1: "fetch"}),
     ("s.py", "# bad.com\ncurl = 1", {1: "prose"}),
 ])
 def test_guard(spark, path, text, want):
