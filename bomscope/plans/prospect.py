@@ -15,7 +15,7 @@ from bomscope.catalog import view
 from bomscope.functions.columns import any_text, round6
 from bomscope.operators.ranking import number_rows
 from bomscope.plans.views import FPGA
-from bomscope.session import checkpointed
+from bomscope.session import written
 
 
 @dataclass(frozen=True)
@@ -82,19 +82,21 @@ def _cored(cat) -> DataFrame:
     return cat["v_system_core"].filter(F.col("kind_id") == FPGA).select("system_id").distinct()
 
 
-def _boards(cat) -> tuple[DataFrame, DataFrame]:
-    """(system_id, chips) of all families and (mate_system_id, mate_chips) of cored ones.
+def _boards(cat, light: int = LIGHT) -> tuple[DataFrame, DataFrame]:
+    """(system_id, chips, heavy) of all families and (mate_system_id, mate_chips, mate_heavy) of cored ones.
 
-    `chips` are (n, chip_id), n the cored families that carry the chip, rarest first: one order for all families.  A list
-    is bounded by the distinct chips of one board.
+    Chips are in one order for all families: by how many cored families carry them, rarest first.  The last of them, on
+    more than `light` cored families, are the heavy ones.  A list is bounded by the distinct chips of one board.
     """
     sockets = cat["v_system_chip_effective"].select("system_id", "chip_id")
     cored = sockets.join(_cored(cat), "system_id", "left_semi")
     carried = cored.groupBy("chip_id").agg(F.count("*").alias("n"))
     # A chip that no cored family carries pairs nobody.
     ranked = sockets.join(carried, "chip_id").groupBy("system_id").agg(F.array_sort(F.collect_list(F.struct("n", "chip_id"))).alias("chips"))
-    boards = checkpointed(ranked)
-    mates = boards.join(_cored(cat), "system_id", "left_semi").select(F.col("system_id").alias("mate_system_id"), F.col("chips").alias("mate_chips"))
+    names = lambda c: F.transform(c, lambda x: x["chip_id"])
+    boards = written(ranked.select("system_id", names("chips").alias("chips"), names(F.filter("chips", lambda x: x["n"] > light)).alias("heavy")))
+    mates = boards.join(_cored(cat), "system_id", "left_semi").select(
+        F.col("system_id").alias("mate_system_id"), F.col("chips").alias("mate_chips"), F.col("heavy").alias("mate_heavy"))
     return boards, mates
 
 
@@ -135,19 +137,18 @@ def best_mate(cat, policy: Policy = DEFAULT, light: int = LIGHT) -> DataFrame:
     none with those that share enough to win, found by as many of its rarest chips as that needs.  A pair seen by
     both routes has its full count in the first, which wins.
     """
-    boards, mates = _boards(cat)
+    boards, mates = _boards(cat, light)
     least = F.lit(policy.mate_min_shared)
     order = F.struct((-F.col("shared")).alias("less"), "mate_system_id")
-    by_light = _paired(boards, "chips", mates, "mate_chips", F.size(F.filter("chips", lambda c: c["n"] <= light)))
-    by_light = checkpointed(by_light.groupBy("system_id").agg(F.min(order).alias("b")))
+    by_light = _paired(boards, "chips", mates, "mate_chips", F.size("chips") - F.size("heavy"))
+    by_light = written(by_light.groupBy("system_id").agg(F.min(order).alias("b")))
 
-    heavy = lambda c: F.filter(c, lambda x: x["n"] > light)
-    rest = boards.join(by_light, "system_id", "left").select("system_id", heavy("chips").alias("heavy"), F.greatest(least, F.coalesce(-F.col("b.less"), least)).alias("least"))
-    rest = checkpointed(rest.filter(F.size("heavy") >= F.col("least")))
+    rest = boards.join(by_light, "system_id", "left").select("system_id", "heavy", F.greatest(least, F.coalesce(-F.col("b.less"), least)).alias("least"))
+    rest = written(rest.filter(F.size("heavy") >= F.col("least")))
     lists = rest.groupBy("heavy").agg(F.min("least").alias("least"))
-    standing = checkpointed(mates.select(heavy("mate_chips").alias("mate_heavy"), "mate_system_id").groupBy("mate_heavy").agg(F.min("mate_system_id").alias("mate_system_id")))
+    standing = written(mates.groupBy("mate_heavy").agg(F.min("mate_system_id").alias("mate_system_id")))
     whole = _paired(lists, "heavy", standing, "mate_heavy", F.lit(1)).filter(F.col("shared") == F.size("heavy"))
-    whole = checkpointed(whole.groupBy("heavy").agg(F.min(order).alias("b")))
+    whole = written(whole.groupBy("heavy").agg(F.min(order).alias("b")))
     part = lists.join(whole, "heavy", "left_anti")
     part = _paired(part, "heavy", standing, "mate_heavy", F.size("heavy") - F.col("least").cast("int") + 1).filter(F.col("shared") >= F.col("least"))
     by_heavy = rest.join(whole.unionByName(part.groupBy("heavy").agg(F.min(order).alias("b"))), "heavy").select("system_id", "b")
