@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from bomscope.llm.common import staged, workspace
 
 #: Bytes after which a task begins a new archive; index lines of one block.
-ARCHIVE_BYTES, BLOCK_LINES = 1 << 28, 512
+ARCHIVE_BYTES, #: Archived bytes that one task reads back.
+TASK_BYTES = 4 << 20
+BLOCK_LINES = 1 << 28, 512
 DATE = "2020-01-01T00:00:00Z"
 NO_ID = -(1 << 63)
 
@@ -255,14 +257,16 @@ class Reader:
         return read_record(self.range(f"{self.archives}/{archive}", offset, length))
 
 
-def lookup(requests: DataFrame, index: Index, archives: str) -> DataFrame:
+def lookup(requests: DataFrame, index: Index, archives: str, tasks: int | None = None) -> DataFrame:
     """Records of the requested (key, page_id) pairs, with payloads.
 
-    Requests are dealt in key order, so a task reads each of its blocks once.  A pair that is requested twice
-    is answered once for each capture.
+    Requests are dealt in key order, so a task reads each of its blocks once.  They are small whatever the records
+    weigh: `tasks` says among how many tasks to deal them.  A pair that is requested twice is answered once
+    for each capture.
     """
     requests = requests.select("key", F.coalesce("page_id", F.lit(NO_ID)).alias("page_id")).distinct()
-    requests = requests.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    dealt = requests.repartitionByRange(tasks, "key", "page_id") if tasks else requests.repartitionByRange("key", "page_id")
+    requests = dealt.sortWithinPartitions("key", "page_id")
     kinds = {
         "page_id": pa.int64(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(),
         "record_type": pa.string(), "refers_to": pa.int64(),
@@ -306,4 +310,5 @@ def archive_and_read(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write all pages, index them, and read every record back through the index."""
     archives, index_folder = workspace(spark, "warc"), workspace(spark, "cdx")
     captures = write_archives(pages, archives)
-    return lookup(keys_of(pages), build_index(captures, index_folder), archives)
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    return lookup(keys_of(pages), build_index(captures, index_folder), archives, -(-size // TASK_BYTES) or 1)
