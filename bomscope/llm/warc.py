@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from bomscope.llm.common import staged, workspace
 
 #: Bytes after which a task begins a new archive; index lines of one block.
-ARCHIVE_BYTES, #: Archived bytes that one task reads back.
+ARCHIVE_BYTES, BLOCK_LINES = 1 << 28, 512
+#: Archived bytes that one task reads back.
 TASK_BYTES = 4 << 20
-BLOCK_LINES = 1 << 28, 512
 DATE = "2020-01-01T00:00:00Z"
 NO_ID = -(1 << 63)
 
