@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bomscope.catalog import TABLES, Catalog
 from bomscope.operators.gates import POST_CORRECTION, PRE_CORRECTION, apply_corrections, run_gates
+from bomscope.sources import versions
 from bomscope.sources.bundles import load_lookup_defaults
 
 
@@ -18,39 +19,28 @@ class GateFailure(RuntimeError):
         self.failures = failures
 
 
-def _hadoop(spark, path):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def publish_catalog(cat: Catalog, path: str, tables=None, gates: Mapping = POST_CORRECTION) -> Catalog:
-    """Corrections, gates, then one rename: nothing is visible at `path` until every gate passes.
+    """Corrections, gates, then one switch of a pointer: nothing is visible at `path` until every gate passes.
 
-    Tables are written to a staging folder beside the target and the gates read the written
-    files, so what is checked is what is published.  On failure the target is untouched.
+    Tables are written to a version folder of their own and the gates read the written files, so what is
+    checked is what is published.  Whatever fails, at whatever point, `path` shows the version it showed before;
+    a catalogue opened earlier keeps reading its own version.
     """
     failures = run_gates(cat, PRE_CORRECTION)
     if failures:
         raise GateFailure(failures)
     corrected = apply_corrections(cat["machine_chip"], cat["machine_chip_correction"])
     fixed = cat.with_tables(machine_chip=corrected)
-    staging = path.rstrip("/") + "._staging"
-    for name in tables or TABLES:
-        load_lookup_defaults(fixed[name], name).write.mode("overwrite").parquet(f"{staging}/{name}")
-    staged = Catalog.from_parquet(cat.spark, staging)
-    failures = run_gates(staged, gates)
+    names, version = list(tables or TABLES), versions.new_version()
+    folder = f"{path.rstrip('/')}/{version}"
+    for name in names:
+        load_lookup_defaults(fixed[name], name).write.parquet(f"{folder}/{name}")
+    failures = run_gates(Catalog.from_parquet(cat.spark, folder), gates)
     if failures:
+        fs, staged = versions.hadoop(cat.spark, folder)
+        fs.delete(staged, True)
         raise GateFailure(failures)
-    fs, target = _hadoop(cat.spark, path)
-    _, source = _hadoop(cat.spark, staging)
-    old = target.suffix("._previous")
-    if fs.exists(old):
-        fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    if not fs.rename(source, target):
-        raise OSError(f"could not publish {path}")
+    versions.switch(cat.spark, path, version, names)
     return Catalog.from_parquet(cat.spark, path)
 
 
@@ -61,7 +51,7 @@ def write_row_tables(tables: Mapping[str, DataFrame], path: str) -> None:
         spark = df.sparkSession
         target = f"{path}/{name}"
         if df.isEmpty():
-            fs, p = _hadoop(spark, target)
+            fs, p = versions.hadoop(spark, target)
             if fs.exists(p):
                 fs.delete(p, True)
             continue
