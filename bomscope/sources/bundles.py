@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bomscope.catalog import TABLES
+from bomscope.session import written
 
 REQUIRED_THRESHOLDS = ("issue_generator.min_instance_count", "issue_generator.min_machine_count", "mapped_instance_share.warn_below",
                        "stale_review_days", "system_unmapped_share.warn_above")
 
+EXAMPLES = 5  # rejected documents named in an error
+
 
 def _bundle_text(spark: SparkSession, paths, lines: bool) -> DataFrame:
     """(_file, text): whole `*.json` files (not `*.raw.json`), or one bundle per line."""
@@ -21,43 +24,85 @@ def _bundle_text(spark: SparkSession, paths, lines: bool) -> DataFrame:
     return df.filter(~F.col("_file").rlike(r"\.raw\.json$"))
 
 
+class RejectedInput(ValueError):
+    """Input that holds what it may not; `count` of all such documents, `examples` of a few."""
+
+    def __init__(self, paths, count: int, examples):
+        shown = "".join(f"\n  {e}" for e in examples)
+        super().__init__(f"{paths}: {count} rejected{shown}")
+        self.count, self.examples = count, list(examples)
+
+
+def bundle_problems(text: Column) -> Column:
+    """array<struct<table, pos, column, problem>>: what one bundle may not contain, empty for a good one.
+
+    An expression over the bundle itself, so rows are read and judged in one scan. Cells are texts and numbers
+    that their column can hold; an unknown column leaves out instead of null.
+    """
+    columns = [(f"{t}.{c.name}", c.type) for t, spec in TABLES.items() for c in spec.columns]
+
+    def names(*types):
+        return F.array(*[F.lit(n) for n, kind in columns if not types or isinstance(kind, types)])
+
+    every, whole, real = names(), names(T.LongType, T.IntegerType), names(T.DoubleType)
+    tables = F.array(*map(F.lit, TABLES))
+    nowhere = F.lit(None).cast("int")
+
+    def found(table, pos, column, problem):
+        return F.struct(table.alias("table"), pos.alias("pos"), column.alias("column"), problem.alias("problem"))
+
+    def cell(table, pos):
+        def judge(e):
+            name, kind = F.concat(table, F.lit("."), e["key"]), F.schema_of_variant(e["value"])
+            return found(table, pos, e["key"], (
+                F.when(~F.array_contains(every, name), "unknown column").when(kind == "VOID", "null cell")
+                .when(kind.rlike("^(ARRAY|OBJECT)<"), "nested cell").when(kind == "BOOLEAN", "neither text nor number")
+                .when(F.array_contains(whole, name) & (kind != "BIGINT"), "not a whole number")
+                .when(F.array_contains(real, name) & (kind == "STRING"), "not a number")))
+        return judge
+
+    def row(table):
+        def judge(r, i):
+            cells = F.map_entries(F.try_variant_get(r, "$", "map<string,variant>"))
+            return F.coalesce(F.transform(cells, cell(table, i)), F.array(found(table, i, F.lit(""), F.lit("row is not an object"))))
+        return judge
+
+    def whole_table(t):
+        rows = F.try_variant_get(t["value"], "$", "array<variant>")
+        return (F.when(~F.array_contains(tables, t["key"]), F.array(found(t["key"], nowhere, F.lit(""), F.lit("unknown table"))))
+                .when(rows.isNull(), F.array(found(t["key"], nowhere, F.lit(""), F.lit("not an array"))))
+                .otherwise(F.flatten(F.transform(rows, row(t["key"])))))
+
+    listed = F.map_entries(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"))
+    all_found = F.coalesce(F.flatten(F.transform(listed, whole_table)), F.array(found(F.lit(""), nowhere, F.lit(""), F.lit("not an object"))))
+    return F.filter(all_found, lambda p: p["problem"].isNotNull())
+
+
 def read_row_bundles(spark: SparkSession, paths, tables=None, lines: bool = False) -> dict[str, DataFrame]:
     """Rows per table with `_file` and `_pos`. An absent key is NULL; defaults are applied afterwards.
 
     The schema is stated for every table, so nothing is inferred. `lines` reads bundles
-    written one per line, which split across tasks; otherwise each file is one bundle.
+    written one per line, which split across tasks; otherwise each file is one bundle (a file of no bytes is none).
+    The text is read once: parsed rows are staged, bad bundles counted on the way, and `RejectedInput` is raised
+    after the write if there was any, in whatever table. Each table's rows then come from its own staged column.
     """
     names = list(tables or TABLES)
     schema = T.StructType([T.StructField(n, T.ArrayType(TABLES[n].schema)) for n in names])
-    parsed = _bundle_text(spark, paths, lines).select("_file", F.from_json("text", schema, {"mode": "PERMISSIVE"}).alias("b"))
-    return {n: parsed.select("_file", F.posexplode(f"b.{n}").alias("_pos", "r")).select("_file", "_pos", "r.*") for n in names}
+    seen = Observation()
+    parsed = (_bundle_text(spark, paths, lines)
+              .select("_file", F.from_json("text", schema, {"mode": "PERMISSIVE"}).alias("b"), bundle_problems(F.col("text")).alias("_problems"))
+              .select("_file", "b.*", "_problems").observe(seen, F.count_if(F.size("_problems") > 0).alias("rejected")))
+    staged = written(parsed)
+    if seen.get["rejected"]:
+        few = staged.filter(F.size("_problems") > 0).select("_file", F.get("_problems", F.lit(0)).alias("p")).select("_file", "p.*").limit(EXAMPLES)
+        raise RejectedInput(paths, seen.get["rejected"], [tuple(r) for r in few.collect()])
+    return {n: staged.select("_file", F.posexplode(n).alias("_pos", "r")).select("_file", "_pos", "r.*") for n in names}
 
 
 def rejected_cells(spark: SparkSession, paths, lines: bool = False) -> DataFrame:
-    """What a bundle may not contain: (_file, table, pos, column, problem).
-
-    Walks the parsed document as cells, so unknown tables and columns, nulls, nested values
-    and tables that are not arrays are all seen in one pass.
-    """
-    known = spark.createDataFrame([(t, c) for t, spec in TABLES.items() for c in spec.names], "table string, column string")
-    docs = _bundle_text(spark, paths, lines).select("_file", F.try_parse_json("text").alias("v"))
-    broken = docs.filter("v IS NULL OR schema_of_variant(v) NOT LIKE 'OBJECT<%'").select(
-        "_file", F.lit("").alias("table"), F.lit(None).cast("int").alias("pos"), F.lit("").alias("column"), F.lit("not an object").alias("problem"))
-    tables = spark.sql("""SELECT _file, t.key AS `table`, t.value AS rows, schema_of_variant(t.value) AS shape
-                          FROM {docs}, LATERAL variant_explode(v) t WHERE schema_of_variant(v) LIKE 'OBJECT<%'""", docs=docs)
-    names = known.select("table").distinct()
-    unknown = tables.join(names, "table", "left_anti").select(
-        "_file", "table", F.lit(None).cast("int").alias("pos"), F.lit("").alias("column"), F.lit("unknown table").alias("problem"))
-    shape = tables.join(names, "table", "left_semi").filter("shape NOT LIKE 'ARRAY<%'").select(
-        "_file", "table", F.lit(None).cast("int").alias("pos"), F.lit("").alias("column"), F.lit("not an array").alias("problem"))
-    listed = tables.join(names, "table", "left_semi").filter("shape LIKE 'ARRAY<%'")
-    cells = spark.sql("""SELECT _file, `table`, r.pos AS pos, c.key AS column, schema_of_variant(c.value) AS kind
-                         FROM {listed}, LATERAL variant_explode(rows) r, LATERAL variant_explode(r.value) c""", listed=listed)
-    judged = cells.join(known.withColumn("known", F.lit(1)), ["table", "column"], "left").withColumn(
-        "problem", F.when(F.col("known").isNull(), "unknown column").when(F.col("kind") == "VOID", "null cell")
-        .when(F.col("kind").rlike("^(ARRAY|OBJECT)<"), "nested cell"))
-    bad = judged.filter("problem IS NOT NULL").select("_file", "table", "pos", "column", "problem")
-    return broken.unionByName(unknown).unionByName(shape).unionByName(bad)
+    """What a bundle may not contain: (_file, table, pos, column, problem), in one pass over the text."""
+    return (_bundle_text(spark, paths, lines).select("_file", F.explode(bundle_problems(F.col("text"))).alias("p"))
+            .select("_file", "p.*"))
 
 
 def load_lookup_defaults(df: DataFrame, table: str) -> DataFrame:
