@@ -240,17 +240,34 @@ def first_broken_rule(table: str, skip: tuple[str, ...] = ()) -> Column:
     return F.coalesce(*rules)
 
 
+def _judged(rows: DataFrame, bad: Column, keys: list[str], place: Column, again: str) -> DataFrame:
+    """Adds `_bad`: the broken rule, or `again` where an earlier row that breaks no rule holds the same key.
+
+    The first place of each key that several good rows share is one partially aggregated fold, so a key that very
+    many rows repeat is combined before the shuffle; only such keys are joined back.
+    """
+    ruled = rows.withColumn("_bad", bad).withColumn("_place", place)
+    shared = (ruled.filter("_bad IS NULL").groupBy(*keys).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+              .filter("_n > 1").select(*keys, "_first"))
+    return ruled.join(shared, keys, "left").withColumn(
+        "_bad", F.coalesce("_bad", F.when(F.col("_place") > F.col("_first"), F.lit(again)))).drop("_first", "_place")
+
+
 def verify_constraints(machines: DataFrame, devices: DataFrame) -> DataFrame:
-    """Every refused row: (table, machine_id, detail).
+    """Every refused row: (table, machine_id, detail). Rows are tried in the order of the listing.
 
-    Device rows of a refused machine are not tested.  A socket is tested without its chip
-    (mapping comes later), an unmapped candidate once per (machine, device).
+    `machines` and `devices` carry `record`, the place of the machine's record; `devices` also `pos`, the place
+    within it; places differ. Of rows with one key the first that breaks no rule is taken and every later one
+    refused. Device rows of a refused record are not tested. A socket is tested without its chip (mapping comes
+    later), so its key is machine and tag; an unmapped candidate is tested once per (machine, device).
     """
-    judged = machines.withColumn("_bad", first_broken_rule("machine"))
+    judged = _judged(machines, first_broken_rule("machine"), ["machine_id"], F.col("record"), "machine_id: repeated key")
     bad_machines = judged.filter(F.col("_bad").isNotNull()).select(
         F.lit("machine").alias("table"), "machine_id", F.col("_bad").alias("detail"))
-    tested = devices.join(judged.filter(F.col("_bad").isNull()).select("machine_id"), "machine_id", "left_semi")
-    sockets = tested.withColumn("quantity", F.lit(1)).withColumn("_bad", first_broken_rule("machine_chip", ("chip_id",)))
+    taken = judged.filter(F.col("_bad").isNull()).select("machine_id", "record")
+    tested = devices.join(taken, ["machine_id", "record"], "left_semi")
+    sockets = _judged(tested.withColumn("quantity", F.lit(1)), first_broken_rule("machine_chip", ("chip_id",)),
+                      ["machine_id", "mame_tag"], F.struct("record", "pos"), "mame_tag: repeated key")
     bad_sockets = sockets.filter(F.col("_bad").isNotNull()).select(
         F.lit("machine_chip").alias("table"), "machine_id",
         F.concat_ws(" -> ", "mame_tag", "_bad").alias("detail"))

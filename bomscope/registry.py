@@ -194,12 +194,19 @@ QUERIES["ext10_emit_machine_rows"] = lambda cat: extraction.emit_machine_rows(ca
 
 
 def _suspect(cat):
-    """Kept machines and devices with defects a bad release could carry, assigned by rule to all rows."""
-    machines = cat["kept"].withColumn("mame_year", F.when(F.col("mame_year") == "1997", F.lit(" ")).otherwise(F.col("mame_year"))).withColumn(
+    """Kept machines and devices with defects a bad release could carry, assigned by rule to all rows.
+
+    Some machines come twice, the second record without the defects but with bad tags; some tags come twice in a record.
+    """
+    twice = F.col("machine_id").endswith("7")
+    spoiled = cat["kept"].withColumn("mame_year", F.when(F.col("mame_year") == "1997", F.lit(" ")).otherwise(F.col("mame_year"))).withColumn(
         "mame_sourcefile", F.when(F.startswith("mame_sourcefile", F.lit("building/n1")), F.upper("mame_sourcefile")).otherwise(F.col("mame_sourcefile")))
-    devices = cat["kept_devices"].withColumn("mame_tag", F.when(F.col("mame_device").endswith("77"), F.concat("mame_tag", F.lit("..x"))).otherwise(F.col("mame_tag"))
-                                             ).withColumn("mame_device", F.when(F.col("mame_device").endswith("88"), F.concat("mame_device", F.lit("-b"))).otherwise(F.col("mame_device")))
-    return machines, devices
+    machines = spoiled.withColumn("record", F.lit(1)).unionByName(cat["kept"].filter(twice).withColumn("record", F.lit(2)))
+    listed = cat["kept_devices"].withColumn("mame_tag", F.when(F.col("mame_device").endswith("77"), F.concat("mame_tag", F.lit("..x"))).otherwise(F.col("mame_tag"))
+                                            ).withColumn("pos", F.explode(F.sequence(F.lit(1), F.when(F.col("mame_device").endswith("66"), 2).otherwise(1)))
+                                                         ).withColumn("mame_device", F.when(F.col("mame_device").endswith("88"), F.concat("mame_device", F.lit("-b"))).otherwise(F.col("mame_device")))
+    more = cat["kept_devices"].filter(twice).withColumn("mame_tag", F.concat("mame_tag", F.lit("..y"))).withColumn("pos", F.lit(1))
+    return machines, listed.withColumn("record", F.lit(1)).unionByName(more.withColumn("record", F.lit(2)))
 
 
 QUERIES["ext11_verify_constraints"] = lambda cat: extraction.verify_constraints(*_suspect(cat))

@@ -79,17 +79,24 @@ UNION ALL SELECT 'unmapped', machine_id, mame_device, NULL, NULL, quantity FROM
 SQL["ext10_emit_machine_rows"] = "SELECT * FROM {machine}"
 
 EXTRA["odd_machine"] = """
-SELECT * REPLACE (CASE WHEN mame_year = '1997' THEN ' ' ELSE mame_year END AS mame_year,
-                  CASE WHEN starts_with(mame_sourcefile, 'building/n1') THEN upper(mame_sourcefile) ELSE mame_sourcefile END AS mame_sourcefile) FROM {kept}"""
+SELECT 1 AS record, * REPLACE (CASE WHEN mame_year = '1997' THEN ' ' ELSE mame_year END AS mame_year,
+                  CASE WHEN starts_with(mame_sourcefile, 'building/n1') THEN upper(mame_sourcefile) ELSE mame_sourcefile END AS mame_sourcefile) FROM {kept}
+UNION ALL SELECT 2, * FROM {kept} WHERE machine_id LIKE '%7'"""
 EXTRA["odd_device"] = """
-SELECT * REPLACE (CASE WHEN mame_device LIKE '%77' THEN mame_tag || '..x' ELSE mame_tag END AS mame_tag,
-                  CASE WHEN mame_device LIKE '%88' THEN mame_device || '-b' ELSE mame_device END AS mame_device) FROM {kept_devices}"""
+SELECT 1 AS record, unnest(CASE WHEN mame_device LIKE '%66' THEN [1, 2] ELSE [1] END) AS pos, machine_id,
+       CASE WHEN mame_device LIKE '%77' THEN mame_tag || '..x' ELSE mame_tag END AS mame_tag,
+       CASE WHEN mame_device LIKE '%88' THEN mame_device || '-b' ELSE mame_device END AS mame_device FROM {kept_devices}
+UNION ALL SELECT 2, 1, machine_id, mame_tag || '..y', mame_device FROM {kept_devices} WHERE machine_id LIKE '%7'"""
 EXTRA["violation"] = """
-WITH bad AS (SELECT machine_id, CASE WHEN mame_sourcefile <> lower(mame_sourcefile) THEN 'mame_sourcefile: sourcefile'
-                                     WHEN trim(mame_year) = '' THEN 'mame_year: prose' END AS detail FROM {odd_machine}),
-     tested AS (SELECT d.* FROM {odd_device} d JOIN bad USING (machine_id) WHERE detail IS NULL)
-SELECT 'machine' AS "table", machine_id, detail FROM bad WHERE detail IS NOT NULL
-UNION ALL SELECT 'machine_chip', machine_id, mame_tag || ' -> mame_tag: mame_tag' FROM tested WHERE mame_tag LIKE '%..x'
+WITH ruled AS (SELECT record, machine_id, CASE WHEN mame_sourcefile <> lower(mame_sourcefile) THEN 'mame_sourcefile: sourcefile'
+                                               WHEN trim(mame_year) = '' THEN 'mame_year: prose' END AS detail FROM {odd_machine}),
+     good AS (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY record) AS n FROM ruled WHERE detail IS NULL),
+     tested AS (SELECT d.* FROM {odd_device} d JOIN good USING (machine_id, record) WHERE n = 1),
+     socket AS (SELECT *, row_number() OVER (PARTITION BY machine_id, mame_tag ORDER BY pos) AS n FROM tested WHERE mame_tag NOT LIKE '%..%')
+SELECT 'machine' AS "table", machine_id, detail FROM ruled WHERE detail IS NOT NULL
+UNION ALL SELECT 'machine', machine_id, 'machine_id: repeated key' FROM good WHERE n > 1
+UNION ALL SELECT 'machine_chip', machine_id, mame_tag || ' -> mame_tag: mame_tag' FROM tested WHERE mame_tag LIKE '%..%'
+UNION ALL SELECT 'machine_chip', machine_id, mame_tag || ' -> mame_tag: repeated key' FROM socket WHERE n > 1
 UNION ALL SELECT 'machine_unmapped_device', machine_id, mame_device || ' -> mame_device: mame_device_key' FROM
   (SELECT DISTINCT machine_id, mame_device FROM tested WHERE mame_device LIKE '%-b')"""
 SQL["ext11_verify_constraints"] = "SELECT * FROM {violation}"

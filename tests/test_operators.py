@@ -13,7 +13,7 @@ from bomscope.functions.columns import with_axis
 from bomscope.operators import closure, extraction, gates, validation
 from bomscope.operators.ranking import number_rows
 from bomscope.plans import guard, prospect, reconcile, search
-from bomscope.sources import bundles, listing, sinks
+from bomscope.sources import bundles, listing, sinks, versions
 from fixtures import canonical as canonical_rows
 
 # -- extraction ---------------------------------------------------------------------
@@ -102,6 +102,28 @@ def test_all_violations_are_listed(spark):
 
 # -- ranking, axis --------------------------------------------------------------------
 
+def test_repeated_keys_are_refused(spark):
+    names = [c.name for c in TABLES["machine"].columns]
+    schema = "record int, " + ", ".join(f"{c.name} {c.type.simpleString()}" for c in TABLES["machine"].columns)
+
+    def machine(record, machine_id, file="a/b.cpp"):
+        given = {"machine_id": machine_id, "name": "N", "mame_sourcefile": file, "is_bios": 0, "is_device": 0, "is_mechanical": 0}
+        return (record, *[given.get(n) for n in names])
+
+    machines = spark.createDataFrame([machine(1, "a"), machine(2, "b", "A/B.CPP"), machine(3, "a"), machine(4, "b"), machine(5, "a", "A/B.CPP"), machine(6, "b")], schema)
+    devices = spark.createDataFrame(
+        [(1, 1, "a", "cpu", "z80"), (1, 2, "a", "snd", "ay"), (1, 3, "a", "cpu", "ay"), (1, 4, "a", "cpu", "ay"), (1, 5, "a", "c..u", "ay"), (1, 6, "a", "c..u", "ay"),
+         (2, 1, "b", "cpu", "BAD!"), (3, 1, "a", "x", "BAD!"), (4, 1, "b", "cpu", "z80"), (4, 2, "b", "cpu", "BAD!"), (5, 1, "a", "y", "BAD!"), (6, 1, "b", "z", "BAD!")],
+        "record int, pos int, machine_id string, mame_tag string, mame_device string").withColumn("clock_hz", F.lit(None).cast("long"))
+    got = sorted(tuple(r) for r in extraction.verify_constraints(machines, devices).collect())
+    assert got == sorted([
+        ("machine", "a", "machine_id: repeated key"), ("machine", "a", "mame_sourcefile: sourcefile"),  # a broken rule is named first
+        ("machine", "b", "mame_sourcefile: sourcefile"), ("machine", "b", "machine_id: repeated key"),  # its key stays free for record 4
+        ("machine_chip", "a", "cpu -> mame_tag: repeated key"), ("machine_chip", "a", "cpu -> mame_tag: repeated key"),
+        ("machine_chip", "a", "c..u -> mame_tag: mame_tag"), ("machine_chip", "a", "c..u -> mame_tag: mame_tag"),
+        ("machine_chip", "b", "cpu -> mame_tag: repeated key"), ("machine_unmapped_device", "b", "BAD! -> mame_device: mame_device_key")])
+
+
 def test_number_rows_matches_sort_with_one_huge_group(spark):
     rng = random.Random(5)
     rows = [("hot" if i % 3 else f"g{i % 5}", rng.randint(0, 3), f"id{i:04d}") for i in range(600)]
@@ -343,6 +365,33 @@ def test_bundles_and_rejects(spark, tmp_path):
                    ("system", "", "not an array"), ("", "", "not an object")}
 
 
+@pytest.mark.parametrize("text,want", [
+    ('{"chip":[{"chip_id":"q","display_name":null}]}', ("chip", 0, "display_name", "null cell")),
+    ('{"chip":[{"chip_id":"q"},{"chip_id":["q"]}]}', ("chip", 1, "chip_id", "nested cell")),
+    ('{"chip":[{"chip_id":true}]}', ("chip", 0, "chip_id", "neither text nor number")),
+    ('{"chip":[{"chip_id":"q","typical_clock_hz":1.5}]}', ("chip", 0, "typical_clock_hz", "not a whole number")),
+    ('{"chip":[{"chip_id":"q","typical_clock_hz":"4 MHz"}]}', ("chip", 0, "typical_clock_hz", "not a whole number")),
+    ('{"chip":[{"colour":"red"}]}', ("chip", 0, "colour", "unknown column")), ('{"chip":[3]}', ("chip", 0, "", "row is not an object")),
+    ('{"chip":{"chip_id":"q"}}', ("chip", None, "", "not an array")), ('{"weather":[]}', ("weather", None, "", "unknown table")),
+    ("[1]", ("", None, "", "not an object")), ('{"chip":[', ("", None, "", "not an object")), (" ", ("", None, "", "not an object"))])
+def test_bad_bundle_is_refused(spark, tmp_path, text, want):
+    (tmp_path / "good.json").write_text('{"chip":[{"chip_id":"z80","display_name":"Z80","typical_clock_hz":4000000}]}')
+    assert bundles.read_row_bundles(spark, str(tmp_path), ["chip"])["chip"].count() == 1
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(bundles.RejectedInput) as refused:
+        bundles.read_row_bundles(spark, str(tmp_path), ["chip_name"])  # whatever table is asked for
+    assert refused.value.count == 1 and [e[1:] for e in refused.value.examples] == [want]
+
+
+@pytest.mark.parametrize("record,problem", [('<machine sourcefile="x"><description>N</description></machine>', "no name"),
+                                            ('<machine name="x"><description>B</descr></machine>', "unreadable")])
+def test_bad_listing_is_refused(spark, tmp_path, record, problem):
+    (tmp_path / "l.xml").write_text(XML.replace("</mame>", record + '<machine name="z"><description>Z</description></machine></mame>'))
+    with pytest.raises(bundles.RejectedInput) as refused:
+        listing.read_machine_listing(spark, str(tmp_path))
+    assert [e[0] for e in refused.value.examples] == [problem]
+
+
 def test_filename_lints(spark):
     rows = [Row(_file="d/chip/z80.json", _pos=0, chip_id="z81"), Row(_file="d/chip/two.json", _pos=0, chip_id="a"), Row(_file="d/chip/two.json", _pos=1, chip_id="two")]
     out = validation.filename_key({"chip": spark.createDataFrame(rows)}).collect()
@@ -389,6 +438,32 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     with pytest.raises(sinks.GateFailure, match="FOREIGN_KEY"):
         sinks.publish_catalog(good(spark, chip=[], implementation_dependency=[]), path, gates=some)
     assert Catalog.from_parquet(spark, path)["chip"].count() == before == 4
+    assert versions.expire_versions(spark, path) == []  # the refused version left nothing behind
+
+
+def test_publish_survives_a_failure_at_the_switch(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "cat")
+    some = {"FOREIGN_KEY": gates.foreign_key_check}
+    with monkeypatch.context() as m:  # the very first publish fails: there is still nothing to read
+        m.setattr(versions, "rename_over", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            sinks.publish_catalog(good(spark), path, gates=some)
+        assert versions.read_pointer(spark, path) is None
+    opened = sinks.publish_catalog(good(spark), path, gates=some)
+    first = versions.read_pointer(spark, path)
+    assert first["previous"] is None and set(first["tables"]) == set(TABLES)
+    with monkeypatch.context() as m:
+        m.setattr(versions, "rename_over", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            sinks.publish_catalog(good(spark, machine=[], machine_chip=[], machine_unmapped_device=[]), path, gates={})
+    assert versions.read_pointer(spark, path) == first
+    kept = Catalog.from_parquet(spark, path)["machine"].count()
+    assert kept == good(spark)["machine"].count() > 0
+    sinks.publish_catalog(good(spark, machine=[], machine_chip=[], machine_unmapped_device=[]), path, gates={})
+    assert Catalog.from_parquet(spark, path)["machine"].count() == 0
+    assert opened["machine"].count() == kept  # opened before the switch: still its own version
+    assert len(versions.expire_versions(spark, path)) == 2  # the two that failed
+    assert versions.read_pointer(spark, path)["previous"] == first["version"] and opened["machine"].count() == kept
 
 
 def test_row_tables_remove_stale(spark, tmp_path):
