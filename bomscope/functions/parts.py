@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -105,74 +106,52 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("_p", "content")).select(key, (F.col("_p") + 1).alias("line"), "content")
 
 
-_WORD = "[A-Za-z0-9µμ]+"
+_SIGN = "[A-Za-z0-9µμ]"
+_GAP = "[^A-Za-z0-9µμ]?"
+SEEDS = (1, 2, 4, 8, 16, 32)  # a name is looked up by as many of its first signs as it has, of these
+
+
+def _folded(col: Column) -> Column:
+    """Latin capitals as small letters and micro signs as u; nothing else changes, so other letters stay gaps."""
+    return F.translate(col, string.ascii_uppercase + "µμ", string.ascii_lowercase + "uu")
+
+
+def _seeds(signs: Column) -> Column:
+    return F.filter(F.array(*[F.when(F.length(signs) >= n, F.substring(signs, 1, n)) for n in SEEDS]), lambda x: x.isNotNull())
 
 
 def literal_table(names: DataFrame, rec: Recognition) -> DataFrame:
-    """Searchable catalogue names as (joined, cuts, pieces, size, name).
+    """Searchable catalogue names as (name, size, seed, pattern).
 
     A name is its alphanumeric pieces; text may write at most one other character between
-    two pieces, or none.  `joined` is the pieces run together and `cuts` where they meet.
+    two pieces, or none.  `seed` is its longest beginning of a length in SEEDS, gaps left out.
     """
     form = F.col("form")
     ok = (F.length(form) >= rec.min_literal_length) & form.rlike("[A-Za-z]")
     if rec.ignored_parts:
         ok = ok & ~form.isin(*rec.ignored_parts)
-    pieces = F.regexp_extract_all(F.lower(F.translate(F.col("name"), "µμ", "uu")), F.lit("([a-z0-9]+)"), F.lit(1))
-    return names.filter(ok).select(form.alias("name")).distinct().withColumn("p", pieces).select(
-        "name", F.array_join("p", "").alias("joined"), F.size("p").alias("pieces"), F.length("name").alias("size"),
-        _cuts(F.col("p")).alias("cuts")).filter("joined <> ''")
-
-
-def _cuts(pieces: Column) -> Column:
-    """Cumulative lengths of all but the last piece."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))),
-                       lambda n: F.length(F.array_join(F.slice(pieces, F.lit(1), n), "")))
+    pieces = F.regexp_extract_all(_folded(F.col("name")), F.lit("([a-z0-9]+)"), F.lit(1))
+    return (names.filter(ok).select(form.alias("name")).distinct().withColumn("p", pieces).select(
+        "name", F.length("name").alias("size"), F.element_at(_seeds(F.array_join("p", "")), -1).alias("seed"),
+        F.array_join(F.transform("p", lambda x: F.replace(x, F.lit("u"), F.lit("[uµμ]"))), _GAP).alias("pattern")))
 
 
 def _literal_hits(lines: DataFrame, literals: DataFrame, key: str) -> DataFrame:
     """Leftmost, non-overlapping catalogue names per line; a longer name wins at one place.
 
-    Lines become word runs of one to k words (k = most pieces of any name) and meet the
-    names by equality of the joined text, so the catalogue may be large; there is no
-    alternation of thousands of names.
+    Every word of a line starts a window of the next signs, and the window's beginnings meet the names by
+    equality, so the catalogue may be large and names as long as they like; a window has a fixed length.  Only the
+    names met this way become the alternation that the line itself is searched with.
     """
-    widest = literals.agg(F.max("pieces")).first()[0] or 1  # one number; sets how many columns a run has
-    words = F.regexp_extract_all("content", F.lit(f"({_WORD})"), F.lit(1))
-    gaps = F.regexp_extract_all("content", F.lit(r"([^A-Za-z0-9µμ]+)"), F.lit(1))
-    df = (lines.select(key, "line", "content", words.alias("_w"), gaps.alias("_g")).filter(F.size("_w") > 0)
-          # gap i follows word i once a leading gap is dropped
-          .withColumn("_g", F.when(F.col("content").rlike("^[^A-Za-z0-9µμ]"), F.slice("_g", 2, 1 << 30)).otherwise(F.col("_g"))))
-    # Word, the words after it and the gaps between, side by side: one pass over a line, and a
-    # long line's arrays are not repeated per word.
-    shifted = {f"w{i}": F.slice("_w", i + 1, 1 << 30) for i in range(widest)}
-    shifted |= {f"g{i}": F.slice("_g", i + 1, 1 << 30) for i in range(widest - 1)}
-    df = df.select(key, "line", *[c.alias(n) for n, c in shifted.items()])
-    starts = df.select(key, "line", F.posexplode(F.arrays_zip(*shifted)).alias("p", "z")).select(key, "line", (F.col("p") + 1).alias("_s"), "z.*").filter("w0 IS NOT NULL")
-
-    def run(n):
-        ws, gs = [f"w{i}" for i in range(n)], [f"g{i}" for i in range(n - 1)]
-        text = F.concat(*[c for pair in zip(ws, [*gs, None]) for c in pair if c])
-        ends = [F.length(F.concat(*ws[:i])) for i in range(1, n)]
-        close = F.col(ws[-1]).isNotNull()
-        for g in gs:
-            close = close & (F.length(g) == 1)
-        return F.when(close, F.struct(F.lit(n).alias("_n"), F.lower(F.translate(F.concat(*ws), "µμ", "uu")).alias("joined"),
-                                      (F.array(*ends) if ends else F.lit(None).cast("array<int>")).alias("_own"), text.alias("designation")))
-
-    runs = starts.select(key, "line", "_s", F.explode(F.array(*[run(n) for n in range(1, widest + 1)])).alias("r")).filter("r IS NOT NULL").select(key, "line", "_s", "r.*")
-    found = (runs.join(literals, "joined")
-             .filter(F.col("_own").isNull() | (F.size(F.array_except("_own", "cuts")) == 0))
-             .groupBy(key, "line").agg(F.array_sort(F.collect_set(F.struct(
-                 F.col("_s").alias("s"), (-F.col("size")).alias("o"), "name", F.col("_n").alias("n"), "designation"))).alias("c")))
-    # One line's candidates, in order: keep one when it starts after the last kept one ended.
-    none = F.filter("c", lambda x: F.lit(False))
-    kept = F.aggregate("c", F.struct(F.lit(0).alias("end"), none.alias("out")),
-                       lambda acc, x: F.when(x["s"] > acc["end"], F.struct((x["s"] + x["n"] - 1).alias("end"),
-                                                                          F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc),
-                       lambda acc: acc["out"])
-    return found.select(key, "line", F.posexplode(kept).alias("at", "h")).select(
-        key, "line", F.lit(0).alias("rule_no"), F.lit("catalog").alias("rule"), "at", F.col("h.designation").alias("designation"))
+    spaced = F.regexp_replace(_folded(F.col("content")), "[^a-z0-9]+", " ")
+    windows = F.regexp_extract_all(spaced, F.lit(f"(?:^| )(?=((?:[a-z0-9] ?){{1,{SEEDS[-1]}}}))"), F.lit(1))
+    beginnings = F.array_distinct(F.flatten(F.transform(windows, lambda w: _seeds(F.replace(w, F.lit(" "), F.lit(""))))))
+    met = (lines.select(key, "line", F.explode(beginnings).alias("seed")).join(literals, "seed")
+           .groupBy(key, "line").agg(F.array_sort(F.collect_set(F.struct((-F.col("size")).alias("o"), "name", "pattern"))).alias("names")))
+    search = F.concat(F.lit(f"(?i)(?<!{_SIGN})("), F.array_join("names.pattern", "|"), F.lit(f")(?!{_SIGN})"))
+    return (lines.join(met, [key, "line"])
+            .select(key, "line", evidence(F.col("content")).alias("evidence"), F.posexplode(F.regexp_extract_all("content", search, F.lit(1))).alias("at", "designation"))
+            .select(key, "line", "evidence", F.lit(0).alias("rule_no"), F.lit("catalog").alias("rule"), "at", "designation"))
 
 
 def _tagged(no: int, rule: str):
@@ -190,7 +169,8 @@ def _grammar_hits(lines: DataFrame, rec: Recognition, key: str) -> DataFrame | N
         if g.requires_context:
             hits = F.when(context, hits).otherwise(F.array().cast("array<string>"))
         found.append(F.transform(hits, _tagged(no, g.id)))
-    return lines.select(key, "line", F.explode(F.concat(*found)).alias("h")).select(key, "line", "h.*")
+    return (lines.select(key, "line", evidence(F.col("content")).alias("evidence"), F.explode(F.concat(*found)).alias("h"))
+            .select(key, "line", "evidence", "h.*"))
 
 
 def scan_parts(docs: DataFrame, names: DataFrame, rec: Recognition, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,6 +185,5 @@ def scan_parts(docs: DataFrame, names: DataFrame, rec: Recognition, key: str = "
     if other is not None:
         hits = hits.unionByName(other)
     norm = hits.withColumn("normalized", normalize_part(F.col("designation"))).filter("normalized <> ''")
-    first = norm.groupBy(key, "line", "normalized").agg(F.min(F.struct("rule_no", "at", "designation", "rule")).alias("b"))
-    return first.join(lines, [key, "line"]).select(
-        key, "line", F.col("b.designation").alias("designation"), F.col("b.rule").alias("rule"), evidence(F.col("content")).alias("evidence"))
+    first = norm.groupBy(key, "line", "normalized").agg(F.min(F.struct("rule_no", "at", "designation", "rule", "evidence")).alias("b"))
+    return first.select(key, "line", "b.designation", "b.rule", "b.evidence")

@@ -367,8 +367,8 @@ LISTING_URL = "https://example.org/listing"
 
 
 def _benchmark_names(cat):
-    """Catalogue names for the text corpus: the first three words of every benchmark item."""
-    return cat["benchmark"].select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("form")).distinct()
+    """Catalogue names for the text corpus: every clause of every benchmark item, of one word or of many."""
+    return cat["benchmark"].select(F.explode(F.split("text", "[.,\n]")).alias("form")).select(F.trim("form").alias("form")).filter("form <> ''").distinct()
 
 
 @query("rec1_normalize_part")

@@ -297,14 +297,19 @@ FROM n LEFT JOIN {{chip_key}} a ON a.key = normalized LEFT JOIN {{chip_key}} b O
 EXTRA["doc_line"] = """
 SELECT doc_id, unnest(string_split(text, chr(10))) AS content, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line FROM documents"""
 EXTRA["literal"] = """
-SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS name FROM benchmark"""
+SELECT DISTINCT trim(c) AS name FROM (SELECT unnest(string_split_regex(text, '[.,\n]')) AS c FROM benchmark) WHERE trim(c) <> ''"""
 _B0, _B1 = "(?:^|[^A-Za-z0-9])", "(?:$|[^A-Za-z0-9])"
+# One alternation a line, of the names whose signs the line's signs contain; longest first. "_" is put aside because \b counts it as a letter.
 SQL["rec6_scan_parts"] = rf"""
-WITH pat AS (SELECT name, '(?i){_B0}(' || array_to_string(regexp_extract_all(name, '[A-Za-z0-9]+'), '[^A-Za-z0-9]?') || '){_B1}' AS re FROM {{literal}} WHERE regexp_matches(name, '[A-Za-z]')),
-     hit AS (SELECT doc_id, line, 0 AS rule_no, 'catalog' AS rule, unnest(regexp_extract_all(content, re, 1)) AS designation FROM {{doc_line}} JOIN pat ON regexp_matches(content, re)
-             UNION ALL SELECT doc_id, line, 1, 'phone', unnest(regexp_extract_all(content, '{_B0}([0-9]{{3}}-[0-9]{{4}}){_B1}', 1)) FROM {{doc_line}} WHERE content LIKE '%+1%'
-             UNION ALL SELECT doc_id, line, 2, 'license', unnest(regexp_extract_all(content, '(?i){_B0}(licen[sc]e [a-z0-9.-]*[a-z0-9]){_B1}', 1)) FROM {{doc_line}})
-SELECT doc_id, line, arg_min(designation, rule_no) AS designation, arg_min(rule, rule_no) AS rule FROM hit GROUP BY doc_id, line, {_NORM.format('designation')}"""
+WITH pat AS (SELECT name, lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) AS signs, array_to_string(regexp_extract_all(name, '[A-Za-z0-9]+'), '[^A-Za-z0-9]?') AS re
+             FROM {{literal}} WHERE regexp_matches(name, '[A-Za-z]') AND length(name) >= 3),
+     flat AS (SELECT doc_id, line, replace(content, '_', chr(1)) AS content, lower(regexp_replace(content, '[^A-Za-z0-9]', '', 'g')) AS signs FROM {{doc_line}}),
+     one AS (SELECT doc_id, line, content, '(?i)\b(' || string_agg(re, '|' ORDER BY length(name) DESC, name) || ')\b' AS re FROM flat JOIN pat ON contains(flat.signs, pat.signs) GROUP BY ALL),
+     hit AS (SELECT doc_id, line, 0 AS rule_no, 'catalog' AS rule, replace(d, chr(1), '_') AS designation, nth FROM
+               (SELECT doc_id, line, unnest(regexp_extract_all(content, re, 1)) AS d, generate_subscripts(regexp_extract_all(content, re, 1), 1) AS nth FROM one)
+             UNION ALL SELECT doc_id, line, 1, 'phone', unnest(regexp_extract_all(content, '{_B0}([0-9]{{3}}-[0-9]{{4}}){_B1}', 1)), 0 FROM {{doc_line}} WHERE content LIKE '%+1%'
+             UNION ALL SELECT doc_id, line, 2, 'license', unnest(regexp_extract_all(content, '(?i){_B0}(licen[sc]e [a-z0-9.-]*[a-z0-9]){_B1}', 1)), 0 FROM {{doc_line}})
+SELECT doc_id, line, arg_min(designation, (rule_no, nth)) AS designation, arg_min(rule, (rule_no, nth)) AS rule FROM hit GROUP BY doc_id, line, {_NORM.format('designation')}"""
 EXTRA["marked"] = "SELECT m.machine_id, (SELECT string_agg(DISTINCT chip_id, ' ' ORDER BY chip_id) FROM {machine_chip} c WHERE c.machine_id = m.machine_id) AS chips FROM {machine} m"
 SQL["rec7_extract_comments"] = """
 SELECT machine_id, CAST(length(' board ' || machine_id || ' uses' || chr(10) || ' ' || coalesce(chips, 'nothing') || ' ') AS BIGINT) AS size FROM {marked}"""

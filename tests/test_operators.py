@@ -511,6 +511,16 @@ def test_scan(spark):
     assert len(long.evidence) == 160 and long.evidence.endswith("…")
 
 
+def test_scan_long_names_share_their_beginning(spark):
+    words = [f"word{i}" for i in range(40)]
+    names = [" ".join(words[:n]) for n in (6, 7, 12, 39, 40)] + ["µPD 77", "word5"]
+    forms = spark.createDataFrame([(n,) for n in names], "form string")
+    lines = [" ".join(words), "-".join(words[:39]) + "  word39", "".join(words[:12]) + " word13, word5", "x" + " ".join(words[:7]), "uPD77; ΜPD 77 UPD-77", "K word5", ""]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "")], "doc_id int, text string")
+    got = sorted((r.line, r.designation) for r in parts.scan_parts(docs, forms, parts.Recognition()).collect())
+    assert got == sorted([(1, " ".join(words)), (2, "-".join(words[:39])), (3, "".join(words[:12])), (3, "word5"), (4, "word5"), (5, "uPD77"), (6, "word5")])
+
+
 def brute_scan(line, names):
     import re
 
