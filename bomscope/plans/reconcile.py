@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomscope.functions.columns import round4
-from bomscope.functions.parts import Recognition, normalize_without_vendor, resolve_part
+from bomscope.functions.parts import Recognition, normalize_without_vendor, resolve_part, scan_parts
+from bomscope.functions.source_text import attribute_blocks
 
 # Witness order; the first is the primary listing.
 WITNESSES = ("mame-listxml", "mame-source", "wikidata", "wikipedia", "jtcores")
@@ -56,6 +57,22 @@ def reference_witness(hits: DataFrame, witness: str, index: DataFrame, rec: Reco
         "source_url", "evidence", F.lit(None).cast("long").alias("machine_count"))
 
 
+def source_witness(cat, blocks: DataFrame, names: DataFrame, index: DataFrame, rec: Recognition, source_url: str, key: str = "mame_sourcefile") -> DataFrame:
+    """What driver source says per family: parts named in its comment blocks.
+
+    `blocks` are (doc_id, block, line, text, machine_id, <key>), see `source_text.attach_markers`. A block is scanned
+    once, however many families it speaks for; families join its hits only. The citation is the line in the file.
+    """
+    blocks = blocks.withColumn("_id", F.concat_ws("#", "doc_id", "block"))
+    hits = resolve_part(scan_parts(blocks.select("_id", "text"), names, rec, "_id").withColumnRenamed("line", "_at"), index, rec)
+    spoken = attribute_blocks(cat, blocks.select("_id", "line", "machine_id", key), key)
+    place = F.concat(F.lit(source_url + "/"), key, F.lit("#L"), (F.col("line") + F.col("_at") - 1).cast("string"))
+    said = F.concat(F.col(key), F.coalesce(F.concat(F.lit(" ("), "machine_id", F.lit(")")), F.lit("")), F.lit(": "), "evidence")
+    return hits.join(spoken, "_id").select(
+        "system_id", F.lit("mame-source").alias("witness"), "key", "designation", "chip_id", F.lit(None).cast("string").alias("mame_state"),
+        place.alias("source_url"), said.alias("evidence"), F.lit(None).cast("long").alias("machine_count"))
+
+
 def collapse_parts(parts: DataFrame) -> DataFrame:
     """One row per (family, witness, key): the bytewise first citation."""
     rest = [c for c in FIELDS if c not in ("system_id", "witness", "key", "source_url", "designation", "evidence")]

@@ -400,15 +400,18 @@ QUERIES["rec6_scan_parts"] = lambda cat: parts.scan_parts(cat["documents"], _ben
 
 def _source_files(cat):
     """Driver source text derived from the catalogue: one file per source file, comments naming chips
-    above each machine's marker. Lines are one file's machines."""
+    above each machine's marker. By the machine's number the marker stands right below, at the end of its reach,
+    out of reach, or names a machine that nobody knows."""
+    number = F.expr("CAST(substr(machine_id, 2) AS BIGINT)")
+    blank = F.when(number % 6 == 3, "\n\n").when(number % 6 == 4, "\n\n\n").otherwise("")
     body = F.concat(
-        F.lit("// board "), "machine_id", F.lit(" uses\n/* "), F.coalesce("chips", F.lit("nothing")), F.lit(" */\nROM_START( "), "machine_id",
-        F.lit(" )\n  ROM_LOAD(\"a//b\", 'x')\nROM_END\n"))
+        F.lit("// board "), "machine_id", F.lit(" uses\n/* "), F.coalesce("chips", F.lit("nothing")), F.lit(" */\n"), blank,
+        F.lit("ROM_START( "), F.when(number % 6 == 5, "zz").otherwise(""), "machine_id", F.lit(" )\n  ROM_LOAD(\"a//b\", 'x')\nROM_END\n"))
     chips = cat["machine_chip"].groupBy("machine_id").agg(F.array_join(F.array_sort(F.collect_set("chip_id")), " ").alias("chips"))
     lines = cat["machine"].select("machine_id", "mame_sourcefile").join(chips, "machine_id", "left").select("mame_sourcefile", "machine_id", body.alias("t"))
     # A source file is one value: machines are dealt to files of about 200, however many there are.
     files = lines.groupBy("mame_sourcefile").agg(F.ceil(F.count("*") / 200).alias("files"))
-    return (lines.join(files, "mame_sourcefile").withColumn("doc_id", F.concat("mame_sourcefile", F.lit("#"), F.pmod(F.crc32("machine_id"), F.col("files")).cast("string")))
+    return (lines.join(files, "mame_sourcefile").withColumn("doc_id", F.concat("mame_sourcefile", F.lit("#"), (number % F.col("files")).cast("string")))
             .groupBy("doc_id", "mame_sourcefile").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("machine_id", "t"))), lambda x: x["t"]), "").alias("text")))
 
 
@@ -433,6 +436,13 @@ def rec9(cat):
     return source_text.attribute_blocks(cat, _blocks(cat)).groupBy("system_id").agg(F.count("*").alias("blocks"))
 
 
+@query("rec9_source_witness")
+def rec9_witness(cat):
+    """Driver comments to witness rows: blocks, their markers, parts named in them, families."""
+    rows = reconcile.source_witness(cat, _blocks(cat), parts.catalogue_names(cat), parts.chip_index(cat, RECOGNITION), RECOGNITION, LISTING_URL)
+    return rows.select("system_id", "witness", "key", "designation", "chip_id", "source_url", "evidence")
+
+
 @query("rec10_strip_markup")
 def rec10(cat):
     return cat["pages"].select("page_id", F.md5(source_text.strip_markup(F.col("html"))).alias("digest"), F.length(source_text.strip_markup(F.col("html"))).cast("long").alias("size"))

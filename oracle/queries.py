@@ -313,8 +313,26 @@ SELECT doc_id, line, arg_min(designation, (rule_no, nth)) AS designation, arg_mi
 EXTRA["marked"] = "SELECT m.machine_id, (SELECT string_agg(DISTINCT chip_id, ' ' ORDER BY chip_id) FROM {machine_chip} c WHERE c.machine_id = m.machine_id) AS chips FROM {machine} m"
 SQL["rec7_extract_comments"] = """
 SELECT machine_id, CAST(length(' board ' || machine_id || ' uses' || chr(10) || ' ' || coalesce(chips, 'nothing') || ' ') AS BIGINT) AS size FROM {marked}"""
-SQL["rec8_attach_rom_starts"] = "SELECT machine_id AS board, machine_id FROM {machine}"
-SQL["rec9_attribute_blocks"] = "SELECT system_id, count(*) AS blocks FROM {v_machine_system} WHERE system_id IS NOT NULL GROUP BY 1"
+EXTRA["laid"] = """
+WITH m AS (SELECT machine_id, mame_sourcefile, chips, CAST(substr(machine_id, 2) AS BIGINT) AS n FROM {marked} JOIN {machine} USING (machine_id)),
+     f AS (SELECT *, n % 6 AS v, mame_sourcefile || '#' || (n % CAST(ceil(count(*) OVER (PARTITION BY mame_sourcefile) / 200) AS BIGINT)) AS doc_id FROM m)
+SELECT *, CASE WHEN v < 4 THEN machine_id WHEN v = 5 THEN 'zz' || machine_id END AS marker,
+  1 + coalesce(sum(CASE v WHEN 3 THEN 7 WHEN 4 THEN 8 ELSE 5 END) OVER (PARTITION BY doc_id ORDER BY machine_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM f"""
+EXTRA["spoken"] = """
+WITH declared AS (SELECT mame_sourcefile, system_id FROM {system_driver}),
+     reached AS (SELECT DISTINCT mame_sourcefile, system_id FROM {machine} JOIN {v_machine_system} o USING (machine_id)
+                 WHERE o.system_id IS NOT NULL AND mame_sourcefile NOT IN (SELECT mame_sourcefile FROM declared))
+SELECT l.*, o.system_id FROM {laid} l JOIN {v_machine_system} o ON o.machine_id = l.marker WHERE o.system_id IS NOT NULL
+UNION ALL SELECT l.*, d.system_id FROM {laid} l JOIN (FROM declared UNION ALL FROM reached) d USING (mame_sourcefile) WHERE l.marker IS NULL"""
+SQL["rec8_attach_rom_starts"] = "SELECT machine_id AS board, marker AS machine_id FROM {laid}"
+SQL["rec9_attribute_blocks"] = "SELECT system_id, count(*) AS blocks FROM {spoken} GROUP BY 1"
+SQL["rec9_source_witness"] = f"""
+WITH h AS (SELECT *, unnest(string_split(chips, ' ')) AS designation FROM {{spoken}} WHERE chips IS NOT NULL),
+     n AS (SELECT *, {_BARE.format('designation')} AS normalized, {_NORM.format('designation')} AS plain FROM h WHERE length(designation) >= 3)
+SELECT system_id, 'mame-source' AS witness, coalesce('chip:' || coalesce(a.chip_id, b.chip_id), 'part:' || normalized) AS key, designation, coalesce(a.chip_id, b.chip_id) AS chip_id,
+  'https://example.org/listing/' || mame_sourcefile || '#L' || CAST(line + 1 AS BIGINT) AS source_url,
+  mame_sourcefile || coalesce(' (' || marker || ')', '') || ': ' || CASE WHEN length(chips) <= 160 THEN chips ELSE substr(chips, 1, 159) || '…' END AS evidence
+FROM n LEFT JOIN {{chip_key}} a ON a.key = normalized LEFT JOIN {{chip_key}} b ON b.key = plain"""
 # The pages hold no templates or links: each piece after a "<" loses what is before its ">"; comments are cut at their end mark.
 SQL["rec10_strip_markup"] = r"""
 WITH c AS (SELECT page_id, list_aggregate(list_transform(string_split(html, '<!--'), lambda x, i:
