@@ -142,9 +142,8 @@ def snk3(cat):
     path = _scratch(cat)
     collapsed, findings = _reconciled(cat)
     sinks.write_reconciliation(reconcile.merge_witnesses(collapsed), findings, path)
-    rec = cat.spark.read.schema("system_id string, witnesses array<struct<witness:string,parts:array<struct<key:string>>>>").json(path + "/records")
-    return rec.select("system_id", F.posexplode("witnesses").alias("p", "w")).select(
-        "system_id", (F.col("p") + 1).cast("long").alias("position"), "w.witness", F.size("w.parts").cast("long").alias("parts"))
+    part = "key:string,designation:string,chip_id:string,mame_state:string,source_url:string,evidence:string,machine_count:bigint"
+    return _flat_records(cat.spark.read.schema(f"system_id string, witnesses array<struct<witness:string,parts:array<struct<{part}>>>>").json(path + "/records"))
 
 
 @query("snk4_write_row_tables")
@@ -489,7 +488,7 @@ def rec15(cat):
 
 
 def _references(cat):
-    """Reference claims derived from curated chips (source comments), aliases and part names."""
+    """Reference claims: driver comments read from source text, and rows derived from curated chips, families and device names."""
     index = parts.chip_index(cat, RECOGNITION)
     src = cat["system_chip"].select("system_id", F.upper("chip_id").alias("designation"), F.concat(F.lit("https://example.org/src/"), "role_id").alias("source_url"),
                                     F.concat(F.lit("// "), "chip_id").alias("evidence"))
@@ -497,7 +496,8 @@ def _references(cat):
                                 F.lit("https://example.org/wiki").alias("source_url"), F.col("name").alias("evidence"))
     dev = cat["v_machine_system"].filter("system_id IS NOT NULL").join(cat["machine_unmapped_device"].filter("quantity >= 1"), "machine_id").select(
         "system_id", F.upper("mame_device").alias("designation"), F.lit("https://example.org/item").alias("source_url"), F.lit("statement").alias("evidence")).distinct()
-    return (reconcile.reference_witness(src, "mame-source", index, RECOGNITION)
+    said = reconcile.source_witness(cat, _blocks(cat), parts.catalogue_names(cat), index, RECOGNITION, LISTING_URL)
+    return (said.unionByName(reconcile.reference_witness(src, "mame-source", index, RECOGNITION))
             .unionByName(reconcile.reference_witness(wiki, "wikipedia", index, RECOGNITION))
             .unionByName(reconcile.reference_witness(dev, "wikidata", index, RECOGNITION)))
 
@@ -518,12 +518,14 @@ QUERIES["rec16_listing_witness"] = lambda cat: reconcile.listing_witness(cat, RE
 QUERIES["rec17_collapse_parts"] = lambda cat: reconcile.collapse_parts(_references(cat)).select("system_id", "witness", "key", "designation", "chip_id", "source_url", "evidence")
 
 
-@query("rec18_merge_witnesses")
-def rec18(cat):
-    return reconcile.merge_witnesses(_collapsed(cat)).select("system_id", F.array_join(F.transform("witnesses", lambda w: F.concat_ws(
-        "=", w["witness"], F.size(w["parts"]).cast("string"))), " ").alias("witnesses"))
+def _flat_records(records):
+    """Nested records as rows: each witness of a family with its place, each part with its place."""
+    return (records.select("system_id", F.posexplode("witnesses").alias("w", "x")).select("system_id", (F.col("w") + 1).alias("position"), "x.witness", F.posexplode("x.parts").alias("p", "part"))
+            .select("system_id", "position", "witness", (F.col("p") + 1).alias("part_position"), "part.key", "part.designation", "part.chip_id", "part.mame_state",
+                    "part.source_url", "part.evidence", "part.machine_count"))
 
 
+QUERIES["rec18_merge_witnesses"] = lambda cat: _flat_records(reconcile.merge_witnesses(_collapsed(cat)))
 QUERIES["rec19_classify_findings"] = lambda cat: _reconciled(cat)[1]
 QUERIES["rec20_reconcile_summary"] = lambda cat: reconcile.reconcile_summary(*_reconciled(cat))
 QUERIES["rec21_machine_systems_for_recon"] = lambda cat: reconcile.machine_systems_for_recon(cat)

@@ -326,13 +326,14 @@ SELECT l.*, o.system_id FROM {laid} l JOIN {v_machine_system} o ON o.machine_id
 UNION ALL SELECT l.*, d.system_id FROM {laid} l JOIN (FROM declared UNION ALL FROM reached) d USING (mame_sourcefile) WHERE l.marker IS NULL"""
 SQL["rec8_attach_rom_starts"] = "SELECT machine_id AS board, marker AS machine_id FROM {laid}"
 SQL["rec9_attribute_blocks"] = "SELECT system_id, count(*) AS blocks FROM {spoken} GROUP BY 1"
-SQL["rec9_source_witness"] = f"""
+EXTRA["said"] = f"""
 WITH h AS (SELECT *, unnest(string_split(chips, ' ')) AS designation FROM {{spoken}} WHERE chips IS NOT NULL),
      n AS (SELECT *, {_BARE.format('designation')} AS normalized, {_NORM.format('designation')} AS plain FROM h WHERE length(designation) >= 3)
 SELECT system_id, 'mame-source' AS witness, coalesce('chip:' || coalesce(a.chip_id, b.chip_id), 'part:' || normalized) AS key, designation, coalesce(a.chip_id, b.chip_id) AS chip_id,
   'https://example.org/listing/' || mame_sourcefile || '#L' || CAST(line + 1 AS BIGINT) AS source_url,
   mame_sourcefile || coalesce(' (' || marker || ')', '') || ': ' || CASE WHEN length(chips) <= 160 THEN chips ELSE substr(chips, 1, 159) || '…' END AS evidence
 FROM n LEFT JOIN {{chip_key}} a ON a.key = normalized LEFT JOIN {{chip_key}} b ON b.key = plain"""
+SQL["rec9_source_witness"] = "SELECT * FROM {said}"
 # The pages hold no templates or links: each piece after a "<" loses what is before its ">"; comments are cut at their end mark.
 SQL["rec10_strip_markup"] = r"""
 WITH c AS (SELECT page_id, list_aggregate(list_transform(string_split(html, '<!--'), lambda x, i:
@@ -373,9 +374,11 @@ WITH raw AS (
   UNION ALL SELECT DISTINCT system_id, 'wikidata', upper(mame_device), 'https://example.org/item', 'statement' FROM {{v_machine_system}} JOIN {{machine_unmapped_device}} USING (machine_id)
             WHERE system_id IS NOT NULL),
   n AS (SELECT *, {_BARE.format('designation')} AS normalized, {_NORM.format('designation')} AS plain FROM raw)
-SELECT system_id, witness, coalesce('chip:' || coalesce(a.chip_id, b.chip_id), 'part:' || normalized) AS key, designation, coalesce(a.chip_id, b.chip_id) AS chip_id, source_url, evidence
-FROM n LEFT JOIN {{chip_key}} a ON a.key = normalized LEFT JOIN {{chip_key}} b ON b.key = plain WHERE length(normalized) >= 2
-QUALIFY row_number() OVER (PARTITION BY system_id, witness, coalesce('chip:' || coalesce(a.chip_id, b.chip_id), 'part:' || normalized) ORDER BY source_url, designation, evidence) = 1"""
+SELECT * FROM (
+  SELECT system_id, witness, coalesce('chip:' || coalesce(a.chip_id, b.chip_id), 'part:' || normalized) AS key, designation, coalesce(a.chip_id, b.chip_id) AS chip_id, source_url, evidence
+  FROM n LEFT JOIN {{chip_key}} a ON a.key = normalized LEFT JOIN {{chip_key}} b ON b.key = plain WHERE length(normalized) >= 2
+  UNION ALL BY NAME SELECT * FROM {{said}})
+QUALIFY row_number() OVER (PARTITION BY system_id, witness, key ORDER BY source_url, designation, evidence) = 1"""
 SQL["rec17_collapse_parts"] = "SELECT * FROM {claim}"
 EXTRA["witness"] = """
 SELECT system_id, witness, key, designation, chip_id, mame_state, source_url, evidence, machine_count,
@@ -383,10 +386,10 @@ SELECT system_id, witness, key, designation, chip_id, mame_state, source_url, ev
        list_position(['mame-listxml', 'mame-source', 'wikidata', 'wikipedia', 'jtcores'], witness) AS ord
 FROM (SELECT * FROM {listed} UNION ALL BY NAME SELECT * FROM {claim})"""
 SQL["rec18_merge_witnesses"] = """
-SELECT system_id, string_agg(witness || '=' || n, ' ' ORDER BY ord) AS witnesses FROM (SELECT system_id, witness, ord, count(*) AS n FROM {witness} GROUP BY ALL) GROUP BY system_id"""
-SQL["snk3_write_reconciliation"] = """
-SELECT system_id, row_number() OVER (PARTITION BY system_id ORDER BY ord) AS position, witness, n AS parts
-FROM (SELECT system_id, witness, ord, count(*) AS n FROM {witness} GROUP BY ALL)"""
+SELECT system_id, CAST(dense_rank() OVER (PARTITION BY system_id ORDER BY ord) AS INTEGER) AS position, witness,
+  CAST(row_number() OVER (PARTITION BY system_id, witness ORDER BY key) AS INTEGER) AS part_position, key, designation, chip_id, mame_state, source_url, evidence, machine_count
+FROM {witness}"""
+SQL["snk3_write_reconciliation"] = SQL["rec18_merge_witnesses"]
 EXTRA["finding"] = """
 WITH total AS (SELECT system_id, count(*) AS machines FROM {v_machine_system} WHERE system_id IS NOT NULL GROUP BY 1),
 g AS (SELECT system_id, key, bool_or(witness = 'mame-listxml') AS p, bool_or(witness <> 'mame-listxml') AS r,
