@@ -575,6 +575,28 @@ def test_comments_and_markers(spark):
     assert at == {1: "alpha", 10: None, 15: "gamma"}
 
 
+def test_driver_comments_become_witness_rows(spark):
+    cat = Catalog.from_rows(spark, {
+        "chip": [{"chip_id": "z80", "display_name": "Z80"}, {"chip_id": "ay", "display_name": "AY-3-8910"}],
+        "system": [{"system_id": s, "name": s} for s in ("s1", "s2", "s3")],
+        "machine": [{"machine_id": m, "name": m, "mame_sourcefile": f} for m, f in (("a", "x/one.cpp"), ("b", "x/one.cpp"), ("c", "x/two.cpp"), ("d", "x/two.cpp"))],
+        "machine_system": [{"machine_id": m, "system_id": s, "reason": "r"} for m, s in (("a", "s2"), ("c", "s1"), ("d", "s2"))],
+        "system_driver": [{"mame_sourcefile": "x/one.cpp", "system_id": "s3"}]})
+    one = "/* Z80\n SEGA 315-5296 custom */\n\nROM_START( a )\n// AY38910\n\n\n\n\nROM_START( b )\n// Z80\nROM_START( nobody )\nx = \"Z80\";\n"
+    two = "int x; // uses z80 and Z-80\n"
+    src = spark.createDataFrame([("1", "x/one.cpp", one), ("2", "x/two.cpp", two), ("3", "x/none.cpp", two)], "doc_id string, mame_sourcefile string, text string")
+    blocks = source_text.attach_markers(source_text.extract_comments(src), source_text.markers(src)).join(src.select("doc_id", "mame_sourcefile"), "doc_id")
+    rows = reconcile.source_witness(cat, blocks, parts.catalogue_names(cat), parts.chip_index(cat, REC), REC, "u")
+    got = sorted((r.system_id, r.key, r.designation, r.source_url, r.evidence) for r in rows.collect())
+    assert set(rows.columns) == set(reconcile.FIELDS)
+    assert got == sorted([
+        ("s2", "chip:z80", "Z80", "u/x/one.cpp#L1", "x/one.cpp (a): Z80"),  # the marked machine's family
+        ("s2", "part:3155296", "315-5296", "u/x/one.cpp#L2", "x/one.cpp (a): SEGA 315-5296 custom"),
+        ("s3", "chip:ay", "AY38910", "u/x/one.cpp#L5", "x/one.cpp: AY38910"),  # out of reach: what the file declares
+        ("s1", "chip:z80", "z80", "u/x/two.cpp#L1", "x/two.cpp: uses z80 and Z-80"),  # nothing declared: what it reaches
+        ("s2", "chip:z80", "z80", "u/x/two.cpp#L1", "x/two.cpp: uses z80 and Z-80")])
+
+
 def test_markup(spark):
     text = "a<ref name=x/>b<ref>cite</ref>c<!-- no -->d {{t|{{u}}}} [[Zilog Z80|Z80]] [[Amiga]] '''bold''' x&nbsp;&amp;"
     got = spark.createDataFrame([(text,)], "s string").select(source_text.strip_markup(F.col("s"))).first()[0]
