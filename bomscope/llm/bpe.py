@@ -3,10 +3,11 @@
 The leaves of a word's tree are the ranks of its adjacent pairs; the root holds the lowest rank and,
 among equals, the leftmost place.  Each merge changes at most three leaves, so it costs a logarithm
 of the word's length.  Many words are worked on at once, one row of a matrix each, so that tree
-building, reading the roots and updating paths are array operations.
+building, reading the roots and updating paths are array operations.  A group of few words, such as
+one very long word, has a tree of plain integers per word instead: the same tree, the same ids.
 
 The vocabulary file is a parameter and is read on each machine, once per Python worker.  Words that
-were met before come from a bounded cache, which is emptied when full.
+were met before come from a cache bounded in words and in characters, which is emptied when full.
 
 Defined cases: a null text counts as empty and gives no ids.  Text that spells a special token gives
 that token's id, as the file's own library does.  Words of any length are encoded whole.
@@ -18,6 +19,7 @@ import functools
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,6 +31,10 @@ from pyspark.sql import types as T
 
 #: Encoded words that a worker remembers at most.
 CACHE_WORDS = 300_000
+#: Characters of words, ids and tokens that it holds before it is emptied.
+CACHE_CHARS = 32_000_000
+#: Groups of fewer words are merged word by word; array calls cost more than they save there.
+FEW_WORDS = 16
 #: Matrix cells of one group of words.
 CELLS = 1 << 20
 NONE = np.int64(1) << 62
@@ -69,6 +75,7 @@ class WordBpe:
         # The same classes where every character is ASCII.
         self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
         self.cache: dict[str, tuple[str, str]] = {}
+        self.cached_chars = 0
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -86,10 +93,68 @@ class WordBpe:
             step = max(1, CELLS // int(w))
             for k in range(0, len(members), step):
                 rows = members[k : k + step]
+                if len(rows) < FEW_WORDS:
+                    for i in rows:
+                        out[i] = self._merge_word(word_bytes[i], int(w))
+                    continue
                 for i, ids in zip(rows, self._merge_group([word_bytes[i] for i in rows], lengths[rows], int(w))):
                     out[i] = ids
         return out
 
+    @functools.cached_property
+    def merges(self) -> dict[int, int]:
+        """Key of a pair to its rank."""
+        return dict(zip(self.keys.tolist(), self.rank.tolist()))
+
+    def _merge_word(self, word: bytes, w: int) -> np.ndarray:
+        """One word of at most w bytes; pair i stands at leaf w + i of its tree, as rank * w + i."""
+        n, size, none, merges = len(word), int(self.size), int(NONE), self.merges
+        codes = np.frombuffer(word, np.uint8)
+        first = self.inner[codes]
+        first[-1] = self.final[codes[-1]]
+        full = np.full(2 * w, NONE, np.int64)
+        ranks = self.ranks(first[:-1], first[1:])
+        full[w : w + n - 1] = np.where(ranks < NONE, ranks * w + np.arange(n - 1), NONE)
+        level = w
+        while level > 1:
+            half = level // 2
+            full[half:level] = np.minimum(full[level : 2 * level : 2], full[level + 1 : 2 * level : 2])
+            level = half
+        tree, ids = array("q", full.tobytes()), array("q", first.tobytes())
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        del full, first, ranks
+
+        def put(leaf: int, value: int) -> None:
+            """Sets a leaf; the way up ends where a node's minimum stays."""
+            node = w + leaf
+            tree[node] = value
+            while node > 1:
+                other = tree[node ^ 1]
+                low = value if value < other else other
+                node >>= 1
+                if tree[node] == low:
+                    return
+                tree[node] = value = low
+
+        while tree[1] < none:
+            rank, i = divmod(tree[1], w)
+            j = after[i]
+            k, p = after[j], before[i]
+            new = ids[i] = int(self.made[rank])
+            ids[j] = -1
+            after[i] = k
+            put(j, none)
+            if p >= 0:
+                found = merges.get(ids[p] * size + new)
+                put(p, none if found is None else found * w + p)
+            found = None
+            if k < n:
+                before[k] = i
+                found = merges.get(new * size + ids[k])
+            put(i, none if found is None else found * w + i)
+        done = np.frombuffer(ids, np.int64)
+        return done[done >= 0]
+
     def _merge_group(self, group: list[bytes], lengths: np.ndarray, w: int) -> list[np.ndarray]:
         """Words of at most w bytes, one row each; pair i of a row stands at leaf w + i of its tree."""
         n = len(group)
@@ -164,14 +229,19 @@ class WordBpe:
 
     def learn(self, words: Iterable[str]) -> None:
         missing = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(missing) > CACHE_WORDS:
+        if len(self.cache) + len(missing) > CACHE_WORDS or self.cached_chars > CACHE_CHARS:
             self.cache.clear()
+            self.cached_chars = 0
             missing = list(words)
         plain = [w for w in missing if w not in self.special]
         for w, ids in zip(plain, self.merged([w.encode() for w in plain])):
-            self.cache[w] = self._shown(ids.tolist())
+            self._keep(w, ids.tolist())
         for w in set(missing) & set(self.special):
-            self.cache[w] = self._shown([self.special[w]])
+            self._keep(w, [self.special[w]])
+
+    def _keep(self, word: str, ids: list[int]) -> None:
+        shown = self.cache[word] = self._shown(ids)
+        self.cached_chars += len(word) + len(shown[0]) + len(shown[1])
 
     def _shown(self, ids: list[int]) -> tuple[str, str]:
         return " ".join(map(str, ids)), " ".join([self.token[i] for i in ids])

@@ -170,6 +170,28 @@ def test_bpe_equals_the_library(spark):
     assert len(got) == 11 and all(r.ids == "" and r.decoded == "" for r in got if r.doc_id in (3, 4))
 
 
+def test_bpe_of_very_long_words_and_of_few_words():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    theirs, ours = Tokenizer.from_file(path), bpe.WordBpe(path)
+    rng = random.Random(6)
+    for word in ("".join(rng.choices("etaoinshrdlu", k=1_000_000)), "a" * 70_000, "中" * 20_000, "é!" * 9_000, "x"):
+        ids, _ = ours.encode([word])[0]
+        assert ids == " ".join(map(str, theirs.encode(word, add_special_tokens=False).ids))
+    few = ["".join(rng.choices("abcdeéß!", k=rng.randint(1, 40))).encode() for _ in range(400)]
+    groups = ours.merged(few)
+    assert all(ours.merged([w])[0].tolist() == g.tolist() for w, g in zip(few, groups))
+
+
+def test_bpe_cache_is_bounded_in_characters(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 50)
+    model = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["some words here", "other words there", "some more words"] * 3
+    assert [model.encode([t])[0] for t in texts] == model.encode(texts)
+    for t in texts:
+        model.encode([t])
+        assert model.cached_chars <= 50 + 200
+
+
 # -- op5
 
 def test_language_held_out(documents):
