@@ -82,22 +82,28 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
+def branch(turns: Column) -> Column:
+    """Place, from 1, of the last turn that carries loss; the last turn's if none does."""
+    from_end = F.array_position(F.transform(F.reverse(turns), lambda t: t["role"] == TRAINED), True)
+    return F.when(from_end > 0, F.size(turns) - from_end + 1).otherwise(F.size(turns)).cast("int")
+
+
 def contrast_pairs(rows: DataFrame) -> DataFrame:
-    """One pair per conversation: as it is (chosen), and with its last turn's words taken from the next conversation (rejected).
+    """One pair per conversation: as it is (chosen), and from its branch on as the next conversation goes from its own (rejected).
 
-    Conversations follow each other by ascending id, the first after the last; one without an id is
-    paired with an empty answer.
+    So both sides may have different numbers of turns, and share more turns than those before the branch where
+    the next ones agree.  Conversations follow each other by ascending id, the first after the last; one without
+    an id is paired with an empty answer.
     """
-    convs = conversations(rows)
-    last = convs.filter("conv_id IS NOT NULL").select(
-        F.col("conv_id").alias("next_conv_id"), F.element_at("turns", -1)["text"].alias("other")
+    convs = conversations(rows).withColumn("branch", branch(F.col("turns")))
+    ends = convs.filter("conv_id IS NOT NULL").select(
+        F.col("conv_id").alias("next_conv_id"), F.expr("slice(turns, branch, size(turns) - branch + 1)").alias("other")
     )
     order = with_next(rows.select(F.col("conv_id").cast("long").alias("conv_id")), "conv_id")
-    other = order.join(last, "next_conv_id").select("conv_id", "other")
+    other = order.join(ends, "next_conv_id").select("conv_id", "other")
     paired = convs.join(other, "conv_id", "left")
-    final = F.element_at("turns", -1)
-    swapped = F.struct(final["role"].alias("role"), F.coalesce("other", F.lit("")).alias("text"))
+    empty = F.array(F.struct(F.element_at("turns", F.col("branch"))["role"].alias("role"), F.lit("").alias("text")))
     return paired.select(
         "conv_id", F.col("turns").alias("chosen"),
-        F.concat(F.expr("slice(turns, 1, size(turns) - 1)"), F.array(swapped)).alias("rejected"),
+        F.concat(F.expr("slice(turns, 1, branch - 1)"), F.coalesce("other", empty)).alias("rejected"),
     )

@@ -190,15 +190,22 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
     "op10_preference_format": """
 WITH c AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
   FROM conversations GROUP BY conv_id),
-o AS (SELECT conv_id, t, coalesce(lead(t[-1].text) OVER (ORDER BY conv_id),
-  first(t[-1].text) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other FROM c),
-q AS (SELECT conv_id, t[1:len(t) - 1] AS head, t[-1] AS last, other FROM o),
-k AS (SELECT *, len(head) + CASE WHEN last.text = other THEN 1 ELSE 0 END AS n FROM q),
-m AS (SELECT conv_id, n, last.role AS role, '<|im_start|>' || last.role || chr(10) AS h, last.text || '<|im_end|>' || chr(10) AS a,
-  other || '<|im_end|>' || chr(10) AS b, last.text = other AS same,
-  coalesce(list_aggregate(list_transform(head, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), 'string_agg', ''), '') AS p FROM k)
-SELECT conv_id, n::BIGINT AS prompt_turns, p || CASE WHEN same THEN h || a ELSE '' END AS prompt,
-  CASE WHEN same THEN '' ELSE h || a END AS chosen, CASE WHEN same THEN '' ELSE h || b END AS rejected,
-  CASE WHEN same OR role <> 'assistant' THEN '' ELSE length(h) || '-' || (length(h) + length(a)) END AS chosen_loss,
-  CASE WHEN same OR role <> 'assistant' THEN '' ELSE length(h) || '-' || (length(h) + length(b)) END AS rejected_loss FROM m""",
+b AS (SELECT conv_id, t, coalesce(list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')), len(t)) AS i FROM c),
+e AS (SELECT conv_id, t, t[1:i - 1] AS head, t[i:] AS tail FROM b),
+o AS (SELECT conv_id, t, head, coalesce(lead(tail) OVER (ORDER BY conv_id),
+  first(tail) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other FROM e),
+q AS (SELECT conv_id, t, list_concat(head, other) AS r FROM o),
+k AS (SELECT conv_id, t, r, coalesce(list_min(list_filter(range(1, greatest(len(t), len(r)) + 1), lambda j: t[j] IS DISTINCT FROM r[j])) - 1, len(t)) AS n FROM q),
+s AS (SELECT conv_id, n, list_transform(t[1:n], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)) AS p,
+  list_transform(t[n + 1:], lambda x: {'role': x.role, 'h': '<|im_start|>' || x.role || chr(10), 'a': x.text || '<|im_end|>' || chr(10)}) AS c,
+  list_transform(r[n + 1:], lambda x: {'role': x.role, 'h': '<|im_start|>' || x.role || chr(10), 'a': x.text || '<|im_end|>' || chr(10)}) AS r FROM k)
+SELECT conv_id, n::BIGINT AS prompt_turns, coalesce(list_aggregate(p, 'string_agg', ''), '') AS prompt,
+  coalesce(list_aggregate(list_transform(c, lambda x: x.h || x.a), 'string_agg', ''), '') AS chosen,
+  coalesce(list_aggregate(list_transform(list_filter(range(1, len(c) + 1), lambda j: c[j].role = 'assistant'), lambda j:
+    (coalesce(list_sum(list_transform(c[1:j - 1], lambda y: length(y.h) + length(y.a))), 0) + length(c[j].h))::BIGINT || '-'
+    || coalesce(list_sum(list_transform(c[1:j], lambda y: length(y.h) + length(y.a))), 0)::BIGINT), 'string_agg', ' '), '') AS chosen_loss,
+  coalesce(list_aggregate(list_transform(r, lambda x: x.h || x.a), 'string_agg', ''), '') AS rejected,
+  coalesce(list_aggregate(list_transform(list_filter(range(1, len(r) + 1), lambda j: r[j].role = 'assistant'), lambda j:
+    (coalesce(list_sum(list_transform(r[1:j - 1], lambda y: length(y.h) + length(y.a))), 0) + length(r[j].h))::BIGINT || '-'
+    || coalesce(list_sum(list_transform(r[1:j], lambda y: length(y.h) + length(y.a))), 0)::BIGINT), 'string_agg', ' '), '') AS rejected_loss FROM s""",
 }

@@ -461,6 +461,36 @@ def test_contrast_pairs_odd_rows(spark):
     assert len(got) == 3 and preferences.contrast_pairs(df.limit(0)).count() == 0
 
 
+def test_contrast_pairs_branch_at_the_last_answer(spark):
+    """Against plain Python: a real prefix, sides of different lengths, one very long conversation, and loss wherever an answer is."""
+    rng = random.Random(8)
+    convs = {i: [(rng.choice(["user", "assistant", "tool"]), rng.choice(["a", "b", "c d"])) for _ in range(rng.randint(1, 6))] for i in range(60)}
+    convs[60] = [("user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(20_000)]
+    convs[61] = [("user", "only")]
+    rows = [(i, k, role, text) for i, turns in convs.items() for k, (role, text) in enumerate(turns)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in preferences.format_pairs(preferences.contrast_pairs(df)).collect()}
+
+    def cut(turns):
+        return max([k for k, t in enumerate(turns) if t[0] == "assistant"], default=len(turns) - 1)
+
+    def shown(turns):
+        return "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
+
+    for i, turns in convs.items():
+        after = convs[(i + 1) % len(convs)]
+        rejected = turns[: cut(turns)] + after[cut(after) :]
+        n = 0
+        while n < min(len(turns), len(rejected)) and turns[n] == rejected[n]:
+            n += 1
+        r = got[i]
+        assert (r.prompt_turns, r.prompt, r.chosen, r.rejected) == (n, shown(turns[:n]), shown(turns[n:]), shown(rejected[n:]))
+        for text, spans, rest in ((r.chosen, r.chosen_loss, turns[n:]), (r.rejected, r.rejected_loss, rejected[n:])):
+            assert [text[s.start : s.stop] for s in spans] == [f"{t}<|im_end|>\n" for role, t in rest if role == "assistant"]
+    assert got[60].prompt_turns == 19_999 and any(len(r.chosen_loss) != len(r.rejected_loss) for r in got.values())
+
+
 # -- pipeline
 
 def test_pipeline_stages(spark, documents):
