@@ -1,18 +1,23 @@
 """HTML main text by wrapper induction.
 
 All pages of a host are aligned with one of them by simple tree matching.  A text node of that page whose
-text comes back at the same place in most of the others belongs to the host's template; slots whose text
-varies are content.  Slots that are menus, forms, notices, adverts, comments and the like are known by
-element, role and class name, also where their text varies.  Where a page marks its article, the content slots
-inside it are the text: template nodes are dropped there too.  A mark that holds no content slot says nothing
-if other slots of the page vary; if none does, the page repeats the article of most others and keeps it.
+text comes back at the same place in most of the others belongs to the host's template.  Every element of it is
+weighed by the prose without links that differs from page to page below it, summed over the host's pages; the
+content slot is found from the root by going on into the element that holds most of that prose, until an element
+holds paragraphs or headings of its own.  A page's text is what stands in its counterpart of the slot, less
+template nodes.  Element and class names decide little there: menus, forms, notices, adverts and comments inside
+the slot go, and prose so named weighs less.  Where the slot of a page holds a marked article, that is the text.
+
+Hosts with too few pages, or without prose that differs, have no slot.  Their text is what the marks (article, main)
+hold, or all that no element, role or class name excludes.  A mark that holds template only says nothing if other
+slots of the page vary; if none does, the page repeats the article of most others and keeps it.
 
 One page per host travels to the host's other pages; of each page only counts per node come back.  Hosts of
 any size are therefore dealt like any other rows.
 
 Defined cases: a null html has an empty text.  A page without a host belongs to the host ''.  A host with
-fewer than MIN_PAGES other pages has no template.  Elements nested deeper than MAX_DEPTH are read as if
-they lay at that depth.  Rows that repeat a page are rows of the result.  Extra columns are not looked at.
+fewer than MIN_PAGES other pages has no template and no slot.  Elements nested deeper than MAX_DEPTH are read as
+if they lay at that depth.  Rows that repeat a page are rows of the result.  Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +35,10 @@ from bomscope.llm.common import staged
 #: A node is template if at least SHARE of at least MIN_PAGES other pages have its text at its place.
 SHARE, MIN_PAGES = 0.8, 4
 MAX_DEPTH = 150
+#: The slot goes on into an element that holds this share of the differing prose, unless the rest has paragraphs with OWN.
+INTO, OWN = 0.5, 0.1
+#: Prose in elements whose class or id excludes them weighs one part in so many.
+NAMED = 4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template noframes xmp".split())
@@ -46,6 +55,8 @@ DROPPED_WORDS = frozenset(
     "toolbar copyright disclaimer form search".split()
 )
 CONTENT = frozenset(("article", "main"))
+#: Why an element is left out: its tag, role or style; a word of its names; the word "header" alone.
+BY_KIND, BY_NAME, BY_HEADER = 1, 2, 3
 #: An open element that a new one closes: the new element, those it closes, where the search stops.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -67,31 +78,32 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 class Node:
     __slots__ = ("tag", "children", "text", "drop", "number", "shape")
 
-    def __init__(self, tag: str, text: str | None = None, drop: bool = False):
+    def __init__(self, tag: str, text: str | None = None, drop: int = 0):
         self.tag, self.text, self.drop = tag, text, drop
         self.children: list[Node] = []
         self.number = -1
         self.shape = -1
 
 
-def _is_dropped(tag: str, attrs: str) -> bool:
+def _dropped(tag: str, attrs: str) -> int:
     if tag in DROPPED or tag in RAW:
-        return True
+        return BY_HEADER if tag == "header" else BY_KIND
     if not attrs or tag in ("html", "body") or tag in CONTENT:
-        return False
+        return 0
+    named: set[str] = set()
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            if any(w.lower() in DROPPED_WORDS for w in NAME_WORD.findall(value)):
-                return True
+            named.update(w.lower() for w in NAME_WORD.findall(value))
         elif name == "role":
             if value.strip().lower() in DROPPED_ROLES:
-                return True
+                return BY_KIND
         elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
-            return True
+            return BY_KIND
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return BY_KIND
+    named &= DROPPED_WORDS
+    return 0 if not named else BY_HEADER if named == {"header"} else BY_NAME
 
 
 def parse(source: str) -> Node:
@@ -143,7 +155,7 @@ def parse(source: str) -> Node:
                         break
                 elif stack[k].tag in stops:
                     break
-        node = Node(tag, drop=_is_dropped(tag, m["attrs"]))
+        node = Node(tag, drop=_dropped(tag, m["attrs"]))
         stack[-1].children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}\Z", re.I).search(source, at)
@@ -227,12 +239,12 @@ class Matcher:
         return total + table[-1][-1], pairs
 
     def align(self, reference: Node, page: Node) -> Iterator[tuple[Node, Node]]:
-        """Matched text leaves."""
+        """Matched nodes, the roots first."""
         work = [(reference, page)]
         while work:
             a, b = work.pop()
+            yield a, b
             if a.tag == "#":
-                yield a, b
                 continue
             _, pairs = self._best([c.shape for c in a.children], [c.shape for c in b.children], trace=True)
             work += [(a.children[i], b.children[j]) for i, j in pairs]
@@ -260,10 +272,69 @@ def _has(node: Node, tags: frozenset[str]) -> bool:
 
 
 HEADINGS = frozenset(("h1", "h2"))
+#: Elements that hold words themselves, not the page's larger parts.
+BLOCKS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table figure address hr".split())
 
 
-def main_text(tree: Node, template: set[Node]) -> str:
-    """Text of the slots that are not template: those of the article, or all where none is marked."""
+def weights(reference_pairs: list[tuple[Node, Node]], page: Node) -> list[tuple[int, int, int]]:
+    """Of matched larger parts and headings: number, differing prose below in the page, and that in words of their own."""
+    twin = {b: a for a, b in reference_pairs}
+    below: dict[Node, int] = {}
+    found: list[tuple[int, int, int]] = []
+    order: list[tuple[Node, int]] = []
+    work = [(page, NAMED)]
+    while work:
+        node, factor = work.pop()
+        if node.tag == "a" or node.drop == BY_KIND:
+            factor = 0
+        elif node.drop:
+            factor = 1
+        order.append((node, factor))
+        if factor:
+            work += [(c, factor) for c in node.children]
+    for node, factor in reversed(order):
+        if node.tag == "#":
+            other, words = twin.get(node), _plain(node.text)
+            below[node] = 0 if other is not None and _plain(other.text) == words else factor * len(words)
+            continue
+        parts = [(c, below.pop(c, 0)) for c in node.children]
+        total = sum(w for _, w in parts)
+        own = sum(w for c, w in parts if c.tag == "#" or c.tag in INLINE or c.tag in BLOCKS)
+        below[node] = total
+        if total and node in twin and (node.tag in HEADINGS or node.tag not in BLOCKS and node.tag not in INLINE):
+            found.append((twin[node].number, total, own))
+    return found
+
+
+def content_slot(reference: Node, weight: dict[int, int], own: dict[int, int]) -> int | None:
+    """Number of the element that holds the host's content; none if nothing differs."""
+    node = reference
+    if not weight.get(node.number):
+        return None
+
+    def headed(n: Node) -> bool:
+        return n.tag in HEADINGS and weight.get(n.number, 0) > 0 or any(headed(c) for c in n.children)
+
+    while True:
+        total = weight[node.number]
+        inner = max((c for c in node.children if c.tag not in BLOCKS and c.tag not in INLINE), key=lambda c: weight.get(c.number, 0), default=None)
+        if inner is None or weight.get(inner.number, 0) < INTO * total or own.get(node.number, 0) > OWN * total:
+            return node.number
+        if any(headed(c) for c in node.children if c is not inner):
+            return node.number
+        node = inner
+
+
+def main_text(tree: Node, template: set[Node], slot: Node | None = None) -> str:
+    """Text of the content slot; without one, of the slots that are not template: those of the article, or all where none is marked."""
+    if slot is not None:
+        if _has(slot, CONTENT) and slot.tag not in CONTENT:
+            found = _slots_text(slot, template, True)
+            if found:
+                return found
+        found = _slots_text(slot, template, False, slotted=True)
+        if found:
+            return found
     if not _has(tree, CONTENT):
         return _slots_text(tree, template, False)
     found = _slots_text(tree, template, True)
@@ -272,8 +343,9 @@ def main_text(tree: Node, template: set[Node]) -> str:
     return found
 
 
-def _slots_text(tree: Node, template: set[Node], marked: bool) -> str:
+def _slots_text(tree: Node, template: set[Node], marked: bool, slotted: bool = False) -> str:
     out: list[str] = []
+    known = marked or slotted
 
     def walk(node: Node, inside: bool) -> None:
         if node.tag == "#":
@@ -283,14 +355,14 @@ def _slots_text(tree: Node, template: set[Node], marked: bool) -> str:
         if node.tag == "#space":
             out.append(" ")
             return
-        if node.drop and not (inside and marked and node.tag == "header" and _has_heading(node)):
+        if node.drop and node is not tree and not (inside and known and node.drop == BY_HEADER and _has_heading(node)):
             out.append(" ")
             return
         inside = inside or node.tag in CONTENT
         block = node.tag not in INLINE
         if block:
             out.append(" ")
-        if not block or not _link_list(node, marked):
+        if not block or not _link_list(node, known):
             for c in node.children:
                 walk(c, inside)
         if block:
@@ -338,8 +410,10 @@ def references(pages: DataFrame) -> DataFrame:
 
 
 def slots(pages: DataFrame, refs: DataFrame) -> DataFrame:
-    """host, n, constant: distinct other pages of a host, and the reference's text nodes that come back in most of them."""
-    kinds = {"host": pa.string(), "digest": pa.string(), "same": pa.list_(pa.int32())}
+    """host, n, constant, weights: distinct other pages of a host, the reference's text nodes that come back in most of
+    them, and its elements with the differing prose that the pages have in their place."""
+    vote = pa.struct({"node": pa.int32(), "same": pa.int32(), "weight": pa.int64(), "own": pa.int64()})
+    kinds = {"host": pa.string(), "digest": pa.string(), "votes": pa.list_(vote)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = Trees()
@@ -347,23 +421,27 @@ def slots(pages: DataFrame, refs: DataFrame) -> DataFrame:
             rows = []
             for host, digest, source, reference in zip(*(c.to_pylist() for c in batch.columns)):
                 if source != reference:
-                    same = [a.number for a, b in trees.aligned(reference, parse(source)) if _plain(a.text) == _plain(b.text)]
-                    rows.append((host, digest, same))
+                    page = parse(source)
+                    pairs = list(trees.aligned(reference, page))
+                    votes = [(-1, 1, 0, 0)]
+                    votes += [(a.number, 1, 0, 0) for a, b in pairs if a.tag == "#" and _plain(a.text) == _plain(b.text)]
+                    votes += [(n, 0, weight, own) for n, weight, own in weights(pairs, page)]
+                    rows.append((host, digest, [dict(zip(("node", "same", "weight", "own"), v)) for v in votes]))
             cols = list(zip(*rows)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values())], list(kinds))
 
     joined = pages.filter("html IS NOT NULL").join(refs, "host").select("host", F.md5("html").alias("digest"), "html", "reference")
-    votes = joined.mapInArrow(run, "host string, digest string, same array<int>")
+    votes = joined.mapInArrow(run, "host string, digest string, votes array<struct<node:int,same:int,weight:bigint,own:bigint>>")
     # Copies of a page say nothing more about its template: one vote each.
-    votes = votes.groupBy("host", "digest").agg(F.first("same").alias("same"))
-    each = votes.select("host", F.explode(F.concat(F.array(F.lit(-1)), F.array_distinct("same"))).alias("node"))
-    counts = each.groupBy("host", "node").agg(F.count(F.lit(1)).alias("n_same"))
+    votes = votes.groupBy("host", "digest").agg(F.first("votes").alias("votes"))
+    counts = votes.select("host", F.inline("votes")).groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("same", "weight", "own")])
     # As many entries as the reference has nodes.
     nodes = counts.groupBy("host").agg(
-        F.max(F.when(F.col("node") < 0, F.col("n_same"))).alias("n"), F.collect_list(F.struct("node", "n_same")).alias("nodes")
+        F.max(F.when(F.col("node") < 0, F.col("same"))).alias("n"), F.collect_list(F.struct("node", "same", "weight", "own")).alias("nodes")
     )
-    constant = F.expr(f"transform(filter(nodes, x -> x.node >= 0 AND n >= {MIN_PAGES} AND x.n_same >= {SHARE} * n), x -> x.node)")
-    return nodes.select("host", "n", constant.alias("constant"))
+    constant = F.expr(f"transform(filter(nodes, x -> x.node >= 0 AND n >= {MIN_PAGES} AND x.same >= {SHARE} * n), x -> x.node)")
+    weighed = F.expr(f"transform(filter(nodes, x -> x.weight > 0 AND n >= {MIN_PAGES}), x -> struct(x.node, x.weight, x.own))")
+    return nodes.select("host", "n", constant.alias("constant"), weighed.alias("weights"))
 
 
 class Trees:
@@ -384,13 +462,27 @@ class Trees:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """host, reference, constant: one row per host."""
+    """host, reference, constant, slot: one row per host."""
     refs = references(pages)
-    return staged(refs.join(slots(pages, refs).select("host", "constant"), "host", "left"), "wrappers")
+    kinds = {"host": pa.string(), "reference": pa.string(), "constant": pa.list_(pa.int32()), "slot": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            host, reference, constant, weighed = batch.columns
+            found = []
+            for source, entries in zip(reference.to_pylist(), weighed.to_pylist()):
+                entries = entries or []
+                weight, own = ({x["node"]: x[k] for x in entries} for k in ("weight", "own"))
+                found.append(content_slot(numbered(parse(source)), weight, own) if entries else None)
+            cols = [host, reference, constant, pa.array(found, pa.int32())]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, kinds.values())], list(kinds))
+
+    rows = refs.join(slots(pages, refs), "host", "left").select("host", "reference", "constant", "weights")
+    return staged(rows.mapInArrow(run, "host string, reference string, constant array<int>, slot int"), "wrappers")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of every row."""
+    """page_id, url, text and slotted of every row; slotted where the text comes from the host's content slot."""
     pages = pages.select(
         F.col("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"),
         host_of(F.col("url").cast("string")).alias("host"),
@@ -400,15 +492,21 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = Trees()
         for batch in batches:
-            ids, urls, sources, refs, constants = batch.columns
-            texts = []
-            for source, reference, constant in zip(sources.to_pylist(), refs.to_pylist(), constants.to_pylist()):
-                page, template = parse(source or ""), set()
-                if constant and source:
-                    numbers = set(constant)
-                    template = {b for a, b in trees.aligned(reference, page) if a.number in numbers and _plain(a.text) == _plain(b.text)}
-                texts.append(main_text(page, template))
-            yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    rows = pages.join(wrappers, "host", "left").select("page_id", "url", "html", "reference", "constant")
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+            ids, urls, sources, refs, constants, places = batch.columns
+            texts, slotted = [], []
+            for source, reference, constant, place in zip(*(c.to_pylist() for c in (sources, refs, constants, places))):
+                page, template, slot = parse(source or ""), set(), None
+                if source and (constant or place is not None):
+                    numbers = set(constant or ())
+                    for a, b in trees.aligned(reference, page):
+                        if a.number == place:
+                            slot = b
+                        if a.number in numbers and _plain(a.text) == _plain(b.text):
+                            template.add(b)
+                texts.append(main_text(page, template, slot))
+                slotted.append(slot is not None)
+            cols = [ids, urls, pa.array(texts, pa.string()), pa.array(slotted, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "slotted"])
+
+    rows = pages.join(wrappers, "host", "left").select("page_id", "url", "html", "reference", "constant", "slot")
+    return rows.mapInArrow(run, "page_id long, url string, text string, slotted boolean")
