@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-AXIS_LIMIT = 10_000
+#: Groups of rows that a dictionary is copied to.
+AXIS_GROUPS = 16
 
 
 def round6(x: Column) -> Column:
@@ -22,18 +23,17 @@ def share(part: Column, whole: Column, empty: float) -> Column:
     return F.when(whole == 0, F.lit(empty)).otherwise(part.cast("double") / whole.cast("double"))
 
 
-def with_axis(df: DataFrame, axis: DataFrame, column: str, limit: int = AXIS_LIMIT) -> DataFrame:
-    """Repeat each row once per value of a small dictionary column.
+def with_axis(df: DataFrame, key: str, axis: DataFrame, column: str) -> DataFrame:
+    """Repeat each row once per distinct value of a dictionary column.
 
-    The dictionary is read by a scalar subquery that fails when it holds more than
-    `limit` values, so what reaches every task is bounded by a check; rows are repeated
-    in place and no join or shuffle is planned.
+    The dictionary is copied to every group of `key` and met there by equality, so Spark broadcasts it where its
+    size is known to be small and shuffles otherwise; a filter on the column reaches the dictionary's scan, and
+    whatever is joined by the column later.
     """
-    values = axis.agg(
-        F.when(F.count_distinct(column) <= limit, F.array_sort(F.collect_set(column)))
-        .otherwise(F.raise_error(F.lit(f"dictionary {column} exceeds {limit} values")))
-        .alias("v"))
-    return df.select("*", F.explode(values.scalar()).alias(column))
+    groups = F.sequence(F.lit(0).cast("long"), F.lit(AXIS_GROUPS - 1).cast("long"))
+    values = axis.select(column).distinct().select(column, F.explode(groups).alias("_group"))
+    grouped = df.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(AXIS_GROUPS).cast("long")))
+    return grouped.join(values, "_group").drop("_group")
 
 
 def any_text(term: str | None, *cols: Column) -> Column:

@@ -316,7 +316,7 @@ def system_chipset(cat) -> DataFrame:
 def system_platforms(cat) -> DataFrame:
     """Every family on every platform with a has_core flag."""
     core = (cat["v_system_core"].filter(F.col("kind_id") == FPGA).select("system_id", "platform_id").distinct().withColumn("_core", F.lit(1)))
-    cells = with_axis(cat["system"].select("system_id"), cat["fpga_platform"], "platform_id")
+    cells = with_axis(cat["system"].select("system_id"), "system_id", cat["fpga_platform"], "platform_id")
     return (cells.join(core, ["system_id", "platform_id"], "left").join(_label(cat, "fpga_platform", "platform_id", "label", "label"), "platform_id")
             .select("system_id", "platform_id", "label", F.coalesce("_core", F.lit(0)).alias("has_core")))
 

@@ -143,20 +143,15 @@ def chip_evidence(cat) -> DataFrame:
 def system_chip_coverage(cat) -> DataFrame:
     """Every socket under every kind, with its best route or 'unsatisfied'.
 
-    Evidence is gathered into one row per chip (a list of at most one entry per kind), so the
-    sockets are joined once and repeated per kind afterwards, not before the shuffle.
+    Routes are completed per (kind, chip) first, so the sockets are shuffled once, not once per kind; a filter
+    on the kind reaches the dictionary and the evidence.
     """
-    entry = F.struct("evidence_rank", "best_via", "confidence", "provider_chip_id")
-    by_chip = cat["v_chip_evidence"].groupBy("chip_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("kind_id"), entry.alias("e")))).alias("routes"))
-    sockets = cat["v_system_chip_effective"].select("system_id", "chip_id").join(by_chip, "chip_id", "left")
-    route = F.col("routes")[F.col("kind_id")]
-    return (with_axis(sockets, cat["implementation_kind"], "kind_id").withColumn("r", route)
-            .select("kind_id", "system_id", "chip_id",
-                    F.coalesce(F.col("r.best_via"), F.lit("unsatisfied")).alias("satisfied_via"),
-                    F.coalesce(F.col("r.evidence_rank"), F.lit(4)).alias("evidence_rank"),
-                    F.col("r.provider_chip_id").alias("provider_chip_id"),
-                    F.col("r.confidence").alias("chip_confidence")))
+    chips = with_axis(cat["chip"].select("chip_id"), "chip_id", cat["implementation_kind"], "kind_id")
+    routes = chips.join(cat["v_chip_evidence"], ["kind_id", "chip_id"], "left").select(
+        "kind_id", "chip_id", F.coalesce("best_via", F.lit("unsatisfied")).alias("satisfied_via"),
+        F.coalesce("evidence_rank", F.lit(4)).alias("evidence_rank"), "provider_chip_id", F.col("confidence").alias("chip_confidence"))
+    return (cat["v_system_chip_effective"].select("system_id", "chip_id").join(routes, "chip_id")
+            .select("kind_id", "system_id", "chip_id", "satisfied_via", "evidence_rank", "provider_chip_id", "chip_confidence"))
 
 
 @view("v_system_coverage_by_kind")
@@ -165,7 +160,7 @@ def system_coverage_by_kind(cat) -> DataFrame:
     hit = cat["v_system_chip_coverage"].groupBy("kind_id", "system_id").agg(
         F.count("*").alias("n_total"), F.count_if(rank == 1).alias("n_direct"),
         F.count_if(rank == 2).alias("n_equivalent"), F.count_if(rank == 3).alias("n_provided"))
-    cells = with_axis(cat["system"].select("system_id"), cat["implementation_kind"], "kind_id")
+    cells = with_axis(cat["system"].select("system_id"), "system_id", cat["implementation_kind"], "kind_id")
 
     def count(c):
         return F.coalesce(F.col(c), F.lit(0).cast("long"))
@@ -189,7 +184,7 @@ def prospector(cat) -> DataFrame:
     """Board families without an FPGA core, per platform."""
     covered = cat["v_system_coverage_by_kind"].filter(F.col("kind_id") == FPGA).drop("kind_id")
     cored = cat["v_system_core"].filter(F.col("kind_id") == FPGA).select("system_id", "platform_id").distinct()
-    return (with_axis(covered, cat["fpga_platform"], "platform_id")
+    return (with_axis(covered, "system_id", cat["fpga_platform"], "platform_id")
             .join(cored, ["system_id", "platform_id"], "left_anti")
             .select("platform_id", "system_id", "chips_total", "chips_direct", "chips_equivalent", "chips_provided",
                     "chips_satisfied", "satisfied_share", "unmapped_device_count", "confidence"))
@@ -204,7 +199,7 @@ def chip_gap(cat) -> DataFrame:
     used = (banded.select("chip_id", "display_name", "function_id", "prospector_band")
             .join(systems, "chip_id", "left").join(machines, "chip_id", "left"))
     zero = F.lit(0).cast("long")
-    return (with_axis(used, cat["implementation_kind"], "kind_id")
+    return (with_axis(used, "chip_id", cat["implementation_kind"], "kind_id")
             .join(cat["v_chip_evidence"].select("kind_id", "chip_id"), ["kind_id", "chip_id"], "left_anti")
             .select("kind_id", "chip_id", "display_name", "function_id", "prospector_band",
                     F.coalesce("n_systems", zero).alias("system_count"),

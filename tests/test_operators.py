@@ -134,11 +134,23 @@ def test_number_rows_matches_sort_with_one_huge_group(spark):
             assert got[g, r[2]] == n
 
 
-def test_axis_limit_is_enforced(spark):
-    axis = spark.range(5).select(F.col("id").cast("string").alias("k"))
-    assert with_axis(spark.range(2), axis, "k").count() == 10
-    with pytest.raises(Exception, match="exceeds 4"):
-        with_axis(spark.range(2), axis, "k", limit=4).count()
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_axis_repeats_every_row_and_takes_filters(spark, threshold):
+    """Small and large dictionaries, broadcast and shuffled, repeated and null values; the filter reaches the dictionary."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        axis = spark.range(12_000).select((F.col("id") % 6_000).cast("string").alias("k"))
+        rows = spark.range(40).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("s"))
+        got = with_axis(rows, "s", axis, "k")
+        assert got.columns == ["s", "k"] and got.count() == 40 * 6_000
+        assert got.distinct().count() == (rows.filter("s IS NOT NULL").distinct().count() + 1) * 6_000
+        assert with_axis(rows, "s", axis.limit(0), "k").count() == 0
+        one = got.filter("k = '7'")
+        plan = one._jdf.queryExecution().optimizedPlan().toString()
+        assert one.count() == 40 and plan.index("Generate") < plan.index("= 7")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 # -- closure and gates -------------------------------------------------------------------
