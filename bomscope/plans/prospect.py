@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from bomscope.catalog import view
 from bomscope.functions.columns import any_text, round6
@@ -82,76 +83,89 @@ def _cored(cat) -> DataFrame:
     return cat["v_system_core"].filter(F.col("kind_id") == FPGA).select("system_id").distinct()
 
 
-def _boards(cat, light: int = LIGHT) -> tuple[DataFrame, DataFrame]:
-    """(system_id, chips, heavy) of all families and (mate_system_id, mate_chips, mate_heavy) of cored ones.
+def _sockets(cat) -> DataFrame:
+    """(system_id, chip_id, cored, n): sockets with how many cored families carry the chip; chips of none pair nobody."""
+    cored = _cored(cat).withColumn("cored", F.lit(True))
+    sockets = written(cat["v_system_chip_effective"].select("system_id", "chip_id").join(cored, "system_id", "left")
+                      .withColumn("cored", F.coalesce("cored", F.lit(False))))
+    return sockets.join(sockets.filter("cored").groupBy("chip_id").agg(F.count("*").alias("n")), "chip_id")
 
-    Chips are in one order for all families: by how many cored families carry them, rarest first.  The last of them, on
-    more than `light` cored families, are the heavy ones.  A list is bounded by the distinct chips of one board.
-    """
-    sockets = cat["v_system_chip_effective"].select("system_id", "chip_id")
-    cored = sockets.join(_cored(cat), "system_id", "left_semi")
-    carried = cored.groupBy("chip_id").agg(F.count("*").alias("n"))
-    # A chip that no cored family carries pairs nobody.
-    ranked = sockets.join(carried, "chip_id").groupBy("system_id").agg(F.array_sort(F.collect_list(F.struct("n", "chip_id"))).alias("chips"))
-    names = lambda c: F.transform(c, lambda x: x["chip_id"])
-    boards = written(ranked.select("system_id", names("chips").alias("chips"), names(F.filter("chips", lambda x: x["n"] > light)).alias("heavy")))
-    mates = boards.join(_cored(cat), "system_id", "left_semi").select(
-        F.col("system_id").alias("mate_system_id"), F.col("chips").alias("mate_chips"), F.col("heavy").alias("mate_heavy"))
-    return boards, mates
-
-
-def _paired(left: DataFrame, chips: str, right: DataFrame, mate_chips: str, prefix: Column) -> DataFrame:
-    """Pairs that share a chip of the left one's first `prefix`, each once: at the first chip that they share; with `shared`."""
-    keys = left.select("*", F.explode(F.slice(chips, F.lit(1), prefix)).alias("_chip"))
-    other = right.select("*", F.explode(mate_chips).alias("_chip"))
-    both = F.array_intersect(chips, mate_chips)
-    return (keys.join(other, "_chip").withColumn("_both", both).filter(F.get("_both", F.lit(0)) == F.col("_chip"))
-            .withColumn("shared", F.size("_both").cast("long")).drop("_both", "_chip"))
+
+def _mates(sockets: DataFrame) -> DataFrame:
+    return sockets.filter("cored").withColumnRenamed("system_id", "mate_system_id")
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
 def system_mates(cat, policy: Policy = DEFAULT) -> DataFrame:
     """Every (family, cored family) pair sharing enough chips: (system_id, mate_system_id, shared_chips).
 
-    This is the relation itself; `best_mate` finds the one the ranking needs without listing pairs.  Two families that
-    share k chips share one outside the k - 1 most common ones of either, so pairs with fewer are
-    mostly never formed.
+    This is the relation itself; `best_mate` finds the one the ranking needs without listing pairs.  Shared chips are
+    counted by pair, by equality of the chip alone.  Two families that share k chips share one outside the k - 1 most
+    common ones of either: pairs that meet within these tails only are never formed, and for the others the tails,
+    lists of k - 1 chips, are compared.
     """
-    boards, mates = _boards(cat)
     least = policy.mate_min_shared
-    reach = lambda c: F.greatest(F.size(c) - (least - 1), F.lit(0))
-    mates = mates.withColumn("_keys", F.slice("mate_chips", F.lit(1), reach("mate_chips")))
-    keys = boards.select("system_id", "chips", F.explode(F.slice("chips", F.lit(1), reach("chips"))).alias("_chip"))
-    pairs = keys.join(mates.select("mate_system_id", "mate_chips", F.explode("_keys").alias("_chip")), "_chip")
-    both = F.array_intersect("chips", "mate_chips")
-    return (pairs.withColumn("_both", both).filter((F.size("_both") >= least) & (F.get("_both", F.lit(0)) == F.col("_chip")))
-            .select("system_id", "mate_system_id", F.size("_both").cast("long").alias("shared_chips")))
+    sockets = written(_sockets(cat))
+    common = W.partitionBy("system_id").orderBy(F.desc("n"), F.desc("chip_id"))
+    tails = (sockets.withColumn("_k", F.row_number().over(common)).filter(F.col("_k") < least)
+             .groupBy("system_id").agg(F.collect_list("chip_id").alias("tail")))
+    sockets = sockets.join(tails, "system_id", "left").withColumn("in_tail", F.coalesce(F.array_contains("tail", F.col("chip_id")), F.lit(False)))
+    left, right = sockets.select("system_id", "chip_id", "in_tail"), _mates(sockets).select("mate_system_id", "chip_id", "in_tail")
+    met = (left.filter("NOT in_tail").drop("in_tail").join(right.drop("in_tail"), "chip_id")
+           .unionByName(left.filter("in_tail").drop("in_tail").join(right.filter("NOT in_tail").drop("in_tail"), "chip_id")))
+    pairs = (met.groupBy("system_id", "mate_system_id").agg(F.count("*").alias("shared")).join(tails, "system_id", "left")
+             .join(tails.select(F.col("system_id").alias("mate_system_id"), F.col("tail").alias("mate_tail")), "mate_system_id", "left"))
+    both = F.size(F.array_intersect(F.coalesce("tail", _none()), F.coalesce("mate_tail", _none())))
+    return pairs.select("system_id", "mate_system_id", (F.col("shared") + both).alias("shared_chips")).filter(F.col("shared_chips") >= least)
+
+
+def _paired(lists: DataFrame, standing: DataFrame, prefix: Column) -> DataFrame:
+    """Pairs of heavy lists that share a chip of the first `prefix` ones of the left, with `shared`. Lists join the distinct pairs only."""
+    keys = lists.select("list_id", F.explode(F.slice("heavy", F.lit(1), prefix)).alias("chip_id"))
+    met = keys.join(standing.select("mate_system_id", F.explode("mate_heavy").alias("chip_id")), "chip_id").select("list_id", "mate_system_id").distinct()
+    return (met.join(lists, "list_id").join(standing, "mate_system_id")
+            .select("list_id", "mate_system_id", "least", F.size("heavy").alias("size"), F.size(F.array_intersect("heavy", "mate_heavy")).cast("long").alias("shared")))
 
 
 def best_mate(cat, policy: Policy = DEFAULT, light: int = LIGHT) -> DataFrame:
     """Per family the cored family with the largest overlap, lowest id on a tie. Exact.
 
-    Families that share a light chip are paired through the first one they share: `light` partners a socket at most,
-    whose whole overlap is then counted.  Partners by heavy chips alone cannot share more than the family has heavy
+    Light chips meet by equality and are counted by pair: `light` partners a socket at most, and no list travels with
+    them.  Only chips on more than `light` cored families, the heavy ones, become a list per family, which is added to
+    the pairs that share a light chip.  Partners by heavy chips alone cannot share more than the family has heavy
     chips, so most families are settled.  For the others only distinct lists of heavy chips are compared, each
     standing for its lowest family: first with the lists that hold all of it, found by its rarest chip, and what finds
     none with those that share enough to win, found by as many of its rarest chips as that needs.  A pair seen by
     both routes has its full count in the first, which wins.
     """
-    boards, mates = _boards(cat, light)
+    sockets = written(_sockets(cat))
     least = F.lit(policy.mate_min_shared)
     order = F.struct((-F.col("shared")).alias("less"), "mate_system_id")
-    by_light = _paired(boards, "chips", mates, "mate_chips", F.size("chips") - F.size("heavy"))
+    # Rarest first, in one order for all families.
+    heavy = F.transform(F.array_sort(F.collect_list(F.struct("n", "chip_id"))), lambda x: x["chip_id"])
+    boards = written(sockets.filter(F.col("n") > light).groupBy("system_id", "cored").agg(heavy.alias("heavy")))
+    mates = boards.filter("cored").select(F.col("system_id").alias("mate_system_id"), F.col("heavy").alias("mate_heavy"))
+
+    few = sockets.filter(F.col("n") <= light)
+    pairs = (few.select("system_id", "chip_id").join(_mates(few).select("mate_system_id", "chip_id"), "chip_id").groupBy("system_id", "mate_system_id").agg(F.count("*").alias("light"))
+             .join(boards.drop("cored"), "system_id", "left").join(mates, "mate_system_id", "left"))
+    both = F.size(F.array_intersect(F.coalesce("heavy", _none()), F.coalesce("mate_heavy", _none())))
+    by_light = pairs.select("system_id", "mate_system_id", (F.col("light") + both).alias("shared"))
     by_light = written(by_light.groupBy("system_id").agg(F.min(order).alias("b")))
 
     rest = boards.join(by_light, "system_id", "left").select("system_id", "heavy", F.greatest(least, F.coalesce(-F.col("b.less"), least)).alias("least"))
     rest = written(rest.filter(F.size("heavy") >= F.col("least")))
-    lists = rest.groupBy("heavy").agg(F.min("least").alias("least"))
+    lists = written(rest.groupBy("heavy").agg(F.min("system_id").alias("list_id"), F.min("least").alias("least")))
     standing = written(mates.groupBy("mate_heavy").agg(F.min("mate_system_id").alias("mate_system_id")))
-    whole = _paired(lists, "heavy", standing, "mate_heavy", F.lit(1)).filter(F.col("shared") == F.size("heavy"))
-    whole = written(whole.groupBy("heavy").agg(F.min(order).alias("b")))
-    part = lists.join(whole, "heavy", "left_anti")
-    part = _paired(part, "heavy", standing, "mate_heavy", F.size("heavy") - F.col("least").cast("int") + 1).filter(F.col("shared") >= F.col("least"))
-    by_heavy = rest.join(whole.unionByName(part.groupBy("heavy").agg(F.min(order).alias("b"))), "heavy").select("system_id", "b")
+    whole = _paired(lists, standing, F.lit(1)).filter(F.col("shared") == F.col("size"))
+    whole = written(whole.groupBy("list_id").agg(F.min(order).alias("b")))
+    part = lists.join(whole, "list_id", "left_anti")
+    part = _paired(part, standing, F.size("heavy") - F.col("least").cast("int") + 1).filter(F.col("shared") >= F.col("least"))
+    found = whole.unionByName(part.groupBy("list_id").agg(F.min(order).alias("b"))).join(lists.select("list_id", "heavy"), "list_id")
+    by_heavy = rest.select("system_id", "heavy").join(found, "heavy").select("system_id", "b")
 
     best = by_light.unionByName(by_heavy).groupBy("system_id").agg(F.min("b").alias("b"))
     return (best.select("system_id", F.col("b.mate_system_id").alias("mate_system_id"), (-F.col("b.less")).alias("shared_chips"))

@@ -243,6 +243,39 @@ def test_best_mate_with_chips_on_all_boards(spark, light):
         assert {(r.system_id, r.mate_system_id): r.shared_chips for r in prospect.system_mates(cat).collect()} == pairs
 
 
+def test_mates_of_few_boards_with_many_chips(spark):
+    """Boards of thousands of chips: no list of chips may travel with each of its chips (15 s; it took gigabytes)."""
+    from pyspark.sql import functions as F
+
+    from bomscope.catalog import TABLES
+
+    n, boards = 6000, 40
+    chips = {s: {c for c in range(n) if (c * 31 + s * s) % 7 < 3} for s in range(boards)}
+    cat = _boards(spark, [(f"s{s:02}", "c0") for s in range(boards)], [f"s{s:02}" for s in range(0, boards, 2)])
+    rows = spark.range(boards * n).select((F.col("id") % boards).alias("s"), F.floor(F.col("id") / boards).alias("c")).filter("(c * 31 + s * s) % 7 < 3")
+    sockets = rows.select(F.format_string("s%02d", "s").alias("system_id"), F.lit("r").alias("role_id"), F.concat(F.lit("c"), "c").alias("chip_id"),
+                          F.lit(1).cast("long").alias("quantity"), F.lit(None).cast("long").alias("clock_hz"), F.lit(None).cast("string").alias("note"))
+    cat = cat.with_tables(system_chip=sockets.select(*TABLES["system_chip"].names))
+    pairs = {(f"s{s:02}", f"s{t:02}"): len(chips[s] & chips[t]) for s in chips for t in range(0, boards, 2) if len(chips[s] & chips[t]) >= 2}
+    assert {(r.system_id, r.mate_system_id): r.shared_chips for r in prospect.system_mates(cat).collect()} == pairs
+    best = {s: min((-m, t) for (u, t), m in pairs.items() if u == s) for s, _ in pairs}
+    for light in (0, 10, 64):
+        assert {r.system_id: (-r.shared_chips, r.mate_system_id) for r in prospect.best_mate(cat, light=light).collect()} == best
+
+
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_mates_of_boards_that_meet_in_common_chips(spark, least):
+    from dataclasses import replace
+
+    rng = random.Random(least)
+    boards = {f"s{k:02}": {"all"} | set(rng.sample([f"u{j}" for j in range(6)], rng.randint(0, 4))) for k in range(25)}
+    cored = sorted(boards)[::2]
+    cat = _boards(spark, [(s, c) for s, chips in boards.items() for c in chips], cored)
+    policy = replace(prospect.DEFAULT, mate_min_shared=least)
+    pairs = {(s, t): len(boards[s] & boards[t]) for s in boards for t in cored if len(boards[s] & boards[t]) >= least}
+    assert {(r.system_id, r.mate_system_id): r.shared_chips for r in prospect.system_mates(cat, policy).collect()} == pairs
+
+
 def test_bom_counts_never_expand_the_bom(spark):
     from bomscope.plans import browse
 
