@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bomscope.functions.columns import any_text, with_axis
-from bomscope.plans.views import FPGA
+from bomscope.plans.views import FPGA, family_members, machine_bom_with, of_family
 
 
 
@@ -226,7 +226,7 @@ def _first_n(df: DataFrame, per: str, order: list[str], n: int | None) -> DataFr
 
 
 def chip_machines(cat, limit: int | None = None) -> DataFrame:
-    df = cat["v_machine_bom"].join(cat["v_machine"].select("machine_id", "name", "year", "system_id"), "machine_id").select(
+    df = machine_bom_with(cat, machines=cat["v_machine"].select("machine_id", "name", "year", "system_id")).select(
         "chip_id", "machine_id", "name", "year", "system_id", "role", "via", "clock_hz", "quantity")
     return _first_n(df, "chip_id", ["name", "machine_id", "role"], limit)
 
@@ -260,29 +260,30 @@ def machine_bom_detail(cat) -> DataFrame:
     chips = cat["chip"].select("chip_id", "display_name", "function_id").join(
         _label(cat, "chip_function", "function_id", "label", "function_label", ("prospector_band",)), "function_id")
     about = chips.join(_fpga_evidence(cat), "chip_id", "left")
-    return cat["v_machine_bom"].join(about, "chip_id").select(
+    return machine_bom_with(cat, chips=about).select(
         "machine_id", "chip_id", "role", "quantity", "clock_hz", "via", "display_name", "function_label", "prospector_band", "best_via", "provider_chip_id")
 
 
 def machine_implementations(cat) -> DataFrame:
-    """FPGA implementations satisfying any socket of a machine. Distinct (machine, chip) first, so
-    repeated sockets do not multiply."""
+    """FPGA implementations satisfying any socket of a machine. Distinct chips of machines and of families first, so
+    repeated sockets do not multiply; a machine's own chips are left out of its family's."""
     impl = cat["implementation"].filter(F.col("kind_id") == FPGA).select("implementation_id", "name", "repo_url")
     routes = (cat["v_chip_satisfies"].join(cat["implementation_chip"].withColumnRenamed("chip_id", "provider_chip_id"), "provider_chip_id")
               .join(impl, "implementation_id").select(F.col("socket_chip_id").alias("chip_id"), "implementation_id", "name", "repo_url", "via"))
-    return cat["v_machine_bom"].select("machine_id", "chip_id").distinct().join(routes, "chip_id").select(
+    own = cat["machine_chip"].select("machine_id", "chip_id").distinct()
+    sockets = cat["system_chip"].select(F.col("system_id").alias("family_id"), "chip_id").distinct()
+    return own.join(routes, "chip_id").unionByName(of_family(family_members(cat, own, "chip_id"), sockets.join(routes, "chip_id"), "chip_id")).select(
         "machine_id", "chip_id", "implementation_id", "name", "repo_url", "via")
 
 
 def machine_cores(cat) -> DataFrame:
     """Implementations that claim the machine, or failing that its family."""
-    own = cat["implementation_machine"].select("machine_id", "implementation_id", F.lit(0).alias("far"))
-    family = cat["v_machine_system"].join(cat["implementation_system"], "system_id").select("machine_id", "implementation_id", F.lit(1).alias("far"))
-    best = own.unionByName(family).groupBy("machine_id", "implementation_id").agg(F.min("far").alias("far"))
     impl = cat["implementation"].select("implementation_id", "name", "repo_url", "license_id", "accuracy_id")
-    return best.join(impl, "implementation_id").select(
-        "machine_id", "implementation_id", "name", "repo_url", "license_id", "accuracy_id",
-        F.when(F.col("far") == 0, "machine").otherwise("system").alias("scope"))
+    own = cat["implementation_machine"].select("machine_id", "implementation_id").distinct()
+    family = cat["implementation_system"].select(F.col("system_id").alias("family_id"), "implementation_id").distinct().join(impl, "implementation_id")
+    far = of_family(family_members(cat, own, "implementation_id"), family, "implementation_id").withColumn("scope", F.lit("system"))
+    return own.join(impl, "implementation_id").withColumn("scope", F.lit("machine")).unionByName(far).select(
+        "machine_id", "implementation_id", "name", "repo_url", "license_id", "accuracy_id", "scope")
 
 
 def machine_unmapped(cat) -> DataFrame:

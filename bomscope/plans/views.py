@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomscope.catalog import view
-from bomscope.functions.columns import share, with_axis
+from bomscope.functions.columns import AXIS_GROUPS, share, with_axis
 
 FPGA = "fpga_hdl"  # fixed value: the kind the ranking is about
 
@@ -45,16 +45,43 @@ def machine(cat) -> DataFrame:
                     "mame_sourcefile", "driver_status", "clone_count"))
 
 
+def of_family(members: DataFrame, rows: DataFrame, item: str) -> DataFrame:
+    """Each machine of `members` with its family's `rows`, but for those whose `item` it holds itself (`held`, may be null).
+
+    The result is as large as machines times rows, so nothing is shuffled after this join: attributes belong into its two
+    sides.  The rows are copied to groups of machines, so that a family is as many tasks as it has groups.
+    """
+    groups = F.sequence(F.lit(0).cast("long"), F.lit(AXIS_GROUPS - 1).cast("long"))
+    spread = rows.withColumn("_group", F.explode(groups))
+    placed = members.withColumn("_group", F.pmod(F.xxhash64("machine_id"), F.lit(AXIS_GROUPS).cast("long")))
+    return (placed.join(spread, ["family_id", "_group"]).filter(~F.coalesce(F.array_contains("held", F.col(item)), F.lit(False)))
+            .drop("family_id", "_group", "held"))
+
+
+def family_members(cat, own: DataFrame, item: str) -> DataFrame:
+    """(machine_id, family_id, held): machines of families with the distinct items of their own rows."""
+    held = own.groupBy("machine_id").agg(F.collect_set(item).alias("held"))
+    return (cat["v_machine_system"].filter(F.col("system_id").isNotNull()).withColumnRenamed("system_id", "family_id")
+            .join(held, "machine_id", "left"))
+
+
+def machine_bom_with(cat, machines: DataFrame | None = None, chips: DataFrame | None = None) -> DataFrame:
+    """The effective BOM; columns of a machine and of a chip are joined before the family's chips meet its machines."""
+    own = cat["machine_chip"]
+    mine = own.select("machine_id", "chip_id", F.col("mame_tag").alias("role"), "quantity", "clock_hz", F.lit("machine").alias("via"))
+    members = family_members(cat, own, "chip_id")
+    sockets = cat["system_chip"].select(F.col("system_id").alias("family_id"), "chip_id", F.col("role_id").alias("role"), "quantity", "clock_hz",
+                                        F.lit("system").alias("via"))
+    if machines is not None:
+        mine, members = mine.join(machines, "machine_id"), members.join(machines, "machine_id")
+    if chips is not None:
+        mine, sockets = mine.join(chips, "chip_id"), sockets.join(chips, "chip_id")
+    return mine.unionByName(of_family(members, sockets, "chip_id"))
+
+
 @view("v_machine_bom")
 def machine_bom(cat) -> DataFrame:
-    own = cat["machine_chip"]
-    mine = own.select("machine_id", "chip_id", F.col("mame_tag").alias("role"), "quantity", "clock_hz",
-                      F.lit("machine").alias("via"))
-    family = (cat["v_machine_system"].join(cat["system_chip"], "system_id")
-              .join(own.select("machine_id", "chip_id"), ["machine_id", "chip_id"], "left_anti")
-              .select("machine_id", "chip_id", F.col("role_id").alias("role"), "quantity", "clock_hz",
-                      F.lit("system").alias("via")))
-    return mine.unionByName(family)
+    return machine_bom_with(cat).select("machine_id", "chip_id", "role", "quantity", "clock_hz", "via")
 
 
 @view("v_chip_satisfies")

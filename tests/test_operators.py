@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -276,6 +277,59 @@ def test_mates_of_boards_that_meet_in_common_chips(spark, least):
     assert {(r.system_id, r.mate_system_id): r.shared_chips for r in prospect.system_mates(cat, policy).collect()} == pairs
 
 
+def test_the_bom_is_not_shuffled_once_it_is_expanded(spark):
+    """Families' rows meet their machines in the last join of a plan; what a machine holds itself comes once."""
+    from bomscope.plans import browse
+
+    rng = random.Random(5)
+    families = [f"f{k}" for k in range(3)]
+    sockets = sorted({(f, f"c{rng.randint(0, 9)}", f"r{rng.randint(0, 2)}") for f in families for _ in range(6)})
+    machines = [(f"m{k:02}", rng.choice(families + [None])) for k in range(40)]
+    own = sorted({(m, f"t{rng.randint(0, 3)}", f"c{rng.randint(0, 9)}") for m, _ in machines for _ in range(rng.randint(0, 3))})
+    claims = sorted({(f"i{rng.randint(0, 5)}", m) for m, _ in machines for _ in range(2)})
+    served = sorted({(f"i{rng.randint(0, 5)}", f) for f in families for _ in range(3)})
+    cat = Catalog.from_rows(spark, {
+        "chip_function": [{"function_id": "cpu", "label": "c", "prospector_band": "hard"}],
+        "chip": [{"chip_id": f"c{k}", "display_name": f"n{k}", "function_id": "cpu"} for k in range(9)],  # c9 is in no table of chips
+        "system_chip": [{"system_id": f, "chip_id": c, "role_id": r, "quantity": 1} for f, c, r in sockets],
+        "machine": [{"machine_id": m, "name": m, "mame_sourcefile": "x", "is_bios": 0, "is_device": 0, "is_mechanical": 0} for m, _ in machines],
+        "machine_system": [{"machine_id": m, "system_id": f, "reason": "r"} for m, f in machines],
+        "machine_chip": [{"machine_id": m, "mame_tag": t, "chip_id": c, "quantity": 1} for m, t, c in own],
+        "implementation": [{"implementation_id": f"i{k}", "name": f"n{k}", "kind_id": "fpga_hdl"} for k in range(5)],
+        "implementation_chip": [{"implementation_id": f"i{k}", "chip_id": f"c{k}"} for k in range(5)],
+        "implementation_machine": [{"implementation_id": i, "machine_id": m} for i, m in claims],
+        "implementation_system": [{"implementation_id": i, "system_id": f} for i, f in served]})
+    held = {(m, c) for m, _, c in own}
+    bom = sorted([(m, c, t, "machine") for m, t, c in own] + [(m, c, r, "system") for m, f in machines for g, c, r in sockets if f == g and (m, c) not in held])
+    assert sorted((r.machine_id, r.chip_id, r.role, r.via) for r in cat["v_machine_bom"].collect()) == bom
+    assert sorted((r.machine_id, r.chip_id, r.role, r.via) for r in browse.chip_machines(cat).collect()) == bom
+    detail = browse.machine_bom_detail(cat)
+    assert sorted((r.machine_id, r.chip_id, r.role, r.via) for r in detail.collect()) == [b for b in bom if b[1] != "c9"]
+    routes = browse.machine_implementations(cat)
+    assert sorted((r.machine_id, r.chip_id, r.implementation_id) for r in routes.collect()) == sorted({(m, c, "i" + c[1:]) for m, c, *_ in bom if c < "c5"})
+    cores = browse.machine_cores(cat)
+    near = {(m, i) for i, m in claims if i != "i5"}
+    far = {(m, i) for m, f in machines for i, g in served if f == g and i != "i5"} - near
+    assert sorted((r.machine_id, r.implementation_id, r.scope) for r in cores.collect()) == sorted([(*x, "machine") for x in near] + [(*x, "system") for x in far])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (cat["v_machine_bom"], browse.chip_machines(cat), detail, routes, cores):
+            lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+            depth = {k: len(re.match(r"[ :+|*-]*", line).group()) for k, line in enumerate(lines)}
+            at = next(k for k, line in enumerate(lines) if "SortMergeJoin [family_id" in line)
+            # Whatever stands on the way from this join to the root has a smaller indent than all between.
+            low, above = depth[at], []
+            for k in range(at - 1, -1, -1):
+                if depth[k] < low:
+                    low = depth[k]
+                    above.append(lines[k])
+            assert not [x for x in above if "Exchange" in x or "Join" in x or "Aggregate" in x], above
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_bom_counts_never_expand_the_bom(spark):
     from bomscope.plans import browse
 
