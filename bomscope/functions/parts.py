@@ -31,9 +31,12 @@ class Recognition:
     min_literal_length: int = 3
 
 
+_WIDE = "ßŉǰẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ"  # letters that upper-casing would write as several; they are no signs of a designation
+
+
 def normalize_part(col: Column) -> Column:
     """Micro signs folded to U (before upper-casing, which would make a Greek capital), then A-Z0-9 only."""
-    return F.regexp_replace(F.upper(F.translate(col, "µμ", "UU")), "[^A-Z0-9]", "")
+    return F.regexp_replace(F.upper(F.translate(col, "µμ" + _WIDE, "UU")), "[^A-Z0-9]", "")
 
 
 def strip_vendor(normalized: Column, prefixes: tuple[str, ...]) -> Column:
@@ -108,7 +111,7 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 _SIGN = "[A-Za-z0-9µμ]"
 _GAP = "[^A-Za-z0-9µμ]?"
-SEEDS = (1, 2, 4, 8, 16, 32)  # a name is looked up by as many of its first signs as it has, of these
+SEED = 32  # a name is looked up by its signs, this many at most
 
 
 def _folded(col: Column) -> Column:
@@ -116,15 +119,17 @@ def _folded(col: Column) -> Column:
     return F.translate(col, string.ascii_uppercase + "µμ", string.ascii_lowercase + "uu")
 
 
-def _seeds(signs: Column) -> Column:
-    return F.filter(F.array(*[F.when(F.length(signs) >= n, F.substring(signs, 1, n)) for n in SEEDS]), lambda x: x.isNotNull())
+def _beginnings(window: Column) -> Column:
+    """The signs of a window up to the end of each of its words."""
+    words = F.length(window) - F.length(F.replace(window, F.lit(" "), F.lit(""))) + 1
+    return F.transform(F.sequence(F.lit(1), words), lambda k: F.replace(F.call_function("substring_index", window, F.lit(" "), k), F.lit(" "), F.lit("")))
 
 
 def literal_table(names: DataFrame, rec: Recognition) -> DataFrame:
     """Searchable catalogue names as (name, size, seed, pattern).
 
     A name is its alphanumeric pieces; text may write at most one other character between
-    two pieces, or none.  `seed` is its longest beginning of a length in SEEDS, gaps left out.
+    two pieces, or none.  `seed` is its signs, gaps left out, or the first SEED of them.
     """
     form = F.col("form")
     ok = (F.length(form) >= rec.min_literal_length) & form.rlike("[A-Za-z]")
@@ -132,24 +137,31 @@ def literal_table(names: DataFrame, rec: Recognition) -> DataFrame:
         ok = ok & ~form.isin(*rec.ignored_parts)
     pieces = F.regexp_extract_all(_folded(F.col("name")), F.lit("([a-z0-9]+)"), F.lit(1))
     return (names.filter(ok).select(form.alias("name")).distinct().withColumn("p", pieces).select(
-        "name", F.length("name").alias("size"), F.element_at(_seeds(F.array_join("p", "")), -1).alias("seed"),
+        "name", F.length("name").alias("size"), F.substring(F.array_join("p", ""), 1, SEED).alias("seed"),
         F.array_join(F.transform("p", lambda x: F.replace(x, F.lit("u"), F.lit("[uµμ]"))), _GAP).alias("pattern")))
 
 
+def _met_names(lines: DataFrame, literals: DataFrame, key: str) -> DataFrame:
+    """(key, line, names): the names whose signs a line may hold, longest first.
+
+    A name starts and ends with a word of the line.  So every word starts a window of the next SEED signs, whose
+    beginnings up to a word's end meet the names' signs by equality: names of so many signs or fewer are met only where
+    the line has all their signs.  The catalogue may be large and names as long as they like; a window has a fixed length.
+    """
+    spaced = F.regexp_replace(_folded(F.col("content")), "[^a-z0-9]+", " ")
+    windows = F.regexp_extract_all(spaced, F.lit(f"(?:^| )(?=((?:[a-z0-9] ?){{1,{SEED}}}))"), F.lit(1))
+    beginnings = F.array_distinct(F.flatten(F.transform(windows, lambda w: _beginnings(F.rtrim(w)))))
+    return (lines.select(key, "line", F.explode(beginnings).alias("seed")).join(literals, "seed")
+            .groupBy(key, "line").agg(F.array_sort(F.collect_set(F.struct((-F.col("size")).alias("o"), "name", "pattern"))).alias("names")))
+
+
 def _literal_hits(lines: DataFrame, literals: DataFrame, key: str) -> DataFrame:
     """Leftmost, non-overlapping catalogue names per line; a longer name wins at one place.
 
-    Every word of a line starts a window of the next signs, and the window's beginnings meet the names by
-    equality, so the catalogue may be large and names as long as they like; a window has a fixed length.  Only the
-    names met this way become the alternation that the line itself is searched with.
+    Only the names that a line meets become the alternation that it is searched with.
     """
-    spaced = F.regexp_replace(_folded(F.col("content")), "[^a-z0-9]+", " ")
-    windows = F.regexp_extract_all(spaced, F.lit(f"(?:^| )(?=((?:[a-z0-9] ?){{1,{SEEDS[-1]}}}))"), F.lit(1))
-    beginnings = F.array_distinct(F.flatten(F.transform(windows, lambda w: _seeds(F.replace(w, F.lit(" "), F.lit(""))))))
-    met = (lines.select(key, "line", F.explode(beginnings).alias("seed")).join(literals, "seed")
-           .groupBy(key, "line").agg(F.array_sort(F.collect_set(F.struct((-F.col("size")).alias("o"), "name", "pattern"))).alias("names")))
     search = F.concat(F.lit(f"(?i)(?<!{_SIGN})("), F.array_join("names.pattern", "|"), F.lit(f")(?!{_SIGN})"))
-    return (lines.join(met, [key, "line"])
+    return (lines.join(_met_names(lines, literals, key), [key, "line"])
             .select(key, "line", evidence(F.col("content")).alias("evidence"), F.posexplode(F.regexp_extract_all("content", search, F.lit(1))).alias("at", "designation"))
             .select(key, "line", "evidence", F.lit(0).alias("rule_no"), F.lit("catalog").alias("rule"), "at", "designation"))
 

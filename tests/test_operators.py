@@ -277,6 +277,28 @@ def test_mates_of_boards_that_meet_in_common_chips(spark, least):
     assert {(r.system_id, r.mate_system_id): r.shared_chips for r in prospect.system_mates(cat, policy).collect()} == pairs
 
 
+def test_letters_of_several_capitals_are_no_signs(spark):
+    """As in the SQL: one normal form, so one row for the line, and the first spelling stands."""
+    docs = spark.createDataFrame([("d", "der erach und erßach\nder erßach und ﬁx"), ("e", "ERACH er-ach")], "doc_id string, text string")
+    forms = spark.createDataFrame([("er ach",)], "form string")
+    got = sorted((r.doc_id, r.line, r.designation) for r in parts.scan_parts(docs, forms, parts.Recognition()).collect())
+    assert got == [("d", 1, "erach"), ("d", 2, "erßach"), ("e", 1, "ERACH")]
+    shown = spark.createDataFrame([("Straße-1µ ﬁ ŉ",)], "a string").select(parts.normalize_part(F.col("a")).alias("n")).first().n
+    assert shown == "STRAE1U"
+
+
+def test_names_meet_only_lines_that_have_all_their_signs(spark):
+    """Names that share their first signs: a line meets those it names, not all that begin alike."""
+    names = spark.range(1000, 3000).select(F.concat(F.lit("p12"), "id").alias("form")).unionByName(
+        spark.createDataFrame([("x" * 31 + "1",), ("x" * 31 + "22",), ("y" * 40 + " b",), ("y" * 40 + " c",)], "form string"))
+    text = "uses p121000 P12 1001 p121002x p12-1003 p12--1004\n" + "x" * 31 + "1 " + "x" * 30 + "x22\n" + "y" * 40 + "-C"
+    docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    got = sorted((r.line, r.designation) for r in parts.scan_parts(docs, names, parts.Recognition()).collect())
+    assert got == [(1, "p121000"), (2, "x" * 31 + "1"), (2, "x" * 31 + "22"), (3, "y" * 40 + "-C")]
+    met = parts._met_names(parts.lines_of(docs), parts.literal_table(names, parts.Recognition()), "doc_id")
+    assert {r.line: len(r.names) for r in met.collect()} == {1: 4, 2: 2, 3: 2}
+
+
 def test_the_bom_is_not_shuffled_once_it_is_expanded(spark):
     """Families' rows meet their machines in the last join of a plan; what a machine holds itself comes once."""
     from bomscope.plans import browse
