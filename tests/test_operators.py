@@ -277,6 +277,17 @@ def test_mates_of_boards_that_meet_in_common_chips(spark, least):
     assert {(r.system_id, r.mate_system_id): r.shared_chips for r in prospect.system_mates(cat, policy).collect()} == pairs
 
 
+def test_machines_are_bound_without_devices(spark):
+    from bomscope.binding import bind_catalog
+    from settings import SF
+
+    cat = bind_catalog(spark, SF)
+    machines = sorted(map(tuple, cat["v_machine"].select("machine_id", "name", "clone_count").collect()), key=str)
+    assert not {"devices", "kept_devices", "machine_chip"} & set(cat._memo)
+    every = extraction.emit_machine_rows(cat["kept"], cat["kept_devices"], cat["mame_device"], "0.288")["machine"]
+    assert cat["machine"].schema == every.schema and not cat["machine"].exceptAll(every).count() and cat["machine"].count() == every.count() == len(machines)
+
+
 def test_letters_of_several_capitals_are_no_signs(spark):
     """As in the SQL: one normal form, so one row for the line, and the first spelling stands."""
     docs = spark.createDataFrame([("d", "der erach und erßach\nder erßach und ﬁx"), ("e", "ERACH er-ach")], "doc_id string, text string")
