@@ -245,7 +245,7 @@ def test_best_mate_with_chips_on_all_boards(spark, light):
 
 
 def test_mates_of_few_boards_with_many_chips(spark):
-    """Boards of thousands of chips: no list of chips may travel with each of its chips (15 s; it took gigabytes)."""
+    """Boards of thousands of chips: no list of chips may travel with each of its chips."""
     from pyspark.sql import functions as F
 
     from bomscope.catalog import TABLES
