@@ -26,8 +26,8 @@ def yes_flag(col: Column) -> Column:
 
 def usable_clock(col: Column) -> Column:
     """Positive plain integer up to the exact-double limit, else NULL."""
-    value = F.when(col.rlike("^[0-9]+$"), col).try_cast("bigint")
-    return F.when((value > 0) & (value <= MAX_SAFE_CLOCK), value)
+    value = F.when(F.btrim(col, F.lit("0123456789")) == "", col).try_cast("bigint")  # nothing but digits; a pattern costs several times as much
+    return F.when(value.between(1, MAX_SAFE_CLOCK), value)
 
 
 def parse_flags_clock(listing: DataFrame) -> DataFrame:
@@ -55,7 +55,8 @@ def flatten_listing(listing: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _bare_tag(tag: Column) -> Column:
-    return F.regexp_replace(F.coalesce(tag, F.lit("")), "^:", "")
+    tag = F.coalesce(tag, F.lit(""))
+    return F.when(F.startswith(tag, F.lit(":")), F.substring(tag, 2, 1 << 30)).otherwise(tag)
 
 
 def _sockets(refs: DataFrame, chips: DataFrame) -> DataFrame:
@@ -70,14 +71,16 @@ def _sockets(refs: DataFrame, chips: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def join_device_chip(refs: DataFrame, chips: DataFrame) -> DataFrame:
-    """Devices with what the chip elements of the same tag add.
+def join_device_chip(refs: DataFrame, chips: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """Devices with what the chip elements of the same tag add; of the machines of `kept` only, where it is given.
 
     Last reference of a tag wins; chip types form a set; first name and first usable clock
     win; a chip element without a reference contributes nothing.
     """
     tagged = _sockets(refs, chips).filter(
         (F.col("mame_tag") != "") & ((F.col("is_chip") == 1) | F.col("device").isNotNull()))
+    if kept is not None:  # before the fold, which then needs no shuffle of its own; ids are never held by one task
+        tagged = tagged.join(kept.select("machine_id").hint("merge"), "machine_id", "left_semi")
     types = F.array_sort(F.collect_set("type"))
     return (
         tagged.groupBy("machine_id", "mame_tag").agg(

@@ -822,3 +822,19 @@ def test_search_ranks_and_limits(spark):
 
 def test_every_table_has_a_schema():
     assert len(TABLES) == 36 and all(set(t.key) <= set(t.names) for t in TABLES.values())
+
+
+def test_devices_of_kept_machines_are_shuffled_once(spark):
+    """The machines are met before the fold: no list of ids in one task, and the fold adds no shuffle."""
+    refs = spark.createDataFrame([("m1", ":a", "d1", 1), ("m1", ":a", "d2", 2), ("m1", ":", "d3", 3), ("m2", ":a", "d4", 1), ("m3", "::b", "d5", 1)],
+                                 "machine_id string, tag string, device string, pos long")
+    chips = spark.createDataFrame([("m1", "a", "cpu", "Z80", "4", 1), ("m1", "a", "audio", "YM", "4x", 2), ("m2", "a", "cpu", "Z80", "4", 1), ("m3", ":b", "cpu", "P", "\u0664", 1)],
+                                  "machine_id string, tag string, type string, name string, clock string, pos long")
+    kept = spark.createDataFrame([("m1",), ("m3",)], "machine_id string")
+    got = extraction.join_device_chip(refs, chips, kept)
+    assert sorted(map(tuple, got.collect())) == [("m1", "a", "d2", ["audio", "cpu"], "Z80", 4), ("m3", ":b", "d5", None, None, None)]
+    every = extraction.join_device_chip(refs, chips).join(kept, "machine_id", "left_semi")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert plan.index("ObjectHashAggregate") < plan.index("Union") < plan.index("Exchange")
