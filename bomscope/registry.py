@@ -15,7 +15,7 @@ from bomscope.catalog import TABLES, Catalog
 from bomscope.functions import parts, source_text
 from bomscope.operators import closure, extraction, gates, validation
 from bomscope.plans import browse, canonical, guard, prospect, reconcile, search, views, warnings
-from bomscope.session import shared_dir
+from bomscope.session import shared_dir, written
 from bomscope.sources import bundles, listing, sinks
 
 QUERIES: dict = {}
@@ -415,9 +415,10 @@ def _source_files(cat):
 
 
 def _blocks(cat):
-    src = _source_files(cat)
-    found = source_text.attach_markers(source_text.extract_comments(src), source_text.markers(src))
-    return found.join(src.select("doc_id", "mame_sourcefile"), "doc_id")
+    """Comment blocks with their machine and source file, stored: they are scanned, cited and attributed."""
+    src = written(_source_files(cat))
+    found = source_text.attach_markers(written(source_text.extract_comments(src)), source_text.markers(src))
+    return written(found.join(src.select("doc_id", "mame_sourcefile"), "doc_id"))
 
 
 @query("rec7_extract_comments")
@@ -508,10 +509,14 @@ def _collapsed(cat):
         reconcile.collapse_parts(_references(cat).select(*reconcile.FIELDS)))
 
 
+def _findings(cat, collapsed):
+    return reconcile.classify_findings(collapsed, reconcile.machines_per_system(reconcile.machine_systems_for_recon(cat)))
+
+
 def _reconciled(cat):
-    collapsed = _collapsed(cat)
-    counts = reconcile.machines_per_system(reconcile.machine_systems_for_recon(cat))
-    return collapsed, reconcile.classify_findings(collapsed, counts)
+    """Collapsed parts, stored because records or a summary are made of them too, and findings."""
+    collapsed = written(_collapsed(cat))
+    return collapsed, _findings(cat, collapsed)
 
 
 QUERIES["rec16_listing_witness"] = lambda cat: reconcile.listing_witness(cat, RECOGNITION, LISTING_URL)
@@ -526,7 +531,7 @@ def _flat_records(records):
 
 
 QUERIES["rec18_merge_witnesses"] = lambda cat: _flat_records(reconcile.merge_witnesses(_collapsed(cat)))
-QUERIES["rec19_classify_findings"] = lambda cat: _reconciled(cat)[1]
+QUERIES["rec19_classify_findings"] = lambda cat: _findings(cat, _collapsed(cat))
 QUERIES["rec20_reconcile_summary"] = lambda cat: reconcile.reconcile_summary(*_reconciled(cat))
 QUERIES["rec21_machine_systems_for_recon"] = lambda cat: reconcile.machine_systems_for_recon(cat)
 QUERIES["rec21_null_override_falls_through"] = lambda cat: reconcile.machine_systems_for_recon(cat, True)

@@ -838,3 +838,11 @@ def test_devices_of_kept_machines_are_shuffled_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
     assert plan.index("ObjectHashAggregate") < plan.index("Union") < plan.index("Exchange")
+
+
+def test_comment_blocks_are_read_from_source_once(bound):
+    from bomscope.registry import QUERIES
+
+    for name in ("rec8_attach_rom_starts", "rec9_attribute_blocks", "rec9_source_witness", "rec17_collapse_parts"):
+        plan = QUERIES[name](bound)._jdf.queryExecution().optimizedPlan().toString()
+        assert "// board" not in plan and "ROM_START" not in plan, name
