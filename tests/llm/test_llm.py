@@ -464,6 +464,17 @@ def test_components_equal_union_find(spark):
     assert not components(spark.createDataFrame([], "a long, b long")).collect()
 
 
+def test_lists_of_shingles_move_once(spark):
+    rows = spark.createDataFrame([(i, 10, i // 2, [i // 2 % 7, 1000 + i // 2 % 5, 2000 + i // 2]) for i in range(60)], "doc_id long, n long, cid long, prefix array<long>")
+    classes = jaccard.classes_of(rows)
+    assert sorted(map(tuple, classes.select("cid", "prefix").collect())) == [(c, [c % 7, 1000 + c % 5, 2000 + c]) for c in range(30)]
+    keys = jaccard.buckets(classes, jaccard.Limit(80, 100))
+    assert keys.count() and keys.collect()
+    plan = keys._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(cid" in line and "Reused" not in line]
+    assert len([line for line in moved if "n#" in line]) == 2, plan  # the lists, and the shared shingles of each class
+
+
 def test_trees_lose_no_link():
     rng = np.random.default_rng(2)
     limit = jaccard.Limit(80, 100)
