@@ -88,11 +88,12 @@ def _sockets(cat) -> DataFrame:
     cored = _cored(cat).withColumn("cored", F.lit(True))
     sockets = written(cat["v_system_chip_effective"].select("system_id", "chip_id").join(cored, "system_id", "left")
                       .withColumn("cored", F.coalesce("cored", F.lit(False))))
-    return sockets.join(sockets.filter("cored").groupBy("chip_id").agg(F.count("*").alias("n")), "chip_id")
+    return sockets.join(sockets.filter("cored").groupBy("chip_id").agg(F.count("*").alias("n")).hint("merge"), "chip_id")
 
 
 def _mates(sockets: DataFrame) -> DataFrame:
-    return sockets.filter("cored").withColumnRenamed("system_id", "mate_system_id")
+    """Sockets of cored families, for joins by the chip. By sort-merge: ids repeat, so files are a small part of what the rows take in memory."""
+    return sockets.filter("cored").withColumnRenamed("system_id", "mate_system_id").hint("merge")
 
 
 def _none() -> Column:
@@ -125,7 +126,7 @@ def system_mates(cat, policy: Policy = DEFAULT) -> DataFrame:
 def _paired(lists: DataFrame, standing: DataFrame, prefix: Column) -> DataFrame:
     """Pairs of heavy lists that share a chip of the first `prefix` ones of the left, with `shared`. Lists join the distinct pairs only."""
     keys = lists.select("list_id", F.explode(F.slice("heavy", F.lit(1), prefix)).alias("chip_id"))
-    met = keys.join(standing.select("mate_system_id", F.explode("mate_heavy").alias("chip_id")), "chip_id").select("list_id", "mate_system_id").distinct()
+    met = keys.join(standing.select("mate_system_id", F.explode("mate_heavy").alias("chip_id")).hint("merge"), "chip_id").select("list_id", "mate_system_id").distinct()
     return (met.join(lists, "list_id").join(standing, "mate_system_id")
             .select("list_id", "mate_system_id", "least", F.size("heavy").alias("size"), F.size(F.array_intersect("heavy", "mate_heavy")).cast("long").alias("shared")))
 

@@ -264,6 +264,18 @@ def test_mates_of_few_boards_with_many_chips(spark):
         assert {r.system_id: (-r.shared_chips, r.mate_system_id) for r in prospect.best_mate(cat, light=light).collect()} == best
 
 
+def test_no_task_holds_all_sockets_of_the_mates(spark, monkeypatch):
+    """Files of sockets are small, as ids repeat, and their rows in memory are not: they may not be broadcast."""
+    boards = {f"s{k}": {f"c{j}" for j in range(12) if (j + k) % 3} for k in range(8)}
+    cat = _boards(spark, [(s, c) for s, chips in boards.items() for c in chips], sorted(boards)[::2])
+    steps, written = [], prospect.written
+    monkeypatch.setattr(prospect, "written", lambda df: steps.append(df) or written(df))
+    steps += [prospect.system_mates(cat), prospect.best_mate(cat, light=0), prospect.best_mate(cat)]
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in steps]
+    assert any("SortMergeJoin [chip_id" in p for p in plans)
+    assert not any("BroadcastHashJoin [chip_id" in p for p in plans)
+
+
 @pytest.mark.parametrize("least", [1, 2, 4])
 def test_mates_of_boards_that_meet_in_common_chips(spark, least):
     from dataclasses import replace
