@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bomscope.functions.columns import any_text, with_axis
-from bomscope.plans.views import FPGA, family_members, machine_bom_with, of_family
+from bomscope.plans.views import FPGA, family_members, machine_bom_with, of_family, prospector_candidates
 
 
 
@@ -364,7 +364,7 @@ def headline(cat, platform: str) -> DataFrame:
         "chips_covered": evidence.agg(F.count("*")), "chips_direct": evidence.agg(F.count_if(F.col("best_via") == "self")),
         "machines_with_core": cat["implementation_machine"].agg(F.count_distinct("machine_id")),
         "systems_with_core": cat["implementation_system"].agg(F.count_distinct("system_id")),
-        "prospector_candidates": cat["v_prospector"].filter(F.col("platform_id") == platform).agg(F.count("*"))}
+        "prospector_candidates": prospector_candidates(cat).filter(F.col("platform_id") == platform).agg(F.count("*"))}
     out = None
     for name, df in counts.items():
         row = df.toDF("n").select(F.lit(name).alias("name"), "n")

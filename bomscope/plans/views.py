@@ -181,13 +181,18 @@ def system_chip_coverage(cat) -> DataFrame:
             .select("kind_id", "system_id", "chip_id", "satisfied_via", "evidence_rank", "provider_chip_id", "chip_confidence"))
 
 
+def _cells(cat) -> DataFrame:
+    """Every family under every kind."""
+    return with_axis(cat["system"].select("system_id"), "system_id", cat["implementation_kind"], "kind_id")
+
+
 @view("v_system_coverage_by_kind")
 def system_coverage_by_kind(cat) -> DataFrame:
     rank = F.col("evidence_rank")
     hit = cat["v_system_chip_coverage"].groupBy("kind_id", "system_id").agg(
         F.count("*").alias("n_total"), F.count_if(rank == 1).alias("n_direct"),
         F.count_if(rank == 2).alias("n_equivalent"), F.count_if(rank == 3).alias("n_provided"))
-    cells = with_axis(cat["system"].select("system_id"), "system_id", cat["implementation_kind"], "kind_id")
+    cells = _cells(cat)
 
     def count(c):
         return F.coalesce(F.col(c), F.lit(0).cast("long"))
@@ -206,13 +211,23 @@ def system_coverage_by_kind(cat) -> DataFrame:
                           "unmapped_device_count", confidence.alias("confidence"))
 
 
+def _without_core(cat, families: DataFrame) -> DataFrame:
+    """Families on every platform where they have no FPGA core."""
+    cored = cat["v_system_core"].filter(F.col("kind_id") == FPGA).select("system_id", "platform_id").distinct()
+    return (with_axis(families, "system_id", cat["fpga_platform"], "platform_id")
+            .join(cored, ["system_id", "platform_id"], "left_anti"))
+
+
+def prospector_candidates(cat) -> DataFrame:
+    """(platform_id, system_id): the rows of `v_prospector` without their coverage, which needs every device."""
+    return _without_core(cat, _cells(cat).filter(F.col("kind_id") == FPGA).drop("kind_id")).select("platform_id", "system_id")
+
+
 @view("v_prospector")
 def prospector(cat) -> DataFrame:
     """Board families without an FPGA core, per platform."""
     covered = cat["v_system_coverage_by_kind"].filter(F.col("kind_id") == FPGA).drop("kind_id")
-    cored = cat["v_system_core"].filter(F.col("kind_id") == FPGA).select("system_id", "platform_id").distinct()
-    return (with_axis(covered, "system_id", cat["fpga_platform"], "platform_id")
-            .join(cored, ["system_id", "platform_id"], "left_anti")
+    return (_without_core(cat, covered)
             .select("platform_id", "system_id", "chips_total", "chips_direct", "chips_equivalent", "chips_provided",
                     "chips_satisfied", "satisfied_share", "unmapped_device_count", "confidence"))
 

@@ -300,6 +300,19 @@ def test_machines_are_bound_without_devices(spark):
     assert cat["machine"].schema == every.schema and not cat["machine"].exceptAll(every).count() and cat["machine"].count() == every.count() == len(machines)
 
 
+def test_headline_binds_no_devices(spark):
+    from bomscope.binding import bind_catalog
+    from bomscope.plans import browse, views
+    from settings import SF
+
+    cat = bind_catalog(spark, SF)
+    counted = {p: browse.headline(cat, p).first().prospector_candidates for p in ("asia", "europe", "nowhere")}
+    assert not {"kept_devices", "machine_chip", "machine_unmapped_device"} & set(cat._memo)
+    rows = sorted(map(tuple, cat["v_prospector"].select("platform_id", "system_id").collect()))
+    assert sorted(map(tuple, views.prospector_candidates(cat).collect())) == rows
+    assert counted == {p: sum(r[0] == p for r in rows) for p in counted} and counted["asia"]
+
+
 def test_letters_of_several_capitals_are_no_signs(spark):
     """As in the SQL: one normal form, so one row for the line, and the first spelling stands."""
     docs = spark.createDataFrame([("d", "der erach und erßach\nder erßach und ﬁx"), ("e", "ERACH er-ach")], "doc_id string, text string")
