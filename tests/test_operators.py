@@ -313,6 +313,25 @@ def test_headline_binds_no_devices(spark):
     assert counted == {p: sum(r[0] == p for r in rows) for p in counted} and counted["asia"]
 
 
+def test_no_task_holds_all_kept_machines_while_binding(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from bomscope.binding import bind_catalog
+    from settings import SF
+
+    plans, parquet = {}, DataFrameWriter.parquet
+
+    def seen(self, path, *args, **kwargs):
+        plans[path.rsplit("/", 1)[1]] = self._df._jdf.queryExecution().executedPlan().toString()
+        return parquet(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    cat = bind_catalog(spark, SF)
+    for name in ("implementation_machine", "machine_system", "machine_chip_correction"):
+        assert not cat[name].isEmpty()
+        assert not [x for x in plans[name].splitlines() if "BroadcastHashJoin" in x and "machine_id" in x], name
+
+
 def test_letters_of_several_capitals_are_no_signs(spark):
     """As in the SQL: one normal form, so one row for the line, and the first spelling stands."""
     docs = spark.createDataFrame([("d", "der erach und erßach\nder erßach und ﬁx"), ("e", "ERACH er-ach")], "doc_id string, text string")
