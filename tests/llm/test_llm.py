@@ -475,6 +475,37 @@ def test_lists_of_shingles_move_once(spark):
     assert len([line for line in moved if "n#" in line]) == 2, plan  # the lists, and the shared shingles of each class
 
 
+@pytest.mark.parametrize("shingles", [60, 400])
+def test_blocks_by_shingles_lose_no_link(spark, shingles, monkeypatch):
+    """Chains of sets that only their neighbours link to, cut into very many blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles)
+    rng = random.Random(shingles)
+    text = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    rows = [" ".join(text[4 * i : 4 * i + 60]) for i in range(80)] + [" ".join(text[:30] + [f"v{i}{j}" for j in range(30)]) for i in range(40)]
+    rng.shuffle(rows)
+    pairs = list(enumerate(rows))
+    got = {r.doc_id: r.component_id for r in jaccard.linked(spark.createDataFrame(pairs, "doc_id long, text string"), 3, jaccard.Limit(80, 100)).collect()}
+    assert got == shingle_components(pairs, 3, 80, 100)
+
+
+def test_sets_travel_once_for_a_family_that_a_task_can_hold(spark):
+    members = spark.range(2000).select(F.lit(1).alias("family"), F.lit(30).alias("bin"), F.col("id").alias("cid"), F.col("id").alias("label"), F.lit(25).alias("n"))
+    assert jaccard.block_pairs(members).count() == 2000
+    large = jaccard.block_pairs(members.withColumn("n", F.lit(200_000)))
+    assert large.groupBy("family", "i", "j").count().agg(F.max("count")).first()[0] < 100
+
+
+def test_only_texts_that_stand_for_a_class_are_moved(spark):
+    rows = spark.range(5000).select("id", F.concat(F.lit("t"), "id").alias("text")).unionByName(
+        spark.createDataFrame([(None, "t3"), (None, None), (3, "other")], "id long, text string"))
+    named = jaccard._named_texts(rows, "id", "text")
+    wanted = named.filter("doc_id % 100 = 3 OR doc_id IS NULL").select(F.col("doc_id").alias("cid"), F.col("doc_id").alias("stands"), F.col("text_key").alias("stands_key"))
+    moved = [(r.doc_id, r.text) for r in jaccard._maybe_wanted(named, wanted).collect()]
+    assert {(i, t and bytes(t).decode()) for i, t in moved} >= {(3, "t3"), (3, "other"), (None, "t3"), (None, None), (103, "t103"), (4903, "t4903")}
+    assert 53 <= len(moved) < 100 and len(set(moved)) == len(moved)
+
+
 def test_trees_lose_no_link():
     rng = np.random.default_rng(2)
     limit = jaccard.Limit(80, 100)
