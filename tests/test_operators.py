@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -890,3 +891,35 @@ def test_comment_blocks_are_read_from_source_once(bound):
     for name in ("rec8_attach_rom_starts", "rec9_attribute_blocks", "rec9_source_witness", "rec17_collapse_parts"):
         plan = QUERIES[name](bound)._jdf.queryExecution().optimizedPlan().toString()
         assert "// board" not in plan and "ROM_START" not in plan, name
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    from bomscope.llm.common import staged
+    from bomscope.session import written
+
+    df = spark.range(5000).groupBy((F.col("id") % 50).alias("k")).agg(F.collect_list("id").alias("ids"))
+    for store in (written, lambda x: staged(x, "test")):
+        before, stored, ends = _shuffle_files(spark), store(df), time.time() + 20
+        while _shuffle_files(spark) - before and time.time() < ends:  # they go in the background
+            time.sleep(0.1)
+        assert not _shuffle_files(spark) - before
+        assert stored.count() == 50 and store(df).count() == 50
+
+
+def test_listing_is_compressed_and_reads_back(spark, tmp_path):
+    one = "device_refs array<struct<tag:string,name:string>>, chips array<struct<type:string,tag:string,name:string,clock:string>>"
+    rows = [(f"m{i}", f"Board <{i}> & more", "a/b.cpp", "1990", "X", "good", "no", None, "no", None, None, None,
+             [(f":t{k}", f"d{k}") for k in range(9)], [("cpu", f"t{k}", f"Part {k}", "1000") for k in range(9)]) for i in range(500)]
+    names = "machine_id string, name string, mame_sourcefile string, mame_year string, mame_manufacturer string, driver_status_raw string, isbios string, isdevice string, ismechanical string, runnable_raw string, cloneof string, romof string, "
+    machines = spark.createDataFrame(rows, names + one)
+    path = str(tmp_path / "listing")
+    listing.write_machine_listing(machines, path)
+    back = listing.read_machine_listing(spark, path)
+    assert sorted(map(str, back.collect())) == sorted(map(str, machines.select(*back.columns).collect()))
+    parts = list((tmp_path / "listing").glob("part-*"))
+    assert parts and sum(p.stat().st_size for p in parts) < 500 * 18 * 20
