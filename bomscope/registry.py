@@ -143,7 +143,7 @@ def snk3(cat):
     collapsed, findings = _reconciled(cat)
     sinks.write_reconciliation(reconcile.merge_witnesses(collapsed), findings, path)
     part = "key:string,designation:string,chip_id:string,mame_state:string,source_url:string,evidence:string,machine_count:bigint"
-    return _flat_records(cat.spark.read.schema(f"system_id string, witnesses array<struct<witness:string,parts:array<struct<{part}>>>>").json(path + "/records"))
+    return _flat_records(cat.spark.read.schema(f"system_id string, witnesses array<struct<witness:string,position:int,after:int,parts:array<struct<{part}>>>>").json(path + "/records"))
 
 
 @query("snk4_write_row_tables")
@@ -525,8 +525,8 @@ QUERIES["rec17_collapse_parts"] = lambda cat: reconcile.collapse_parts(_referenc
 
 def _flat_records(records):
     """Nested records as rows: each witness of a family with its place, each part with its place."""
-    return (records.select("system_id", F.posexplode("witnesses").alias("w", "x")).select("system_id", (F.col("w") + 1).alias("position"), "x.witness", F.posexplode("x.parts").alias("p", "part"))
-            .select("system_id", "position", "witness", (F.col("p") + 1).alias("part_position"), "part.key", "part.designation", "part.chip_id", "part.mame_state",
+    return (records.select("system_id", F.posexplode("witnesses").alias("w", "x")).select("system_id", F.coalesce("x.position", F.col("w") + 1).alias("position"), "x.witness", F.coalesce("x.after", F.lit(0)).alias("after"), F.posexplode("x.parts").alias("p", "part"))
+            .select("system_id", "position", "witness", (F.col("after") + F.col("p") + 1).alias("part_position"), "part.key", "part.designation", "part.chip_id", "part.mame_state",
                     "part.source_url", "part.evidence", "part.machine_count"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bomscope.catalog import TABLES, Catalog
 from bomscope.operators.gates import POST_CORRECTION, PRE_CORRECTION, apply_corrections, run_gates
+from bomscope.session import shuffles_removed
 from bomscope.sources import versions
 from bomscope.sources.bundles import load_lookup_defaults
 
@@ -65,6 +66,7 @@ def write_quality_report(report: DataFrame, path: str) -> None:
 
 
 def write_reconciliation(records: DataFrame, findings: DataFrame, path: str) -> None:
-    """Nested witness records and flat findings as JSON lines."""
-    records.write.mode("overwrite").json(f"{path}/records")
-    findings.write.mode("overwrite").json(f"{path}/findings")
+    """Nested witness records and flat findings as gzipped JSON lines."""
+    with shuffles_removed(records.sparkSession):
+        records.write.mode("overwrite").option("compression", "gzip").json(f"{path}/records")
+        findings.write.mode("overwrite").option("compression", "gzip").json(f"{path}/findings")

@@ -923,3 +923,20 @@ def test_listing_is_compressed_and_reads_back(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, machines.select(*back.columns).collect()))
     parts = list((tmp_path / "listing").glob("part-*"))
     assert parts and sum(p.stat().st_size for p in parts) < 500 * 18 * 20
+
+
+def test_records_of_a_family_are_bounded(spark, tmp_path):
+    from bomscope.registry import _flat_records
+
+    kinds = "system_id string, witness string, key string, designation string, chip_id string, mame_state string, source_url string, evidence string, machine_count long"
+    rows = [(s, w, f"k{n}", f"d{n}", None if n % 3 else f"c{n}", None, "u", "e", None) for s, most in (("a", 25), ("b", 3), (None, 7))
+            for w in ("wikipedia", "mame-listxml", "elsewhere", None) for n in range(most)] + [("a", "wikipedia", "k1", "d0", None, None, "u", "e", 1)]
+    df = spark.createDataFrame(rows, kinds).repartition(5)
+    whole = sorted(map(str, _flat_records(reconcile.merge_witnesses(df)).collect()))
+    assert len(whole) == len(rows) and reconcile.merge_witnesses(df).count() == 3
+    small = reconcile.merge_witnesses(df, 10)
+    assert small.count() == 11 + 2 + 3 and sorted(map(str, _flat_records(small).collect())) == whole
+    assert small.select(F.aggregate("witnesses", F.lit(0), lambda n, w: n + F.size(w["parts"])).alias("n")).agg(F.max("n")).first()[0] == 10
+    sinks.write_reconciliation(small, df, str(tmp_path))
+    back = spark.read.schema(small.schema).json(f"{tmp_path}/records")
+    assert sorted(map(str, _flat_records(back).collect())) == whole
